@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import decontaminate, simhash
+from gleaner.llm import decontaminate, pieces, simhash
 from gleaner.llm.common import table
 
 
@@ -12,9 +12,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.report(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op6_decontaminate,)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op4_pieces, op6_decontaminate)}
 ORACLES = {"op6_decontaminate": decontaminate.ORACLE_SQL}
