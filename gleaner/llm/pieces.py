@@ -204,7 +204,7 @@ def with_pieces(docs: DataFrame, text: str = "text", model: str | None = None) -
     """docs and piece_ids (array of int), n_pieces (long), decoded (string): the ids' text, equal to the input's but for U+2581."""
     path = model or model_path()
     schema = T.StructType([f for f in docs.schema.fields if f.name not in ("piece_ids", "n_pieces", "decoded")])
-    names = schema.names
+    names = list(schema.names)
     schema = schema.add("piece_ids", T.ArrayType(T.IntegerType())).add("n_pieces", "long").add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import decontaminate, pieces, simhash
+from gleaner.llm import decontaminate, pieces, simhash, token_file
 from gleaner.llm.common import table
 
 
@@ -20,5 +20,9 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op4_pieces, op6_decontaminate)}
+def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op4_pieces, op6_decontaminate, op8_token_file)}
 ORACLES = {"op6_decontaminate": decontaminate.ORACLE_SQL}
