@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import decontaminate, pieces, simhash, token_file
+from gleaner.llm import decontaminate, pieces, shards, simhash, token_file
 from gleaner.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.report(table(spark, sf_dir, "documents"))
 
 
+def op5_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.report(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -24,5 +28,5 @@ def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op4_pieces, op6_decontaminate, op8_token_file)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op4_pieces, op5_shards, op6_decontaminate, op8_token_file)}
 ORACLES = {"op6_decontaminate": decontaminate.ORACLE_SQL}
