@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import decontaminate, pieces, shards, simhash, token_file
+from gleaner.llm import decontaminate, pieces, shards, simhash, token_file, transport
 from gleaner.llm.common import table
 
 
@@ -24,9 +24,13 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transport.report(table(spark, sf_dir, "documents"))
+
+
 def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op4_pieces, op5_shards, op6_decontaminate, op8_token_file)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op4_pieces, op5_shards, op6_decontaminate, op7_transport, op8_token_file)}
 ORACLES = {"op6_decontaminate": decontaminate.ORACLE_SQL}
