@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -39,3 +43,16 @@ def landed(df: DataFrame, name: str, **options: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def pieces_of(batches: Iterator[pa.RecordBatch], text: int | str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in slices of about ``most`` bytes of text (or one row), to bound a worker's memory."""
+    for b in batches:
+        if not len(b):
+            continue
+        upto = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 100)
+        at = 0
+        while at < len(b):
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, side="right")))
+            yield b.slice(at, end - at)
+            at = end

@@ -35,6 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from gleaner.llm.common import pieces_of
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Below the least score of a normal piece by this: a character without a piece.
@@ -209,16 +211,14 @@ def with_pieces(docs: DataFrame, text: str = "text", model: str | None = None) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for whole in batches:
-            for at in range(0, len(whole), 1000):
-                b = whole.slice(at, 1000)
-                packed = [own.encode(t.as_py()) for t in b.column(text)]
-                offsets = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
-                flat = np.frombuffer(b"".join(packed), dtype="<i4")
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-                n = pa.array(np.diff(offsets).astype(np.int64))
-                decoded = pa.array([own.decode(flat[a:z].tolist()) for a, z in zip(offsets, offsets[1:], strict=False)], pa.string())
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), ids, n, decoded], names=schema.names)
+        for b in pieces_of(batches, text):
+            packed = [own.encode(t.as_py()) for t in b.column(text)]
+            offsets = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
+            flat = np.frombuffer(b"".join(packed), dtype="<i4")
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            n = pa.array(np.diff(offsets).astype(np.int64))
+            decoded = pa.array([own.decode(flat[a:z].tolist()) for a, z in zip(offsets, offsets[1:], strict=False)], pa.string())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), ids, n, decoded], names=schema.names)
 
     return docs.select(names).mapInArrow(run, schema)
 
@@ -229,24 +229,22 @@ def report(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for whole in batches:
-            for at in range(0, len(whole), 1000):
-                b = whole.slice(at, 1000)
-                texts = b.column(1).to_pylist()
-                packed = [own.encode(t) for t in texts]
-                offsets = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
-                flat = np.frombuffer(b"".join(packed), dtype="<i4")
-                back = [own.decode(flat[a:z].tolist()) for a, z in zip(offsets, offsets[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
-                        pa.array(np.diff(offsets).astype(np.int64)),
-                        pa.array([zlib.crc32(p) for p in packed], pa.int64()),
-                        pa.array([x == (t or "").replace(SPACE, " ") for x, t in zip(back, texts, strict=True)]),
-                    ],
-                    names=["doc_id", "piece_ids", "n_pieces", "ids_crc32", "decodes"],
-                )
+        for b in pieces_of(batches, 1):
+            texts = b.column(1).to_pylist()
+            packed = [own.encode(t) for t in texts]
+            offsets = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
+            flat = np.frombuffer(b"".join(packed), dtype="<i4")
+            back = [own.decode(flat[a:z].tolist()) for a, z in zip(offsets, offsets[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column(0),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
+                    pa.array(np.diff(offsets).astype(np.int64)),
+                    pa.array([zlib.crc32(p) for p in packed], pa.int64()),
+                    pa.array([x == (t or "").replace(SPACE, " ") for x, t in zip(back, texts, strict=True)]),
+                ],
+                names=["doc_id", "piece_ids", "n_pieces", "ids_crc32", "decodes"],
+            )
 
     chosen = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     return chosen.mapInArrow(run, "doc_id long, piece_ids array<int>, n_pieces long, ids_crc32 long, decodes boolean")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import decontaminate, pieces, shards, simhash, token_file, transport
+from gleaner.llm import decontaminate, pieces, quality, shards, simhash, token_file, toxicity, transport
 from gleaner.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.report(table(spark, sf_dir, "documents"))
 
@@ -32,5 +36,9 @@ def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op4_pieces, op5_shards, op6_decontaminate, op7_transport, op8_token_file)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op4_pieces, op5_shards, op6_decontaminate, op7_transport, op8_token_file, op10_quality)}
 ORACLES = {"op6_decontaminate": decontaminate.ORACLE_SQL}

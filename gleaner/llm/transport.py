@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import landed
+from gleaner.llm.common import landed, pieces_of
 
 PAD = 192
 PACKET = 188
@@ -218,14 +218,12 @@ def with_media(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media (binary) of each row of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, len(whole), 500):
-                b = whole.slice(at, 500)
-                made = [padded(t) for t in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array([n for n, _ in made], pa.int64()), pa.array([mux(p) for _, p in made], pa.binary())],
-                    names=["doc_id", "n_bytes", "media"],
-                )
+        for b in pieces_of(batches, 1):
+            made = [padded(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([n for n, _ in made], pa.int64()), pa.array([mux(p) for _, p in made], pa.binary())],
+                names=["doc_id", "n_bytes", "media"],
+            )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
