@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import decontaminate, pieces, quality, shards, simhash, token_file, toxicity, transport
+from gleaner.llm import decontaminate, lm, pieces, quality, shards, simhash, token_file, toxicity, transport
 from gleaner.llm.common import table
 
 
@@ -36,9 +36,13 @@ def op8_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.report(table(spark, sf_dir, "documents"))
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.report(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op4_pieces, op5_shards, op6_decontaminate, op7_transport, op8_token_file, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op4_pieces, op5_shards, op6_decontaminate, op7_transport, op8_token_file, op9_lm, op10_quality)}
 ORACLES = {"op6_decontaminate": decontaminate.ORACLE_SQL}
