@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import decontaminate, lm, pieces, quality, shards, simhash, token_file, toxicity, transport
+from gleaner.llm import decontaminate, html_text, lm, pieces, quality, shards, simhash, token_file, toxicity, transport
 from gleaner.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.report(table(spark, sf_dir, "pages"))
+
+
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.report(table(spark, sf_dir, "documents"))
 
@@ -44,5 +48,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op4_pieces, op5_shards, op6_decontaminate, op7_transport, op8_token_file, op9_lm, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_html_text, op4_pieces, op5_shards, op6_decontaminate, op7_transport, op8_token_file, op9_lm, op10_quality)}
 ORACLES = {"op6_decontaminate": decontaminate.ORACLE_SQL}
