@@ -52,6 +52,15 @@ def _kgrams(hashes: str, k: int) -> Column:
     )
 
 
+def _runs(hashes: str, length: int) -> Column:
+    """Hash of each run of ``length`` words, chained as that of a short item's window is."""
+
+    def chained(x: Column, i: Column) -> Column:
+        return reduce(lambda a, j: F.xxhash64(a, F.get(F.col(hashes), i + j)), range(length), F.lit(0).cast("long"))
+
+    return F.transform(_from(F.col(hashes), F.size(hashes) - (length - 1)), chained)
+
+
 def benchmark_windows(items: DataFrame) -> DataFrame:
     """One row per distinct window of the items: its length, key hash, the key's place in it, words, ids of items."""
     words = items.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("words"))
@@ -76,11 +85,15 @@ def benchmark_windows(items: DataFrame) -> DataFrame:
     )
 
 
+def _row_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
+
+
 def _keys(docs: DataFrame, lengths: list[int]) -> DataFrame:
     """A row per document (key null) and per kept k-gram: where it stands and the words around it."""
     hashed = docs.select(
         "doc_id",
-        F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull()).alias("row_key"),
+        _row_key(F.col("text")).alias("row_key"),
         words_of(F.col("text")).alias("words"),
     ).select("*", F.size("words").alias("n_words"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
     width = SPAN - K + 1
@@ -100,12 +113,7 @@ def _keys(docs: DataFrame, lengths: list[int]) -> DataFrame:
         .select("doc_id", "row_key", "n_words", "key", "at", F.lit(SPAN).alias("len"), first.alias("first"), around.alias("around"))
     )
     for length in (x for x in lengths if x < SPAN):  # items shorter than a window: every run of so many words is a key
-        run = F.transform(
-            _from(F.col("hashes"), F.size("hashes") - (length - 1)),
-            lambda x, i, m=length: reduce(
-                lambda a, j: F.xxhash64(a, F.get(F.col("hashes"), i + j)), range(m), F.lit(0).cast("long")
-            ),
-        )
+        run = _runs("hashes", length)
         out = out.unionByName(
             hashed.select("doc_id", "row_key", "words", "n_words", F.posexplode(run).alias("at", "key")).select(
                 "doc_id", "row_key", "n_words", "key", "at", F.lit(length).alias("len"), F.col("at").alias("first"),
@@ -115,11 +123,8 @@ def _keys(docs: DataFrame, lengths: list[int]) -> DataFrame:
     return out
 
 
-def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_words, n_hit, n_items, item_ids, contaminated.
-
-    items: item_id, text. A word of a document is hit if it lies in any occurrence of an item's window.
-    """
+def _found(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Per distinct row of docs (doc_id, row_key: a hash of its text): copies, n_words, n_hit, item_ids."""
     windows = checkpointed(benchmark_windows(items.select("item_id", "text")))
     shape = windows.groupBy("len").count().collect()  # SPAN rows at most
     if sum(x["count"] for x in shape) <= BROADCAST_WINDOWS:
@@ -150,10 +155,22 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
         ),
         lambda a: a["n"],
     )
-    return (
-        found.select("doc_id", F.col("n_words").cast("long").alias("n_words"), covered.alias("n_hit"), "item_ids", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
-        .select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", (F.col("n_hit") > 0).alias("contaminated"))
-    )
+    return found.select("doc_id", "row_key", "copies", F.col("n_words").cast("long").alias("n_words"), covered.alias("n_hit"), "item_ids")
+
+
+def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, n_words, n_hit, n_items, item_ids, contaminated.
+
+    items: item_id, text. A word of a document is hit if it lies in any occurrence of an item's window.
+    """
+    found = _found(docs, items).select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of docs, all columns, that hold no window of an item."""
+    hit = _found(docs, items).filter("n_hit > 0").select(F.col("doc_id").alias("hit_id"), "row_key")
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit_id"]) & (_row_key(docs["text"]) == hit["row_key"]), "left_anti")
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
