@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from gleaner.queries import core, fixtures, planned
+
+QUERIES: dict = core.QUERIES | planned.QUERIES | fixtures.QUERIES
+ORACLES: dict = core.ORACLES | planned.ORACLES | fixtures.ORACLES
