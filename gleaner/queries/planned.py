@@ -1,2 +1,179 @@
-QUERIES = {}
-ORACLES = {}
+"""Queries of the planning operators, over small parameter tables and over nations as countries with customers as towns."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleaner import tables
+from gleaner.functions import text
+from gleaner.plans import planning
+from gleaner.queries.core import _read
+from gleaner.tables import values_sql
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+CATEGORIES = [(c,) for c in ("hotel", "Fitnessstudio", "kfz werkstatt", "IT Beratung", "immobilienmakler", "Goldschmied", "lager logistik", "Zahnarzt", " Café ", "")]
+LOCATIONS = [(x,) for x in ("Berlin", "Hamburg", "Muenchen", "Koeln")]
+_CAT = values_sql(CATEGORIES, "category")
+_MATCH = "(CASE WHEN length(keyword) <= 2 THEN regexp_matches(lower({0}), '(^|[^a-z0-9äöüß])' || keyword || '($|[^a-z0-9äöüß])') ELSE contains(lower({0}), keyword) END)"
+_VARIANTS = values_sql(tables.variant_rows(), "rank, keyword, place, term")
+_TAGS = values_sql(tables.osm_rows(), "rank, keyword, place, tag_key, tag_value")
+
+
+def _categories(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(CATEGORIES, "category string")
+
+
+@query(f"SELECT category, location FROM {_CAT}, {values_sql(LOCATIONS, 'location').replace(' t(', ' u(')}")
+def query_plan_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.cross_plan(_categories(spark), spark.createDataFrame(LOCATIONS, "location string"))
+
+
+@query(f"SELECT category, '' AS location FROM {_CAT}")
+def query_plan_no_location(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.cross_plan(_categories(spark), spark.createDataFrame([], "location string"))
+
+
+@query(
+    f"""WITH c AS (SELECT DISTINCT trim(category) AS category FROM {_CAT} WHERE trim(category) <> ''), v AS (SELECT * FROM {_VARIANTS}),
+best AS (SELECT category, rank FROM (SELECT category, rank, row_number() OVER (PARTITION BY category ORDER BY length(keyword) DESC, rank) AS n FROM c JOIN v ON place = 0 AND {_MATCH.format('category')}) WHERE n = 1)
+SELECT category, place, term FROM best JOIN v USING (rank) UNION ALL SELECT category, 0, category FROM c WHERE category NOT IN (SELECT category FROM best)"""
+)
+def category_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.category_variants(_categories(spark))
+
+
+@query(
+    f"""WITH c AS (SELECT DISTINCT category FROM {_CAT} WHERE trim(category) <> ''),
+m AS (SELECT category, '["' || tag_key || CASE WHEN tag_value = '' THEN '"]' ELSE '"="' || tag_value || '"]' END AS selector, min(rank * 100 + t.place) AS pos
+  FROM c JOIN {_TAGS} ON {_MATCH.format('category')} GROUP BY 1, 2)
+SELECT category, row_number() OVER (PARTITION BY category ORDER BY pos) - 1 AS place, selector FROM m
+UNION ALL SELECT category, 0, '["name"~"' || trim(category) || '",i]' FROM c WHERE category NOT IN (SELECT category FROM m)"""
+)
+def osm_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.osm_selectors(_categories(spark).filter("trim(category) <> ''")).withColumn("place", F.col("place").cast("long"))
+
+
+@query(
+    f"""WITH c AS (SELECT DISTINCT category FROM {_CAT} WHERE category IN ('hotel', 'IT Beratung', 'Zahnarzt')),
+m AS (SELECT category, 'nwr["' || tag_key || '"="' || tag_value || '"](area.searchArea);' AS line, min(rank * 100 + t.place) AS pos FROM c JOIN {_TAGS} ON {_MATCH.format('category')} GROUP BY 1, 2)
+SELECT category, '[out:json][timeout:35];' || chr(10) || 'area["name"~"^Bad Aibling\\.$",i]["boundary"="administrative"]->.searchArea;' || chr(10) || '(' || chr(10)
+  || string_agg(line, chr(10) ORDER BY pos) || chr(10) || ');' || chr(10) || 'out tags center 500;' AS query FROM m GROUP BY 1"""
+)
+def overpass_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    some = _categories(spark).filter(F.col("category").isin("hotel", "IT Beratung", "Zahnarzt"))
+    return planning.overpass_queries(some, " Bad Aibling. ", 50)
+
+
+def _towns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as named places with populations as text: names repeat, some are small, some no numbers."""
+    c = _read(spark, sf_dir, "customer")
+    country = F.when(F.col("c_nationkey") % 3 == 0, "AT").otherwise("DE")
+    people = F.when(F.col("c_custkey") % 11 == 0, "unknown").otherwise(F.concat((F.col("c_custkey") * 37 % 90).cast("string"), F.lit("."), F.lpad((F.col("c_custkey") * 91 % 1000).cast("string"), 3, "0")))
+    return c.select(country.alias("country"), F.concat(F.lit("Ort "), (F.col("c_custkey") % 400).cast("string")).alias("name"), people.alias("population"))
+
+
+_TOWNS = """towns AS (SELECT CASE WHEN c_nationkey % 3 = 0 THEN 'AT' ELSE 'DE' END AS country, 'Ort ' || (c_custkey % 400) AS name,
+  CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE c_custkey * 37 % 90 * 1000 + c_custkey * 91 % 1000 END AS population FROM customer),
+best AS (SELECT country, name, max(population) AS population FROM towns WHERE population >= 5000 GROUP BY 1, 2),
+cities AS (SELECT *, row_number() OVER (PARTITION BY country ORDER BY population DESC, name) AS rank FROM best)"""
+
+
+@query(f"WITH {_TOWNS} SELECT country, name, population, rank FROM cities")
+def city_best_population(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.best_cities(_towns(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"WITH {_TOWNS} SELECT country, name, rank FROM cities WHERE rank <= 12")
+def city_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.top_cities(planning.best_cities(_towns(spark, sf_dir)), 12).select("country", "name", F.col("rank").cast("long").alias("rank"))
+
+
+_ORDER = "(CASE country WHEN 'DE' THEN 0 ELSE 1 END)"
+_LABELS = "(VALUES ('DE', 'Deutschland'), ('AT', 'Österreich')) l(country, label)"
+
+
+@query(
+    f"""WITH {_TOWNS}
+SELECT 0 AS part, {_ORDER} AS country_rank, 0 AS place, 'hotel ' || label || ' Unternehmen Kontakt E-Mail' AS query, country FROM {_LABELS}
+UNION ALL SELECT 1, {_ORDER}, rank, 'hotel ' || name || ' Unternehmen Kontakt E-Mail', country FROM cities WHERE rank <= 60"""
+)
+def expand_query_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.search_plans("hotel", "", planning.best_cities(_towns(spark, sf_dir)), ("DE", "AT"), limit=100)
+
+
+@query(
+    f"""WITH {_TOWNS}, v AS (SELECT place AS variant, term FROM {_VARIANTS} WHERE keyword = 'software')
+SELECT 0 AS part, {_ORDER} AS country_rank, 0 AS place, variant, term || ' ' || label AS query, country FROM {_LABELS}, v
+UNION ALL SELECT 1, {_ORDER}, rank, variant, term || ' ' || name, country FROM cities, v WHERE variant = 0 AND rank <= 800
+UNION ALL SELECT 2, {_ORDER}, rank, variant, term || ' ' || name, country FROM cities, v WHERE variant > 0 AND rank <= 80"""
+)
+def paid_search_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.synonym_plans("software", "", planning.best_cities(_towns(spark, sf_dir)), ("DE", "AT"), limit=1000)
+
+
+@query(f"SELECT category, domain_rank, category || ' site:' || domain AS query, 3 AS rows FROM {_CAT}, {values_sql(list(enumerate(tables.SOURCE_DOMAINS)), 'domain_rank, domain').replace(' t(', ' u(')}")
+def site_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.site_searches(_categories(spark), 50)
+
+
+COUNTRY_LISTS = [("at;de",), ("",), ("DE,at, de",), ("fr",), (" At ",), (None,), ("xx;AT",)]
+
+
+@query(
+    f"""SELECT raw, coalesce(nullif(list_aggregate(list_filter(list_transform(string_split(replace(coalesce(raw, ''), ';', ','), ','), lambda c: upper(trim(c))), lambda c, i: c IN ('DE', 'AT')
+  AND list_position(list_transform(string_split(replace(raw, ';', ','), ','), lambda d: upper(trim(d))), c) = i), 'string_agg', ','), ''), 'DE') AS countries FROM {values_sql(COUNTRY_LISTS, 'raw')}"""
+)
+def parse_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.createDataFrame(COUNTRY_LISTS, "raw string")
+    return own.select("raw", F.array_join(text.parse_countries(F.col("raw")), ",").alias("countries"))
+
+
+LIMITS = [(n,) for n in (0, 20, 50, 100, 499, 500, 1000, 2999, 3000, 150000)]
+
+
+@query(
+    f"""SELECT n, CASE WHEN n >= 3000 THEN NULL WHEN n >= 1000 THEN 400 WHEN n >= 500 THEN 150 WHEN n >= 100 THEN 60 ELSE 40 END AS web, CASE WHEN n >= 3000 THEN NULL WHEN n >= 1000 THEN 800
+  WHEN n >= 500 THEN 200 WHEN n >= 100 THEN 40 ELSE 12 END AS paid, CASE WHEN n >= 3000 THEN NULL WHEN n >= 1000 THEN 800 WHEN n >= 500 THEN 200 ELSE 40 END AS maps,
+  CASE WHEN n >= 500 THEN NULL ELSE greatest(8, least(40, CAST(ceil(n / 3) AS INT))) END AS osm, CASE WHEN n >= 500 THEN 12 WHEN n >= 100 THEN 8 ELSE 4 END AS pages,
+  greatest(1, CAST(ceil(n / 17) AS INT)) AS per_domain FROM {values_sql(LIMITS, 'n')}"""
+)
+def city_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(n, planning.budget(n, planning.WEB_CITIES), planning.budget(n, planning.PAID_CITIES), planning.budget(n, planning.MAP_CITIES), planning.osm_budget(n), planning.pages_per_query(n), planning.per_domain_limit(n)) for (n,) in LIMITS]
+    return spark.createDataFrame(rows, "n int, web int, paid int, maps int, osm int, pages int, per_domain int")
+
+
+@query(
+    f"""WITH {_TOWNS}, done AS (SELECT country, name FROM cities WHERE rank % 3 = 1) SELECT country, name FROM cities WHERE rank <= 30 AND (country, name) NOT IN (SELECT (country, name) FROM done)"""
+)
+def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gleaner.operators.accept import without_completed
+
+    cities = planning.best_cities(_towns(spark, sf_dir))
+    return without_completed(planning.top_cities(cities, 30), cities.filter("rank % 3 = 1").select("country", "name"), "country", "name").select("country", "name")
+
+
+SLUGS = [(x,) for x in ("Bad Aibling", "  köln   süd ", "Groß-Gerau", "frankfurt am Main", "hotel-garni mitte", "ÄRZTE", "a")]
+
+
+@query(
+    f"""WITH w AS (SELECT raw, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS v FROM {values_sql(SLUGS, 'raw')}),
+p AS (SELECT raw, v, list_transform(string_split(v, ' '), lambda x: list_aggregate(list_transform(string_split(x, '-'), lambda y: upper(y[1]) || y[2:]), 'string_agg', '-')) AS parts FROM w)
+SELECT raw, array_to_string(parts, ' ') AS title, array_to_string(parts, '-') AS slug, replace(replace(replace(replace(lower(array_to_string(parts, '-')), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss') AS folded FROM p"""
+)
+def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.col("raw")
+    return spark.createDataFrame(SLUGS, "raw string").select("raw", text.title_case(text.collapse(raw)).alias("title"), text.hyphen_slug(raw).alias("slug"), text.folded_slug(raw, "berlin").alias("folded"))
