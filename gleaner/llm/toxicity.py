@@ -72,11 +72,13 @@ def term_ids(text: str) -> np.ndarray:
 def associated(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """Ids whose documents' labels differ from the others', the most telling MAX_TERMS."""
     n, n1 = len(y), int(y.sum())
-    ids = np.concatenate(rows)
-    size = [len(r) for r in rows]
-    terms, at = np.unique(ids, return_inverse=True)
-    of = np.bincount(at, minlength=len(terms)).astype(float)
-    of1 = np.bincount(at, weights=np.repeat(y, size).astype(float), minlength=len(terms))
+    of, of1 = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for r, c in zip(rows, y, strict=True):
+        of[r] += 1
+        if c:
+            of1[r] += 1
+    terms = np.flatnonzero(of)
+    of, of1 = of[terms], of1[terms]
 
     def part(seen, expected):
         return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
@@ -143,7 +145,9 @@ def fit(rows: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Machine:
     m = Machine(associated(rows, y), float(np.log(n1 / (len(y) - n1))))
     if not len(m.terms):
         return m
-    places = [np.searchsorted(m.terms, r[np.isin(r, m.terms)]) for r in rows]
+    kept = np.zeros(1 << BITS, bool)
+    kept[m.terms] = True
+    places = [np.searchsorted(m.terms, r[kept[r]]) for r in rows]
     rng = np.random.default_rng(seed)
     m.v[:-1] = rng.normal(0, 0.05, (len(m.terms), FACTORS))
     gw, gv, gb = np.full(len(m.w), 1e-6), np.full(m.v.shape, 1e-6), 1e-6

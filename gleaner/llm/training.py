@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from gleaner.llm.common import pieces_of
 
 #: Labelled documents that a classifier is fitted on at most, those with the least hash of doc_id: this bounds
 #: the driver's work and memory; scoring covers all documents.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 8_000
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -35,9 +36,11 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, use: Column, featu
             found = [features(t.as_py() or "").astype("<u4").tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.binary())], names=["doc_id", "y", "ids"])
 
-    got = texts.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, ids binary").toArrow().sort_by([("doc_id", "ascending")])
-    ids = [np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in got.column("ids")]
-    return ids, got.column("y").to_numpy().astype(np.int64)
+    got = texts.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, ids binary").toArrow()
+    order = pc.sort_indices(got, [("doc_id", "ascending")]).to_numpy()
+    y = got.column("y").to_numpy().astype(np.int64)[order]
+    ids = [np.frombuffer(x.as_buffer(), "<u4") for x in got.column("ids")]  # in place: the sample is held once
+    return [ids[i] for i in order.tolist()], y
 
 
 def scored(docs: DataFrame, score: Callable[[list[str]], np.ndarray], threshold: float) -> DataFrame:
