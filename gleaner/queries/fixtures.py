@@ -1,2 +1,230 @@
-QUERIES = {}
-ORACLES = {}
+"""Queries of operators whose inputs the test tables don't have: over small inline inputs, with the expected rows or SQL as twins."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleaner.functions import html, text
+from gleaner.operators import dedupe
+from gleaner.sources import providers
+from gleaner.tables import values_sql
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _rows(rows: list[tuple], names: str) -> str:
+    return f"SELECT * FROM {values_sql(rows, names)}"
+
+
+def _responses(spark: SparkSession, payloads: list[str]) -> DataFrame:
+    return spark.createDataFrame([(i, p) for i, p in enumerate(payloads)], "response long, payload string")
+
+
+OSM = [
+    json.dumps({"elements": [
+        {"tags": {"name": "Hotel A", "website": "www.a.example", "addr:street": "Weg", "addr:housenumber": "1", "addr:city": "Berlin"}},
+        {"tags": {"name": "Hotel A again", "url": "https://WWW.A.example/"}},
+        {"tags": {"name": "No site"}},
+        {"tags": {"contact:website": "ftp://b.example"}},
+        {"tags": {"contact:url": "http://c.example/x"}},
+        {},
+    ]}),
+    json.dumps({"elements": []}), "not json",
+]
+_JS = "(SELECT response, CASE WHEN json_valid(payload) THEN payload::JSON END AS j FROM " + "{0})"
+
+
+@query(
+    f"""WITH e AS (SELECT response, unnest(json_extract(j, '$.elements[*]')) AS el, generate_subscripts(json_extract(j, '$.elements[*]'), 1) - 1 AS place FROM {_JS.format(values_sql(list(enumerate(OSM)), 'response, payload'))}),
+t AS (SELECT response * 1000000 + place AS ordinal, el->'tags' AS g, coalesce(nullif(el->'tags'->>'website', ''), nullif(el->'tags'->>'contact:website', ''), nullif(el->'tags'->>'url', ''), nullif(el->'tags'->>'contact:url', ''), '') AS raw FROM e),
+u AS (SELECT ordinal, g, CASE WHEN raw = '' THEN '' WHEN regexp_matches(raw, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN raw ELSE 'https://' || raw END AS url FROM t),
+v AS (SELECT *, array_to_string(list_filter([g->>'addr:street', g->>'addr:housenumber', g->>'addr:postcode', g->>'addr:city'], lambda p: p <> ''), ' ') AS addr FROM u WHERE regexp_matches(url, '^https?://[^/]')),
+n AS (SELECT *, row_number() OVER (PARTITION BY rtrim(lower(url), '/') ORDER BY ordinal) AS k FROM v)
+SELECT ordinal, coalesce(g->>'name', url) AS title, url, CASE WHEN addr = '' THEN 'OpenStreetMap result' ELSE 'OpenStreetMap: ' || addr END AS snippet FROM n WHERE k = 1"""
+)
+def osm_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return providers.osm(_responses(spark, OSM)).select("ordinal", "title", "url", "snippet")
+
+
+NOMINATIM = [
+    json.dumps([
+        {"name": "Hotel B", "display_name": "Hotel B, Köln", "extratags": {"website": "https://b.example"}, "address": {"city": "Köln"}},
+        {"name": "", "display_name": "Hotel C, Bonn", "extratags": {"contact:website": "c.example"}, "address": {"town": "Bonn"}},
+        {"name": "Hotel D", "extratags": {"website": "https://d.example"}, "address": {"state": "Groß-Köln"}},
+        {"name": "Hotel E", "extratags": None, "address": {"city": "Köln"}},
+        {"display_name": "Hotel B twin", "extratags": {"url": "https://B.example//"}, "address": {"city": "köln"}},
+    ])
+]
+
+
+@query(_rows([(0, "Hotel B", "https://b.example", "Nominatim: Hotel B, Köln"), (2, "Hotel D", "https://d.example", "Nominatim: OpenStreetMap/Nominatim result")], "ordinal, title, url, snippet"))
+def nominatim_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return providers.nominatim(_responses(spark, NOMINATIM), " KÖLN ").select("ordinal", "title", "url", "snippet")
+
+
+SERP = [
+    json.dumps({"organic_results": [{"title": "A", "link": "https://a.example/", "snippet": "s"}, {"title": "A2", "link": "HTTPS://A.example", "snippet": "t"}, {"title": "rel", "link": "/x"}, {"title": "none"}]}),
+    json.dumps({"organic_results": [{"title": "B", "link": "http://b.example"}, {"title": "A3", "link": "https://a.example"}]}),
+]
+
+
+@query(
+    f"""WITH e AS (SELECT response, unnest(json_extract(payload::JSON, '$.organic_results[*]')) AS el, generate_subscripts(json_extract(payload::JSON, '$.organic_results[*]'), 1) - 1 AS place FROM {values_sql(list(enumerate(SERP)), 'response, payload')}),
+n AS (SELECT response * 1000000 + place AS ordinal, el->>'title' AS title, el->>'link' AS url, coalesce(el->>'snippet', '') AS snippet, row_number() OVER (PARTITION BY rtrim(lower(el->>'link'), '/') ORDER BY response, place) AS k FROM e WHERE regexp_matches(el->>'link', '^(?i)https?://[^/]'))
+SELECT ordinal, title, url, snippet FROM n WHERE k = 1"""
+)
+def serp_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return providers.serpapi(_responses(spark, SERP)).select("ordinal", "title", "url", "snippet")
+
+
+ZEN = [json.dumps({"organic": [{"title": "A", "url": "https://a.example", "snippet": "s", "description": "d"}, {"title": "B", "link": "https://b.example", "url": "x", "snippet": "t"}]}), json.dumps({"organic_results": [{"title": "C", "link": "https://a.example/"}, {"title": "D", "link": "https://d.example"}]})]
+
+
+@query(_rows([(0, "A", "https://a.example", "d"), (1, "B", "https://b.example", "t"), (1000001, "D", "https://d.example", "")], "ordinal, title, url, snippet"))
+def zenrows_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return providers.zenrows(_responses(spark, ZEN)).select("ordinal", "title", "url", "snippet")
+
+
+@query(_rows([("brave", 0, "A", "https://a.example", "d"), ("bing", 0, "B", "https://b.example", "s"), ("google", 0, "C", "https://c.example", "s"), ("google", 2, "C", "https://c.example", "s")], "source, ordinal, title, url, snippet"))
+def api_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    brave = providers.brave(_responses(spark, [json.dumps({"web": {"results": [{"title": "A", "url": "https://a.example", "description": "d"}, {"title": "no url"}]}})]))
+    bing = providers.bing(_responses(spark, [json.dumps({"webPages": {"value": [{"name": "B", "url": "https://b.example", "snippet": "s"}, {"url": ""}]}})]))
+    c = {"title": "C", "link": "https://c.example", "snippet": "s"}
+    google = providers.google(_responses(spark, [json.dumps({"items": [c, {"link": "ftp://x"}, c]})]))
+    out = None
+    for name, df in (("brave", brave), ("bing", bing), ("google", google)):
+        df = df.select(F.lit(name).alias("source"), "ordinal", "title", "url", "snippet")
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+DDG = [
+    '<a rel="nofollow" class="result__a" href="//duckduckgo.com/l/?uddg=https%3A%2F%2Fa.example%2Fx%3Fy%3D1&amp;rut=9">A</a><a class="result__url" href="https://a.example/x?y=1">A</a>'
+    '<a class="result__a" href="https://b.example">B</a><a class="result__a" href="https://duckduckgo.com/about">own</a><a href="https://c.example">no result</a>'
+    '<form><input name="q" value="x"><input name="s" value="30"></form>',
+    '<a class="result__a" href="/relative">r</a>',
+]
+
+
+@query(_rows([(0, "https://a.example/x?y=1"), (2, "https://b.example")], "ordinal, url"))
+def ddg_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return providers.duckduckgo(_responses(spark, DDG)).select("ordinal", "url")
+
+
+@query(_rows([(0, 30), (1, 40), (2, 70)], "response, next_offset"))
+def ddg_next_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _responses(spark, [*DDG, "nothing"]).withColumns({"offset": F.lit(30), "links": F.when(F.col("response") == 2, 80).otherwise(4)})
+    return providers.duckduckgo_next(own)
+
+
+MAPS = ["", "<p>Bevor Sie zu Google weitergehen", "our systems have detected unusual traffic", '<a class="hfpxzc" href="/x">', "see https://www.google.de/maps/search/hotel", "<html>else", "Suche in Maps", "/sorry/index /maps/place/x"]
+
+
+@query(_rows(list(enumerate(("empty", "consent_wall", "captcha", "listings_present", "search_loaded_no_listings", "unknown", "search_loaded_no_listings", "captcha"))), "response, page_class"))
+def map_page_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _responses(spark, MAPS).select("response", providers.page_class(F.col("payload")).alias("page_class"))
+
+
+LISTING = [
+    '<a class="hfpxzc" aria-label="A" href="https://www.google.com/maps/place/Hotel+A/data=1?x=1"></a><a href="https://www.google.com/maps/place/hotel+a/data=1?x=2"></a>'
+    '<a href="/maps/place/Hotel%20B/@1"></a> {"u":"https:\\/\\/www.google.de\\/maps\\/place\\/C"} "/maps/place/D"',
+    "none",
+]
+
+
+@query(_rows([(0, 0, "https://www.google.com/maps/place/Hotel+A/data=1?x=1"), (0, 1, "https://www.google.com/maps/place/Hotel%20B/@1"), (0, 2, "https://www.google.de/maps/place/C"), (0, 3, "https://www.google.com/maps/place/D")], "response, place, place_url"))
+def map_place_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return providers.place_urls(_responses(spark, LISTING))
+
+
+@query(_rows([(0, "Hotel A", "https://a.example"), (1, "Hotel B & Co", "https://b.example"), (4, "e.example", "http://e.example")], "ordinal, title, url"))
+def map_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = "https://www.google.com/maps/place/"
+    rows = [(base + "x", "Hotel A", ["https://google.com/x", "//a.example/"], 0), (base + "Hotel+B+%26+Co/@1", "", ["b.example"], 1), (base + "c", "C", [], 2), (base + "d", "D", ["https://B.example/"], 3), ("x", "", ["http://e.example"], 4)]
+    return providers.map_details(spark.createDataFrame(rows, "place_url string, name string, websites array<string>, ordinal long")).select("ordinal", "title", "url")
+
+
+def _cf(email: str, key: int) -> str:
+    return bytes([key, *(ord(c) ^ key for c in email)]).hex()
+
+
+CF = [(_cf("info@hotel.example", 0x2A),), ("zz",), ("2a",), (_cf("nobody", 3),), ("2a0",), (_cf("a@b.de", 255).upper(),)]
+
+
+@query(
+    f"""SELECT raw, CASE WHEN regexp_matches(raw, '^([0-9a-fA-F]{{2}}){{2,}}$') AND contains(plain, '@') THEN plain ELSE '' END AS email FROM (
+  SELECT raw, list_aggregate(list_transform(range(3, length(raw), 2), lambda i: chr(xor(coalesce(try_cast('0x' || substr(raw, i, 2) AS INT), 64), coalesce(try_cast('0x' || substr(raw, 1, 2) AS INT), 0)))), 'string_agg', '') AS plain FROM {values_sql(CF, 'raw')})"""
+)
+def cfemail_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(CF, "raw string").select("raw", html.cf_email_of("raw").alias("email"))
+
+
+PAGES = [
+    (0, "Kontakt: info@example.de oder sales [at] example [dot] com"),
+    (1, "Mail: info<span>@</span>hotel-split.de bitte"),
+    (2, "<td>info@a.de</td><td>xyz</td>"),
+    (3, f'<a class="__cf_email__" data-cfemail="{_cf("reservierung@hotel-x.de", 0x17)}">[email&#160;protected]</a>'),
+    (4, "logo@2x.png a&#64;b.de x@y.<!-- -->org"),
+    (5, ""),
+]
+
+
+@query(_rows([(0, "info@example.de"), (0, "sales@example.com"), (1, "info@hotel-split.de"), (2, "info@a.de"), (3, "reservierung@hotel-x.de"), (4, "a@b.de"), (4, "x@y.org")], "page_id, email"))
+def tag_split_email(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(PAGES, "page_id int, html string").select("page_id", F.explode(html.page_emails_of("html")).alias("email"))
+
+
+LINKED = [
+    (0, "https://www.example.de/en/", '<title> My  Hotel </title><a href="/kontakt#form">x</a><a href="https://other.example/kontakt">y</a><a href="mailto:a@b.de">m</a><a href="sub/team">t</a><a href="/x" aria-label="Über uns">u</a><a href="https://shop.example.de/impressum">s</a><a href="#kontakt">f</a><a href="/rooms">r</a>'),
+    (1, "https://b.example", "<title>One</title><title>Two</title>"),
+]
+
+
+@query(_rows([(0, "My Hotel", x) for x in ("https://shop.example.de/impressum", "https://www.example.de/en/sub/team", "https://www.example.de/kontakt", "https://www.example.de/x")] + [(1, "One Two", None)], "page_id, title, link"))
+def contact_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.createDataFrame(LINKED, "page_id int, url string, html string").select("page_id", html.parse_page_of("html", "url").alias("p"))
+    return own.select("page_id", "p.title", F.explode_outer("p.links").alias("link"))
+
+
+ROLES = [(e,) for e in ("kontakt@x.de", "max.mustermann@x.de", "info-berlin@x.de", "in.fo@x.de", "Team@x.de", "xinfo@x.de", "123@x.de", "büro@x.de", "no-at")]
+
+
+@query(
+    f"SELECT email, CASE WHEN regexp_matches(regexp_replace(lower(split_part(email, '@', 1)), '[^\\p{{L}}]', '', 'g'), '^(admin|booking|contact|customerservice|hello|hilfe|info|kontakt|office|reservierung|sales|service|support|team|vertrieb)') THEN 'business_public' ELSE 'personal_review_required' END AS consent_status FROM {values_sql(ROLES, 'email')}"
+)
+def email_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(ROLES, "email string").select("email", text.classify_email(F.col("email")).alias("consent_status"))
+
+
+ENTRIES = [
+    ("A", "https://a.example/", "src1", "", "info@a.example", " 1 ", 0),
+    ("A2", "HTTPS://A.example", "src2", "s", "", "", 1),
+    ("mail only", "", "src3", "", "E-Mail: info@a.example", "", 2),
+    ("other mail", "", "src4", "t", "mailto:x@b.example", "", 3),
+    ("late site", "b.example", "src5", "", "x@b.example", "", 4),
+    ("directory", "https://www.yelp.de/x", "src6", "", "y@c.example", "", 5),
+    ("nothing", "https://facebook.com/x", "src7", "", "bad", "", 6),
+    ("", "https://d.example", "src8", "", "", "", 7),
+]
+
+
+@query(
+    _rows([("A", "https://a.example/", "Branchenverzeichnis: src1", "info@a.example", "1", "src1", 0), ("other mail", "", "t", "x@b.example", "", "src4", 3), ("late site", "https://b.example", "Branchenverzeichnis: src5", "x@b.example", "", "src5", 4),
+           ("directory", "", "Branchenverzeichnis: src6", "y@c.example", "", "src6", 5), ("https://d.example", "https://d.example", "Branchenverzeichnis: src8", "", "", "src8", 7)], "title, url, snippet, directory_email, directory_phone, directory_source_url, ordinal")
+)
+def entries_to_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe.entries_to_results(spark.createDataFrame(ENTRIES, "name string, website string, source_url string, snippet string, email string, phone string, ordinal int"))
