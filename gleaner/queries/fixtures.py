@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import html, text
 from gleaner.operators import dedupe
-from gleaner.sources import providers
+from gleaner.sources import directories, providers, registry
 from gleaner.tables import values_sql
 
 QUERIES: dict = {}
@@ -228,3 +228,65 @@ ENTRIES = [
 )
 def entries_to_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.entries_to_results(spark.createDataFrame(ENTRIES, "name string, website string, source_url string, snippet string, email string, phone string, ordinal int"))
+
+
+def _sources(spark: SparkSession) -> DataFrame:
+    return registry.sources(spark, {"Hotels": ["Booking", "Hotels.com"]})
+
+
+_REGISTRY = values_sql([(r[0], r[1], r[3], r[4]) for r in registry.implemented_rows()], "ordinal, id, category, scraper_key")
+
+
+@query(f"SELECT scraper_key, count(*) AS sources, string_agg(id, ',' ORDER BY ordinal) AS ids FROM {_REGISTRY} GROUP BY 1")
+def source_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = registry.active(_sources(spark))
+    return own.groupBy("scraper_key").agg(F.count("*").alias("sources"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "id"))), lambda s: s["id"]), ",").alias("ids"))
+
+
+@query(f"SELECT id, category FROM {_REGISTRY} WHERE id IN ('yelp', 'wko', 'branchen_hotels')")
+def source_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    selected = spark.createDataFrame([("yelp",), ("wko",), ("branchen_hotels",), ("no such",), ("hotels_booking",)], "id string")
+    return registry.active(_sources(spark), selected).select("id", "category")
+
+
+_PROFILES = values_sql(registry.profile_rows(), "rank, profile, id")
+NAMED = [(c,) for c in ("Hotel", "hotel garni", "Zahnärzte Zahnarzt", "Steuer-Berater", "KFZ Werkstatt & Autohaus", "Ärzte", "Goldschmied", "", "Spedition/Logistik", "maler")]
+
+
+@query(
+    f"""WITH c AS (SELECT DISTINCT category, trim(regexp_replace(replace(strip_accents(lower(category)), 'ß', 'ss'), '[^a-z0-9]+', ' ', 'g')) AS key FROM {values_sql(NAMED, 'category')}),
+p AS (SELECT DISTINCT rank, profile FROM {_PROFILES}),
+m AS (SELECT category, profile, row_number() OVER (PARTITION BY category ORDER BY CASE WHEN key = profile THEN 0 WHEN contains(key, profile) THEN 1 ELSE 2 END, CASE WHEN key <> profile AND contains(key, profile) THEN -length(profile) ELSE 0 END, rank) AS n
+  FROM c JOIN p ON key <> '' AND (contains(key, profile) OR list_has_any(string_split(key, ' '), string_split(profile, ' '))))
+SELECT c.category, key, profile FROM c LEFT JOIN (SELECT * FROM m WHERE n = 1) m ON m.category = c.category"""
+)
+def profile_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.match_profiles(spark.createDataFrame(NAMED, "category string"))
+
+
+@query(
+    f"""SELECT 'hotel garni' AS category, unnest(['yelp', 'gelbeseiten']) AS id UNION ALL SELECT 'Goldschmied', unnest(['yelp', 'gelbeseiten', 'indeed']) UNION ALL
+SELECT 'Zahnarzt', id FROM (SELECT t.id FROM {_PROFILES} WHERE profile = 'zahnarzt') WHERE id IN (SELECT id FROM {_REGISTRY.replace(' t(', ' u(')})"""
+)
+def category_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    selected = spark.createDataFrame([("yelp",), ("gelbeseiten",), ("indeed",)], "id string")
+    return registry.category_sources(spark.createDataFrame([("hotel garni",), ("Goldschmied",), ("Zahnarzt",)], "category string"), _sources(spark), selected)
+
+
+_OWN = "https://www.wirt-am-eck.example"
+LISTED = [
+    ("gelbeseiten", "l1", '<article class="mod mod-Treffer" id="a"><a href="https://www.gelbeseiten.de/gsbiz/1"><h2 class="mod-Treffer__name">Wirt</h2></a></article>', 1),
+    ("yelp", "l2", '<a href="/biz/wirt-berlin?osq=x">x</a><a href="/biz/gast">y</a>', 1),
+    ("wko", "l3", f"<article class='search-result-article'><a class=\"title-link\" href=\"/wirt\"><h3>Wirt</h3></a><a class='kontaktinfo-web-click' href='{_OWN}'></a></article>", 1),
+]
+DETAILED = [
+    ("https://www.gelbeseiten.de/gsbiz/1", f'<title>Wirt am Eck | Gelbe</title><div class="contains-icon-big-homepage"><a href="{_OWN}"></div> info@wirt-am-eck.example'),
+    ("https://www.yelp.de/biz/wirt-berlin", '<a href="/biz_redir?url=https%3A%2F%2Fwww.wirt-am-eck.example&amp;c=1">'),
+    ("https://www.yelp.de/biz/gast", "nothing"),
+]
+
+
+@query(_rows([("gelbeseiten", "Wirt am Eck", _OWN, "info@wirt-am-eck.example", "Gelbe Seiten"), ("yelp", "Wirt Berlin", _OWN, "", "Yelp"), ("wko", "Wirt", _OWN, "", "WKO Firmen A-Z")], "scraper_key, name, website, email, snippet"))
+def directory_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = spark.createDataFrame(LISTED, "scraper_key string, url string, html string, page int")
+    return directories.entries(lists, spark.createDataFrame(DETAILED, "url string, html string")).select("scraper_key", "name", "website", "email", "snippet")
