@@ -8,10 +8,10 @@ holds its own offset in its part, so that any stripe can be read alone; the part
 integer column, give each part's start. Nothing is ordered by one task: Spark samples the ranges'
 bounds, and a part is sorted where it lands.
 
-The library's pre-tokeniser never lets a token cross from a character into a single space before
-another word, so a text is cut before each such space and the cuts' ids are joined; cuts met before come
-from a bounded cache, others go to the library in batches. A text with any other white space beside a
-space goes to the library whole.
+The library's pre-tokeniser never lets a token cross from a character into a single space or line feed
+before another word, so a text is cut before each of these and the cuts' ids are joined; cuts met before
+come from a bounded cache, others go to the library in batches. A text with any other white space goes
+to the library whole.
 
 Defined cases: a null or empty text has the end id alone; rows with equal doc_id stand next to each other,
 ordered by text, and come out as often as they came in; rows without a doc_id come first; an empty table
@@ -23,27 +23,33 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import shared_dir
+from gleaner.llm.common import pieces_of, shared_dir
 
 END_ID = 2
 INDEX_ROWS = 1000
 #: Rows of a part, about, and the most parts: beyond, parts grow. A part is a file.
 PART_ROWS = 8192
 MAX_PARTS = 20_000
-#: Cuts that a worker remembers: some 60 MB at most.
-CACHE = 200_000
+#: Cuts that a worker remembers: some 180 MB; beyond, those met once only are forgotten.
+CACHE = 900_000
 
 SCHEMA = "part int, doc_id long, offset long, n_tokens int, ids array<int>"
-#: White space next to a space, as the pre-tokeniser sees it, or at either end.
-_UNEVEN = re.compile(r"\s\s|^\s|\s$")
+#: White space beside the space and the line feed, and all of it; marks that may end a word; an apostrophe may join the next letter instead.
+_OTHER = "\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_BLANK = " \n" + _OTHER
+_MARKS = ".,!?;:|$#%&*)"
+_WORD = re.compile(rf"([A-Za-zÀ-ÖØ-öø-ɏ]+)([{re.escape(_MARKS)}]*)").fullmatch
 #: How often a worker's own process splits: the library's threads would compete with Spark's tasks.
 _ENV = {"TOKENIZERS_PARALLELISM": "false"}
 
@@ -55,88 +61,147 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class Encoder:
-    def __init__(self, path: str, remembered: int = CACHE):
+    """Ids of texts through the library.
+
+    A text whose white space is single spaces and line feeds between words is cut before each. A cut is named
+    by its word: "w" stands for " w", "\\nw" for itself, "\\1w" for w at the text's start, "\\2" for the end.
+    Ids are kept in flat arrays, and looked up for a batch of texts at once.
+    """
+
+    def __init__(self, path: str, end_id: int = END_ID, remembered: int = CACHE):
         import os
 
         os.environ.update(_ENV)
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         #: Texts of special tokens are cut by the library before anything else.
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+        special = "".join("|" + re.escape(t.content) for t in self.library.get_added_tokens_decoder().values())
+        self.uneven = rf"[{_BLANK}][{_BLANK}]|^[{_BLANK}]|[{_BLANK}]$|[{_OTHER}\x00-\x03]{special}"
+        self.batch = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
+        one = Tokenizer.from_file(path)
+        one.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        one.model._resize_cache(0)  # it is never asked for a word twice in a row
+        self.single = getattr(one, "encode_batch_fast", one.encode_batch)
         self.remembered = remembered
-
-    def _by_library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian 32-bit integers."""
-        known = self.known
-        cuts: list[list[str] | None] = []
-        fresh: dict[str, bytes] = {}
-        whole: list[str] = []
-        for t in texts:
-            if _UNEVEN.search(t) or any(s in t for s in self.special):
-                cuts.append(None)
-                whole.append(t)
-                continue
-            own = t.replace(" ", "\x00 ").split("\x00") if "\x00" not in t else None
-            cuts.append(own)
-            if own is None:
-                whole.append(t)
-            else:
-                fresh.update((c, b"") for c in own if c not in known)
-        if fresh:
-            fresh = dict(zip(fresh, self._by_library(list(fresh)), strict=True))
-            room = self.remembered - len(known)
-            if room > 0:
-                for c, ids in fresh.items():
-                    if len(c) < 48:
-                        known[c] = ids
-                        room -= 1
-                        if not room:
-                            break
-        rest = iter(self._by_library(whole))
-        out = []
-        for own in cuts:
-            if own is None:
-                out.append(next(rest))
-            elif fresh:
-                out.append(b"".join([known[c] if c in known else fresh[c] for c in own]))
+        self.end_id = end_id
+        self._forget(np.empty(0, np.int64))
+
+    def by_library(self, texts: list[str], single: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and how many each has. single: each is one word for the pre-tokeniser, which needn't look for its parts."""
+        flat, size = array("I"), []
+        for e in (self.single if single else self.batch)(texts, add_special_tokens=False):
+            ids = e.ids
+            flat.extend(ids)
+            size.append(len(ids))
+        return np.array(flat, dtype="<u4"), np.array(size, dtype=np.int32)
+
+    def _forget(self, kept: np.ndarray) -> None:
+        """Leaves these entries, and the end's."""
+        if not len(kept):
+            self.names, self.ids, self.size = ["\2"], np.array([self.end_id], "<u4"), np.array([1], np.int32)
+        else:
+            kept = np.union1d(kept, [0])
+            self.names, self.ids, self.size = [self.names[i] for i in kept.tolist()], self._gathered(kept), self.size[kept]
+        self.place = {n: i for i, n in enumerate(self.names)}
+        self.hits = np.zeros(len(self.size), np.int32)
+        self.first = np.cumsum(self.size, dtype=np.int32) - self.size
+
+    def _gathered(self, entries: np.ndarray) -> np.ndarray:
+        """The entries' ids, one after the other."""
+        size = self.size[entries]
+        upto = np.cumsum(size, dtype=np.int32)
+        place = np.repeat(self.first[entries] - (upto - size), size)
+        place += np.arange(len(place), dtype=np.int32)
+        return self.ids[place]
+
+    def _add(self, names: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        self.place.update(zip(names, range(len(self.names), len(self.names) + len(names)), strict=True))
+        self.names += names
+        self.ids, self.size = np.concatenate([self.ids, ids]), np.concatenate([self.size, size.astype(np.int32)])
+        self.hits = np.concatenate([self.hits, np.zeros(len(size), np.int32)])
+        self.first = np.cumsum(self.size, dtype=np.int32) - self.size
+
+    def _find(self, names: list[str]) -> np.ndarray:
+        get = self.place.get
+        return np.fromiter((get(n, -1) for n in names), dtype=np.int64, count=len(names))
+
+    def _learn(self, names: Iterable[str]) -> None:
+        """Adds the ids of names that aren't known; a word's and its closing marks' are joined: no token has both."""
+        place, words, others, ended = self.place, {}, {}, []
+        for name in names:
+            m = _WORD(name)
+            if m is None:
+                others[name] = None
+            elif m.end(1) == len(name):
+                words[name] = None
             else:
-                out.append(b"".join(map(known.__getitem__, own)))
-        return out
+                word, marks = m[1], "\1" + m[2]
+                ended.append((name, word, marks))
+                if word not in place:
+                    words[word] = None
+                if marks not in place:
+                    others[marks] = None
+        for own, single in ((list(words), True), (list(others), False)):
+            self._add(own, *self.by_library([x[1:] if x[0] == "\1" else x if x[0] == "\n" else " " + x for x in own], single))
+        if ended:
+            pairs = self._find([x for e in ended for x in e[1:]])
+            self._add([e[0] for e in ended], self._gathered(pairs), self.size[pairs].reshape(-1, 2).sum(axis=1))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids, each followed by the end's, and where each text's ids begin (and the last end)."""
+        if not len(texts):
+            return np.empty(0, "<u4"), np.zeros(1, np.int32)
+        if len(self.size) > self.remembered:
+            self._forget(np.flatnonzero(self.hits > 1))
+            if len(self.size) > self.remembered // 2:
+                self._forget(np.empty(0, np.int64))
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        uneven = pc.match_substring_regex(texts, self.uneven)
+        whole = texts.filter(uneven)
+        marked = pc.binary_join_element_wise("\1", pc.replace_substring(texts, "\n", " \n"), " \2", "")
+        if len(whole):  # each is a cut of its own
+            own = [f"\3{k}" for k in range(len(whole))]
+            marked = pc.replace_with_mask(marked, uneven, pa.array([f"{x} \2" for x in own]))
+            self._add(own, *self.by_library(whole.to_pylist()))
+        names = " ".join(marked.to_pylist()).split(" ")
+        get = self.place.get
+        entry = np.fromiter(map(get, names, repeat(-1)), dtype=np.int64, count=len(names))
+        if len(unmet := np.flatnonzero(entry < 0)):
+            unknown = [names[i] for i in unmet.tolist()]
+            self._learn(dict.fromkeys(unknown))
+            entry[unmet] = self._find(unknown)
+        self.hits += np.bincount(entry, minlength=len(self.hits)).astype(np.int32)
+        upto = np.cumsum(self.size[entry], dtype=np.int32)
+        ids = self._gathered(entry)
+        if len(whole):
+            self._forget(np.array([i for i, n in enumerate(self.names) if n[:1] != "\3"]))
+        return ids, np.r_[0, upto[entry == 0]].astype(np.int32)  # the end's entry is the first
 
 
 @cache
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, end_id: int) -> Encoder:
+    return Encoder(path, end_id)
 
 
 def _encoded(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
-        tail = np.array([end_id], dtype="<u4").tobytes()
+        own = encoder(path, end_id)
         part, offset = None, 0  # a part's rows come together and in order
-        for whole in batches:
-            for at in range(0, len(whole), 500):
-                b = whole.slice(at, 500)
-                packed = [x + tail for x in own.encode([t or "" for t in b.column(2).to_pylist()])]
-                n = [len(x) // 4 for x in packed]
-                offsets = []
-                for p, k in zip(b.column(0).to_pylist(), n, strict=True):
-                    if p != part:
-                        part, offset = p, 0
-                    offsets.append(offset)
-                    offset += k
-                ids = pa.ListArray.from_arrays(
-                    pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.frombuffer(b"".join(packed), dtype="<u4").view("<i4"))
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0), b.column(1), pa.array(offsets, pa.int64()), pa.array(n, pa.int32()), ids],
-                    names=["part", "doc_id", "offset", "n_tokens", "ids"],
-                )
+        for b in pieces_of(batches, 2, 4_000_000):
+            flat, upto = own.encode(b.column(2))
+            n = np.diff(upto)
+            offsets = []
+            for p, k in zip(b.column(0).to_pylist(), n.tolist(), strict=True):
+                if p != part:
+                    part, offset = p, 0
+                offsets.append(offset)
+                offset += k
+            ids = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(flat.view("<i4")))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(offsets, pa.int64()), pa.array(n.astype(np.int32)), ids],
+                names=["part", "doc_id", "offset", "n_tokens", "ids"],
+            )
 
     return run
 
@@ -148,7 +213,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     placed = docs.repartitionByRange(n_parts, "doc_id").sortWithinPartitions("doc_id", "text").select(F.spark_partition_id().alias("part"), "doc_id", "text")
     (
         placed.mapInArrow(_encoded(tokenizer or tokenizer_path(), end_id), SCHEMA)
-        .write.option("orc.compress", "ZSTD")
+        .write.option("orc.compress", "SNAPPY")
         .option("orc.row.index.stride", str(INDEX_ROWS))
         .option("orc.create.index", "true")
         .option("orc.bloom.filter.columns", "doc_id")
