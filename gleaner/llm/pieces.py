@@ -41,8 +41,8 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Below the least score of a normal piece by this: a character without a piece.
 UNKNOWN_PENALTY = 10.0
-#: Cuts that a worker remembers: some 60 MB at most. Later ones are segmented each time they occur.
-CACHE = 200_000
+#: Cuts of a generation, two of which a worker remembers: some 60 MB each. Rare ones are segmented again when they come back.
+CACHE = 250_000
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -139,6 +139,8 @@ class Codec:
         self.unknown_score = v.least - UNKNOWN_PENALTY
         self.matches = v.automaton(lambda i: v.scores[i]).iter
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.chars = 0
         self.remembered = remembered
 
     def segment(self, cut: str) -> list[int]:
@@ -173,17 +175,23 @@ class Codec:
             at = start[at]
         return out[::-1]
 
-    def _packed(self, cut: str) -> bytes:
-        got = self.known.get(cut)
-        if got is None:
-            got = np.array(self.segment(cut.replace(" ", SPACE)), dtype="<i4").tobytes()
-            if len(self.known) < self.remembered and len(cut) < 64:
-                self.known[cut] = got
-        return got
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """Each text's ids as little-endian 32-bit integers."""
+        if len(self.known) > self.remembered or self.chars > 16 * self.remembered:  # what's met again comes back from the last generation
+            self.known, self.older, self.chars = {}, self.known, 0
+        known, older = self.known, self.older
+        cuts = [self.vocabulary.cuts(t or "") for t in texts]
+        for cut in {c for own in cuts for c in own if c not in known}:
+            got = older.get(cut)
+            if got is None:
+                got = np.array(self.segment(cut.replace(" ", SPACE)), dtype="<i4").tobytes()
+            known[cut] = got
+            self.chars += len(cut)
+        get = known.__getitem__
+        return [b"".join(map(get, own)) for own in cuts]
 
     def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian 32-bit integers."""
-        return b"".join(map(self._packed, self.vocabulary.cuts(text or "")))
+        return self.encode_all([text])[0]
 
     def decode(self, ids) -> str:
         v = self.vocabulary
@@ -212,7 +220,7 @@ def with_pieces(docs: DataFrame, text: str = "text", model: str | None = None) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for b in pieces_of(batches, text):
-            packed = [own.encode(t.as_py()) for t in b.column(text)]
+            packed = own.encode_all(b.column(text).to_pylist())
             offsets = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
             flat = np.frombuffer(b"".join(packed), dtype="<i4")
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
@@ -231,7 +239,7 @@ def report(docs: DataFrame) -> DataFrame:
         own = codec(path)
         for b in pieces_of(batches, 1):
             texts = b.column(1).to_pylist()
-            packed = [own.encode(t) for t in texts]
+            packed = own.encode_all(texts)
             offsets = np.cumsum([0, *(len(p) // 4 for p in packed)], dtype=np.int32)
             flat = np.frombuffer(b"".join(packed), dtype="<i4")
             back = [own.decode(flat[a:z].tolist()) for a, z in zip(offsets, offsets[1:], strict=False)]
