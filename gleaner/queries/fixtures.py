@@ -7,9 +7,9 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions import html, text
-from gleaner.operators import dedupe
-from gleaner.sources import directories, providers, registry
+from gleaner.functions import errors, html, text
+from gleaner.operators import dedupe, messages
+from gleaner.sources import directories, providers, registry, search
 from gleaner.tables import values_sql
 
 QUERIES: dict = {}
@@ -146,7 +146,7 @@ LISTING = [
 ]
 
 
-@query(_rows([(0, 0, "https://www.google.com/maps/place/Hotel+A/data=1?x=1"), (0, 1, "https://www.google.com/maps/place/Hotel%20B/@1"), (0, 2, "https://www.google.de/maps/place/C"), (0, 3, "https://www.google.com/maps/place/D")], "response, place, place_url"))
+@query(_rows([(0, 0, "https://www.google.com/maps/place/Hotel+A/data=1?x=1"), (0, 1, "https://www.google.de/maps/place/C"), (0, 2, "https://www.google.com/maps/place/Hotel%20B/@1"), (0, 3, "https://www.google.com/maps/place/D")], "response, place, place_url"))
 def map_place_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return providers.place_urls(_responses(spark, LISTING))
 
@@ -290,3 +290,86 @@ DETAILED = [
 def directory_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = spark.createDataFrame(LISTED, "scraper_key string, url string, html string, page int")
     return directories.entries(lists, spark.createDataFrame(DETAILED, "url string, html string")).select("scraper_key", "name", "website", "email", "snippet")
+
+
+MAP_PAGES = [
+    '<a href="/maps/place/Hotel+A/x" aria-label="Website: www.a.example ">A</a><a href="/maps/place/Hotel+A/y" aria-label="Website: https://z.example">again</a>'
+    '<a href="/maps/place/B/x"></a><a href="https://www.google.com/x"></a><a href="https://b.example/"></a>{"/maps/place/C/":{"website":"https://A.example/"}}',
+    '<a href="https://www.google.de/x"></a><a href="https://only.example/">x</a>',
+]
+
+
+@query(_rows([(1, "Hotel A", "https://www.a.example"), (3, "B", "https://b.example"), (4, "C", "https://A.example"), (1000001, "only.example", "https://only.example")], "ordinal, title, url"))
+def map_listing_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return providers.map_listing_results(_responses(spark, MAP_PAGES)).select("ordinal", "title", "url")
+
+
+RENDERED = [
+    json.dumps({"name": ["", " Hotel A "], "website": [" ", "https://google.com/x"], "website_url": "https://a.example"}),
+    json.dumps({"html": "<p>x</p>", "xhr": [{"body": "b1"}, {"response": "b2"}, {"body": ""}], "website": "//b.example"}),
+    " <html>bare", "not json", "",
+]
+
+
+@query(_rows([(0, "", 0, "https://google.com/x"), (1, "<p>x</p>", 2, "//b.example"), (2, "<html>bare", 0, None), (3, "not json", 0, None), (4, "", 0, None)], "response, html, bodies, website"))
+def map_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = providers.map_payloads(_responses(spark, RENDERED))
+    site = F.get(providers.extracted(F.col("css"), "website", "website_url"), F.lit(0))
+    return own.select("response", "html", F.size("bodies").alias("bodies"), site.alias("website"))
+
+
+@query(_rows([(1, "b.example", "https://b.example")], "ordinal, title, url"))
+def map_detail_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _responses(spark, RENDERED).withColumn("place_url", F.lit("x"))
+    return providers.map_detail_payloads(own).select("ordinal", "title", "url")
+
+
+FORMS = ['<form><input name="q"></form><form id=x><input type="hidden" name="q" value="hotel"><input name="s" value="30"/><INPUT name="s" value="60"></form>', "<form><input name='q'></form>"]
+
+
+@query(_rows([(0, "q=hotel;s=60"), (1, None)], "response, fields"))
+def ddg_next_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = providers.duckduckgo_form(_responses(spark, FORMS))
+    pairs = F.transform(F.array_sort(F.map_entries("fields")), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return own.select("response", F.when(F.col("fields").isNotNull(), F.array_join(pairs, ";")).alias("fields"))
+
+
+LOG = [("timed out",), ("HTTP Error 503: busy",), ("HTTP Error 404: no",), ("[WinError 10054] x",), ("Connection refused",), ("http error 500",), ("ok",)]
+
+
+@query(
+    f"""SELECT message, regexp_matches(lower(message), 'timed out|timeout|temporarily unavailable') OR regexp_matches(message, 'HTTP Error (408|425|429|500|502|503|504):') AS search,
+  regexp_matches(lower(message), 'timed out|timeout|connection reset|reset by peer|10054|10053|connection aborted|connection refused|temporarily unavailable|remotehost geschlossen|http error (429|500|502|503|504)') AS directory FROM {values_sql(LOG, 'message')}"""
+)
+def retryable_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.col("message")
+    return spark.createDataFrame(LOG, "message string").select("message", errors.is_retryable_search_error(m).alias("search"), errors.is_transient_directory_error(m).alias("directory"))
+
+
+_KINDS = ("progress", "site_done", "page", "warning", "lead", "status", "warning")
+
+
+@query(
+    f"""WITH m AS (SELECT user_id AS run, event_id AS ordinal, [{', '.join(f"'{k}'" for k in _KINDS)}][1 + event_id * 13 % 7] AS kind, event_type AS text FROM events),
+b AS (SELECT *, kind = 'status' AS barrier, coalesce(sum(CASE WHEN kind = 'status' THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM m),
+g AS (SELECT run, part, kind, max_by(text, ordinal) AS text, max(ordinal) AS ordinal, count(*) AS n FROM b WHERE NOT barrier AND kind <> 'lead' GROUP BY 1, 2, 3),
+d AS (SELECT *, max(CASE WHEN kind = 'site_done' THEN 1 END) OVER (PARTITION BY run, part) AS done FROM g)
+SELECT run, ordinal, kind, text FROM b WHERE barrier OR kind = 'lead'
+UNION ALL SELECT run, ordinal, kind, CASE WHEN kind = 'warning' AND n > 1 THEN n || 'x, last: ' || text ELSE text END FROM d WHERE NOT (kind = 'progress' AND done IS NOT NULL)"""
+)
+def message_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    kind = F.get(F.array(*map(F.lit, _KINDS)), (F.col("event_id") * 13 % 7).cast("int"))
+    return messages.coalesced(events.select(F.col("user_id").alias("run"), F.col("event_id").alias("ordinal"), kind.alias("kind"), F.col("event_type").alias("text")))
+
+
+@query(_rows([("https://a.example", 0), ("https://b.example", 1), ("https://a.example/x", 1)], "url, turn").replace("SELECT *", "SELECT url, turn + 1 AS turn"))
+def combined_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three sources by turns, of which one fails."""
+    one = lambda urls: lambda: spark.createDataFrame([(u, i) for i, u in enumerate(urls)], "url string, ordinal long")
+
+    def fails() -> DataFrame:
+        raise OSError("no answer")
+
+    sources = {"osm": one(["https://a.example", "https://b.example"]), "bing": one(["https://A.example/", "https://a.example/x", "https://c.example"]), "brave": fails}
+    return search.combined(spark, sources, 3).select("url", "turn")
