@@ -57,10 +57,12 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROOTS = frozenset(("article", "main"))
 # Words of class, id and role that name boilerplate; with * their beginnings.
 BAD_WORDS = (
-    "ad ads advert* adsense banner* breadcrumb* byline complementary consent* contentinfo cookie* copyright dialog disclaimer footer* gdpr header legal login "
+    "ad ads advert* adsense banner* breadcrumb* complementary consent* contentinfo cookie* copyright dialog disclaimer footer* gdpr legal login "
     "masthead menu* modal* nav navbar* navigation newsletter* notice* outbrain pager pagination popup* promo* recommend* related* search share* sharing "
-    "sidebar* signup skip social* sponsor* subscribe* subscription taboola teaser* toolbar tooltip tracking widget*"
+    "sidebar* signup skip social* sponsor* subscribe* subscription taboola toolbar tooltip tracking widget*"
 ).split()
+# Outside an article or main element these too.
+OUTER_WORDS = "header teaser*".split()
 COMMENT_WORDS = "comment* disqus* replies reply respond".split()
 
 
@@ -68,7 +70,7 @@ def _alternatives(words: list[str]) -> re.Pattern:
     return re.compile(rf"(?:^|[^a-z0-9])(?:{'|'.join(w.replace('*', '[a-z0-9]*') for w in words)})(?![a-z0-9])")
 
 
-_BAD = _alternatives(BAD_WORDS)
+_BAD, _BAD_OUTSIDE = _alternatives(BAD_WORDS), _alternatives([*BAD_WORDS, *OUTER_WORDS])
 _COMMENTS = _alternatives(COMMENT_WORDS)
 _TAG = re.compile(
     r"<(?:!--.*?(?:--!?>|\Z)|(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.S
@@ -105,7 +107,7 @@ def _excludes(tag: str, attrs: str, in_root: bool) -> str:
         return ""
     if _COMMENTS.search(named):
         return "comments"
-    return "words" if tag not in ROOTS and _BAD.search(named) else ""
+    return "words" if tag not in ROOTS and (_BAD if in_root else _BAD_OUTSIDE).search(named) else ""
 
 
 def blocks(html: str) -> list[Block]:

@@ -24,6 +24,7 @@ CASES = [
     ("white space", page(f"<main><p>a\n\t b&nbsp;&nbsp;c</p><pre>{LONG}\n x</pre></main>"), ["a b c", LONG.strip() + " x"]),
     ("links", page(f"<article><p>{LONG}</p><ul><li><a href=1>First linked story of today</a></li><li><a href=2>Second</a></li></ul><p>With a <a href=3>link</a> in it.</p></article>"), [LONG.strip(), "With a link in it."]),
     ("hidden", page(f"<article><p hidden>{LONG}</p><p style='display: none'>{LONG}</p><p>{LONG}</p></article>"), [LONG.strip()]),
+    ("headers of the article and of the page", page(f"<div class='page-header'>{LONG}</div><article><header class='entry-header'><h1>Head</h1></header><div class='article-header'>By A. Writer</div><p>{LONG}</p></article>"), ["Head", "By A. Writer", LONG.strip()]),
     ("plain", "Just a line of text", ["Just a line of text"]),
     ("stray", "<article><p>a < b and c > d <3 &lt;x&gt; &#233; &bogus; &am", ["a < b and c > d <3 <x> é &bogus; &am"]),
     ("end in a tag", f"<article><p>{LONG}</p><p>cut <a hre", [LONG.strip(), "cut"]),
