@@ -1 +1 @@
-"""Spark-first engine for lead-research data: landed snapshots in, one clean lead table out."""
+"""Spark-first engine for business-contact data: landed snapshots in, one clean lead table out."""
