@@ -41,8 +41,8 @@ INDEX_ROWS = 1000
 #: Rows of a part, about, and the most parts: beyond, parts grow. A part is a file.
 PART_ROWS = 8192
 MAX_PARTS = 20_000
-#: Cuts that a worker remembers: some 180 MB; beyond, those met once only are forgotten.
-CACHE = 900_000
+#: Cuts that a worker remembers: some 150 MB; beyond, those met once only are forgotten.
+CACHE = 1_000_000
 
 SCHEMA = "part int, doc_id long, offset long, n_tokens int, ids array<int>"
 #: White space beside the space and the line feed, and all of it; marks that may end a word; an apostrophe may join the next letter instead.
@@ -60,12 +60,65 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class _Table:
+    """Open addressing from keys of 16 bytes, as two words each, to entries; many at a time."""
+
+    def __init__(self, bits: int):
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.low, self.high = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
+        self.entry = np.full(1 << bits, -1, np.int32)
+        self.held = 0
+
+    def _slots(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        mixed = (low ^ (high * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+        return ((mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93) >> self.shift).astype(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The keys' entries, -1 for unknown ones."""
+        slot = self._slots(low, high)
+        out = self.entry[slot]
+        left = np.flatnonzero((out >= 0) & ((self.low[slot] != low) | (self.high[slot] != high)))
+        while len(left):
+            slot[left] = slot[left] + 1 & self.mask
+            at = slot[left]
+            out[left] = self.entry[at]
+            left = left[(out[left] >= 0) & ((self.low[at] != low[left]) | (self.high[at] != high[left]))]
+        return out
+
+    def insert(self, low: np.ndarray, high: np.ndarray, entry: np.ndarray) -> None:
+        """Adds keys that are new and distinct."""
+        slot, left = self._slots(low, high), np.arange(len(low))
+        self.held += len(low)
+        while len(left):
+            at = slot[left]
+            free = self.entry[at] < 0
+            self.entry[at[free]] = entry[left[free]]
+            won = free & (self.entry[at] == entry[left])
+            self.low[at[won]], self.high[at[won]] = low[left[won]], high[left[won]]
+            left = left[~won]
+            slot[left] = slot[left] + 1 & self.mask
+
+
+def _keys(names: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first 16 bytes of each name as two words, and which names have no more."""
+    upto = np.frombuffer(names.buffers()[1], np.int32, len(names) + 1, names.offset * 4)
+    data = np.frombuffer(names.buffers()[2] or b"", np.uint8)[upto[0] : upto[-1]]
+    rows = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(16, np.uint8)]), 16)[upto[:-1] - upto[0]]
+    size = np.diff(upto)
+    words = rows.view("<u8") & _CUT[np.minimum(size, 16)]
+    return np.ascontiguousarray(words[:, 0]), np.ascontiguousarray(words[:, 1]), size <= 16
+
+
+#: By length, which bits of the two words are of the name.
+_CUT = np.array([np.frombuffer(b"\xff" * n + b"\0" * (16 - n), "<u8") for n in range(17)])
+
+
 class Encoder:
     """Ids of texts through the library.
 
     A text whose white space is single spaces and line feeds between words is cut before each. A cut is named
     by its word: "w" stands for " w", "\\nw" for itself, "\\1w" for w at the text's start, "\\2" for the end.
-    Ids are kept in flat arrays, and looked up for a batch of texts at once.
+    Names of up to 16 bytes are looked up in a flat table for a batch of texts at once, longer ones in a dictionary.
     """
 
     def __init__(self, path: str, end_id: int = END_ID, remembered: int = CACHE):
@@ -84,8 +137,9 @@ class Encoder:
         one.model._resize_cache(0)  # it is never asked for a word twice in a row
         self.single = getattr(one, "encode_batch_fast", one.encode_batch)
         self.remembered = remembered
+        self.bits = max(8, (4 * remembered).bit_length())
         self.end_id = end_id
-        self._forget(np.empty(0, np.int64))
+        self._begin()
 
     def by_library(self, texts: list[str], single: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and how many each has. single: each is one word for the pre-tokeniser, which needn't look for its parts."""
@@ -96,16 +150,24 @@ class Encoder:
             size.append(len(ids))
         return np.array(flat, dtype="<u4"), np.array(size, dtype=np.int32)
 
-    def _forget(self, kept: np.ndarray) -> None:
-        """Leaves these entries, and the end's."""
-        if not len(kept):
-            self.names, self.ids, self.size = ["\2"], np.array([self.end_id], "<u4"), np.array([1], np.int32)
-        else:
-            kept = np.union1d(kept, [0])
-            self.names, self.ids, self.size = [self.names[i] for i in kept.tolist()], self._gathered(kept), self.size[kept]
-        self.place = {n: i for i, n in enumerate(self.names)}
-        self.hits = np.zeros(len(self.size), np.int32)
-        self.first = np.cumsum(self.size, dtype=np.int32) - self.size
+    def _begin(self) -> None:
+        self.table, self.long = _Table(self.bits), {}
+        self.low, self.high = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.ids, self.size, self.first = np.empty(0, "<u4"), np.empty(0, np.int32), np.empty(0, np.int32)
+        self.hits = np.empty(0, np.int32)
+        self._add(["\2"], np.array([self.end_id], "<u4"), np.array([1], np.int32))
+
+    def _forget(self) -> None:
+        """Leaves what has been met more than once."""
+        names = {i: n for n, i in self.long.items()}
+        kept = np.flatnonzero(self.hits > 1)
+        kept = kept[kept > 0]
+        if len(kept) > self.remembered // 2:
+            kept = kept[:0]
+        low, high, ids, size = self.low[kept], self.high[kept], self._gathered(kept), self.size[kept]
+        long = [names.get(i) for i in kept.tolist()]
+        self._begin()
+        self._take(low, high, np.array([n is None for n in long], bool), long, ids, size)
 
     def _gathered(self, entries: np.ndarray) -> np.ndarray:
         """The entries' ids, one after the other."""
@@ -115,68 +177,86 @@ class Encoder:
         place += np.arange(len(place), dtype=np.int32)
         return self.ids[place]
 
-    def _add(self, names: list[str], ids: np.ndarray, size: np.ndarray) -> None:
-        self.place.update(zip(names, range(len(self.names), len(self.names) + len(names)), strict=True))
-        self.names += names
+    def _take(self, low: np.ndarray, high: np.ndarray, short: np.ndarray, names: list, ids: np.ndarray, size: np.ndarray) -> None:
+        entry = np.arange(len(self.size), len(self.size) + len(size), dtype=np.int32)
+        self.table.insert(low[short], high[short], entry[short])
+        self.long.update((names[i], int(entry[i])) for i in np.flatnonzero(~short).tolist())
+        self.low, self.high = np.concatenate([self.low, low]), np.concatenate([self.high, high])
+        self.first = np.concatenate([self.first, np.cumsum(size, dtype=np.int32) - size + np.int32(len(self.ids))])
         self.ids, self.size = np.concatenate([self.ids, ids]), np.concatenate([self.size, size.astype(np.int32)])
         self.hits = np.concatenate([self.hits, np.zeros(len(size), np.int32)])
-        self.first = np.cumsum(self.size, dtype=np.int32) - self.size
 
-    def _find(self, names: list[str]) -> np.ndarray:
-        get = self.place.get
-        return np.fromiter((get(n, -1) for n in names), dtype=np.int64, count=len(names))
+    def _add(self, names: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        if names:
+            low, high, short = _keys(pa.array(names, pa.string()))
+            self._take(low, high, short, names, ids, size)
+
+    def _find(self, names: pa.StringArray) -> np.ndarray:
+        if not len(names):
+            return np.empty(0, np.int32)
+        low, high, short = _keys(names)
+        out = self.table.find(low, high)
+        if len(more := np.flatnonzero(~short)):
+            own = names.take(pa.array(more)).to_pylist()
+            out[more] = np.fromiter(map(self.long.get, own, repeat(-1)), dtype=np.int32, count=len(own))
+        return out
 
     def _learn(self, names: Iterable[str]) -> None:
-        """Adds the ids of names that aren't known; a word's and its closing marks' are joined: no token has both."""
-        place, words, others, ended = self.place, {}, {}, []
+        """Adds the ids of distinct names that aren't known; a word's and its closing marks' are joined: no token has both."""
+        words, others, ended, parts = [], [], [], {}
         for name in names:
             m = _WORD(name)
             if m is None:
-                others[name] = None
+                others.append(name)
             elif m.end(1) == len(name):
-                words[name] = None
+                words.append(name)
             else:
                 word, marks = m[1], "\1" + m[2]
                 ended.append((name, word, marks))
-                if word not in place:
-                    words[word] = None
-                if marks not in place:
-                    others[marks] = None
-        for own, single in ((list(words), True), (list(others), False)):
+                parts[word], parts[marks] = True, False
+        if parts:
+            own = list(parts)
+            met = set(words)
+            met.update(others)
+            for part, found in zip(own, self._find(pa.array(own, pa.string())).tolist(), strict=True):
+                if found < 0 and part not in met:
+                    (words if parts[part] else others).append(part)
+        for own, single in ((words, True), (others, False)):
             self._add(own, *self.by_library([x[1:] if x[0] == "\1" else x if x[0] == "\n" else " " + x for x in own], single))
         if ended:
-            pairs = self._find([x for e in ended for x in e[1:]])
+            pairs = self._find(pa.array([x for e in ended for x in e[1:]], pa.string()))
             self._add([e[0] for e in ended], self._gathered(pairs), self.size[pairs].reshape(-1, 2).sum(axis=1))
 
+    def _even(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """As encode, of texts that may be cut."""
+        marked = pc.binary_join_element_wise("\1", pc.replace_substring(texts, "\n", " \n"), " \2", "")
+        lists = pc.split_pattern(marked, " ")
+        names = lists.values
+        entry = self._find(names)
+        if len(unmet := np.flatnonzero(entry < 0)):
+            unknown = names.take(pa.array(unmet))
+            self._learn(dict.fromkeys(unknown.to_pylist()))
+            entry[unmet] = self._find(unknown)
+        self.hits += np.bincount(entry, minlength=len(self.hits)).astype(np.int32)
+        upto = np.r_[0, np.cumsum(self.size[entry], dtype=np.int32)]
+        return self._gathered(entry), upto[lists.offsets.to_numpy()].astype(np.int32)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids, each followed by the end's, and where each text's ids begin (and the last end)."""
-        if not len(texts):
-            return np.empty(0, "<u4"), np.zeros(1, np.int32)
         if len(self.size) > self.remembered:
-            self._forget(np.flatnonzero(self.hits > 1))
-            if len(self.size) > self.remembered // 2:
-                self._forget(np.empty(0, np.int64))
+            self._forget()
         texts = pc.fill_null(texts.cast(pa.string()), "")
         uneven = pc.match_substring_regex(texts, self.uneven)
-        whole = texts.filter(uneven)
-        marked = pc.binary_join_element_wise("\1", pc.replace_substring(texts, "\n", " \n"), " \2", "")
-        if len(whole):  # each is a cut of its own
-            own = [f"\3{k}" for k in range(len(whole))]
-            marked = pc.replace_with_mask(marked, uneven, pa.array([f"{x} \2" for x in own]))
-            self._add(own, *self.by_library(whole.to_pylist()))
-        names = " ".join(marked.to_pylist()).split(" ")
-        get = self.place.get
-        entry = np.fromiter(map(get, names, repeat(-1)), dtype=np.int64, count=len(names))
-        if len(unmet := np.flatnonzero(entry < 0)):
-            unknown = [names[i] for i in unmet.tolist()]
-            self._learn(dict.fromkeys(unknown))
-            entry[unmet] = self._find(unknown)
-        self.hits += np.bincount(entry, minlength=len(self.hits)).astype(np.int32)
-        upto = np.cumsum(self.size[entry], dtype=np.int32)
-        ids = self._gathered(entry)
-        if len(whole):
-            self._forget(np.array([i for i, n in enumerate(self.names) if n[:1] != "\3"]))
-        return ids, np.r_[0, upto[entry == 0]].astype(np.int32)  # the end's entry is the first
+        whole = texts.filter(uneven).to_pylist()
+        if not whole:
+            return self._even(texts)
+        ids, upto = self._even(texts.filter(pc.invert(uneven)))
+        flat, size = self.by_library(whole)
+        ends = np.cumsum(size)
+        even = iter([ids[a:z] for a, z in zip(upto, upto[1:], strict=False)])
+        odd = iter([np.r_[flat[z - n : z], np.uint32(self.end_id)] for n, z in zip(size, ends, strict=True)])
+        rows = [next(odd if u else even) for u in uneven.to_pylist()]
+        return np.concatenate(rows).astype("<u4"), np.cumsum([0, *map(len, rows)]).astype(np.int32)
 
 
 @cache
