@@ -237,11 +237,11 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # Large star: what is above u moves to u's least neighbour.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"))
+        least = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")))  # as a table, so that a join may split a hub's edges
         star = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
-        star = star.distinct()
+        star = checkpointed(star.distinct())
         # Small star: u and what is below it move to the least of these.
-        low = star.groupBy("a").agg(F.min("b").alias("m"))
+        low = checkpointed(star.groupBy("a").agg(F.min("b").alias("m")))
         down = star.join(low, "a")
         edges = down.select("a", F.col("m").alias("b")).unionByName(down.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
         edges = checkpointed(edges.distinct())
@@ -257,7 +257,7 @@ def groups(docs: DataFrame) -> DataFrame:
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     member = components(links(nodes.select("fp")))
     rooted = nodes.join(member.withColumnRenamed("a", "fp"), "fp", "left").select("fp", "least", F.coalesce("b", "fp").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    lowest = checkpointed(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     named = rooted.select("fp", "root").join(lowest, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
