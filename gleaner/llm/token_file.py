@@ -41,8 +41,8 @@ INDEX_ROWS = 1000
 #: Rows of a part, about, and the most parts: beyond, parts grow. A part is a file.
 PART_ROWS = 8192
 MAX_PARTS = 20_000
-#: Cuts that a worker remembers: some 150 MB; beyond, those met once only are forgotten.
-CACHE = 1_000_000
+#: Cuts that a worker remembers: some 80 MB; beyond, those met once only are forgotten.
+CACHE = 800_000
 
 SCHEMA = "part int, doc_id long, offset long, n_tokens int, ids array<int>"
 #: White space beside the space and the line feed, and all of it; marks that may end a word; an apostrophe may join the next letter instead.
@@ -137,7 +137,7 @@ class Encoder:
         one.model._resize_cache(0)  # it is never asked for a word twice in a row
         self.single = getattr(one, "encode_batch_fast", one.encode_batch)
         self.remembered = remembered
-        self.bits = max(8, (4 * remembered).bit_length())
+        self.bits = max(8, (2 * remembered).bit_length())
         self.end_id = end_id
         self._begin()
 
@@ -154,7 +154,7 @@ class Encoder:
         self.table, self.long = _Table(self.bits), {}
         self.low, self.high = np.empty(0, np.uint64), np.empty(0, np.uint64)
         self.ids, self.size, self.first = np.empty(0, "<u4"), np.empty(0, np.int32), np.empty(0, np.int32)
-        self.hits = np.empty(0, np.int32)
+        self.hits, self.short = np.empty(0, np.int32), np.empty(0, bool)
         self._add(["\2"], np.array([self.end_id], "<u4"), np.array([1], np.int32))
 
     def _forget(self) -> None:
@@ -179,6 +179,11 @@ class Encoder:
 
     def _take(self, low: np.ndarray, high: np.ndarray, short: np.ndarray, names: list, ids: np.ndarray, size: np.ndarray) -> None:
         entry = np.arange(len(self.size), len(self.size) + len(size), dtype=np.int32)
+        if (need := 2 * (self.table.held + int(short.sum()))) > len(self.table.entry):  # half empty, so that a search is short
+            own = np.flatnonzero(self.short)
+            self.table = _Table(need.bit_length())
+            self.table.insert(self.low[own], self.high[own], own.astype(np.int32))
+        self.short = np.concatenate([self.short, short])
         self.table.insert(low[short], high[short], entry[short])
         self.long.update((names[i], int(entry[i])) for i in np.flatnonzero(~short).tolist())
         self.low, self.high = np.concatenate([self.low, low]), np.concatenate([self.high, high])
@@ -268,7 +273,7 @@ def _encoded(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, end_id)
         part, offset = None, 0  # a part's rows come together and in order
-        for b in pieces_of(batches, 2, 4_000_000):
+        for b in pieces_of(batches, 2, 3_000_000):
             flat, upto = own.encode(b.column(2))
             n = np.diff(upto)
             offsets = []

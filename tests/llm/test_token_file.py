@@ -30,6 +30,18 @@ def test_cuts_join_to_the_library_ids():
                 assert [flat[a:z].tolist() for a, z in zip(upto, upto[1:], strict=False)] == [[*ids, 2] for ids in library(part)]
 
 
+def test_table_finds_what_it_holds():
+    rng = np.random.default_rng(3)
+    own = token_file.Encoder(token_file.tokenizer_path(), 2, 0)
+    for n in (1, 300, 5000):
+        names = [f"{i:x}" * int(k) for i, k in zip(rng.integers(0, 1 << 40, n), rng.integers(1, 4, n), strict=True)]
+        names = [x for x in dict.fromkeys(names) if own._find(pa.array([x]))[0] < 0]
+        before = len(own.size)
+        own._add(names, np.arange(len(names), dtype="<u4"), np.ones(len(names), np.int32))
+        assert own._find(pa.array(names)).tolist() == list(range(before, before + len(names)))
+        assert (own._find(pa.array([x + "!" for x in names])) < 0).all()
+
+
 def test_report_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(token_file, "PART_ROWS", 6)
     rows = [(i * 7 % 19, t, i) for i, t in enumerate(ODD)] + [(None, "no id", 0), (3, "again", 1), (3, "again", 2), (50, "long " * 30_000, 0)]
