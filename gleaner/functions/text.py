@@ -18,7 +18,8 @@ EDGE_MARKS = ".,;:()[]{}<>\"'"
 UMLAUTS = (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss"))
 
 #: Unicode classes, as the pattern's \b, \s and letters are meant.
-_EMAIL = f"(?iU){EMAIL_PATTERN}"
+#: No sign of an address is in the first class, so the local part needn't be given back.
+_EMAIL = "(?iU)" + EMAIL_PATTERN.replace("[A-Z0-9._%+-]+", "[A-Z0-9._%+-]++", 1)
 _SPACES = r"(?U)\s+"
 _ASSET = f"({'|'.join(s.replace('.', '[.]') for s in ASSET_SUFFIXES)})$"
 
