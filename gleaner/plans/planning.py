@@ -194,3 +194,38 @@ def site_searches(categories: DataFrame, limit: int) -> DataFrame:
     """(category, domain_rank, query, rows): each category narrowed to each source domain, and its rows at most."""
     domains = categories.sparkSession.createDataFrame(list(enumerate(tables.SOURCE_DOMAINS)), "domain_rank int, domain string")
     return categories.select("category").crossJoin(F.broadcast(domains)).select("category", "domain_rank", F.concat("category", F.lit(" site:"), "domain").alias("query"), F.lit(per_domain_limit(limit)).alias("rows"))
+
+
+def city_names(cities: DataFrame, countries: tuple[str, ...]) -> DataFrame:
+    """(country_rank, rank, name): the countries' cities in order, a name of several countries once, at its first."""
+    known = F.broadcast(_countries(cities.sparkSession, countries))
+    own = cities.join(known, "country").withColumn("_n", F.row_number().over(Window.partitionBy("name").orderBy("country_rank", "rank")))
+    return own.filter("_n = 1").select("country_rank", "rank", "name")
+
+
+def locations(location: str, cities: DataFrame, countries: tuple[str, ...] = ("DE",), per_country: int | None = None, fallback: str = "Berlin") -> DataFrame:
+    """(place, label): the location itself, else the countries' cities in order, else the fallback."""
+    spark = cities.sparkSession
+    if location.strip():
+        return spark.createDataFrame([(0, location.strip())], "place long, label string")
+    known = F.broadcast(_countries(spark, countries))
+    own = top_cities(cities, per_country).join(known.select("country", "country_rank"), "country")
+    named = own.select((F.col("country_rank") * 1_000_000 + F.col("rank")).cast("long").alias("place"), F.col("name").alias("label"))
+    return named if not named.isEmpty() else spark.createDataFrame([(0, fallback)], "place long, label string")
+
+
+def _query_string(**parameters: Column) -> Column:
+    """Parameters in order, encoded as a form's: spaces as +."""
+    return F.concat_ws("&", *(F.concat(F.lit(f"{k}="), F.url_encode(v.cast("string"))) for k, v in parameters.items()))
+
+
+def web_search_url(query: Column, start: Column, locale: Column) -> Column:
+    """Address of a result page of a web search."""
+    return F.concat(F.lit("https://www.google.com/search?"), _query_string(q=query, num=F.lit(10), start=start, hl=locale, gl=locale))
+
+
+def map_search_url(category: Column, location: Column, country: Column) -> Column:
+    """Address of a map search in a country's language."""
+    asked = F.array_join(F.filter(F.array(F.trim(category), F.trim(location)), lambda p: p != ""), " ")
+    host = F.when(country == "AT", "www.google.at").otherwise("www.google.de")
+    return F.concat(F.lit("https://"), host, F.lit("/maps/search/"), F.url_encode(F.when(asked == "", "unternehmen").otherwise(asked)), F.lit("?hl=de"))

@@ -177,3 +177,31 @@ SELECT raw, array_to_string(parts, ' ') AS title, array_to_string(parts, '-') AS
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.col("raw")
     return spark.createDataFrame(SLUGS, "raw string").select("raw", text.title_case(text.collapse(raw)).alias("title"), text.hyphen_slug(raw).alias("slug"), text.folded_slug(raw, "berlin").alias("folded"))
+
+
+@query(
+    f"""WITH {_TOWNS} SELECT country_rank, rank, name FROM (SELECT {_ORDER} AS country_rank, rank, name, row_number() OVER (PARTITION BY name ORDER BY {_ORDER}, rank) AS n FROM cities) WHERE n = 1"""
+)
+def city_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.city_names(planning.best_cities(_towns(spark, sf_dir)), ("DE", "AT")).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"WITH {_TOWNS} SELECT {_ORDER} * 1000000 + rank AS place, name AS label FROM cities WHERE rank <= 40")
+def map_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.locations(" ", planning.best_cities(_towns(spark, sf_dir)), ("DE", "AT"), planning.osm_budget(120))
+
+
+ASKED = [("hotel", "Bad Aibling", "DE"), ("café & bar", "", "AT"), (" ", "", "DE"), ("müller", " Köln ", "AT")]
+_ENC = "replace(url_encode({0}), '%20', '+')"
+
+
+@query(
+    f"""WITH a AS (SELECT category, location, country, trim(trim(category) || ' ' || trim(location)) AS asked FROM {values_sql(ASKED, 'category, location, country')})
+SELECT category, 'https://www.google.com/search?q=' || {_ENC.format('asked')} || '&num=10&start=20&hl=' || lower(country) || '&gl=' || lower(country) AS web,
+  'https://www.google.' || lower(country) || '/maps/search/' || {_ENC.format("coalesce(nullif(asked, ''), 'unternehmen')")} || '?hl=de' AS maps FROM a"""
+)
+def search_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.createDataFrame(ASKED, "category string, location string, country string")
+    category, location, country = (F.col(c) for c in own.columns)
+    asked = F.trim(F.concat_ws(" ", F.trim(category), F.trim(location)))
+    return own.select("category", planning.web_search_url(asked, F.lit(20), F.lower(country)).alias("web"), planning.map_search_url(category, location, country).alias("maps"))
