@@ -39,6 +39,8 @@ from gleaner.llm.training import fold
 DICTIONARY = 1 << 17
 #: Cuts that a task counts before it hands them on.
 COUNTED = 200_000
+#: A summand smaller by this (in logarithms) than the sum doesn't change a double.
+NOTHING = 40.0
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BREAK = "\1"
@@ -140,41 +142,34 @@ class Lattice:
         self.vocabulary = vocabulary
         self.matches = vocabulary.automaton(lambda i: w[i]).iter
         self.weights = w
+        self.single = {vocabulary.texts[i] for i in vocabulary.usable if len(vocabulary.texts[i]) == 1}
 
     def log_probability(self, cut: str) -> float:
         """Of a cut with spaces as spaces: over all its segmentations, by a forward recursion in log space."""
         cut = cut.replace(" ", pieces.SPACE)
-        n = len(cut)
-        alpha = [0.0] + [-math.inf] * n
+        none = -math.inf
+        alpha = [0.0] + [none] * len(cut)
         log1p, exp = math.log1p, math.exp
-        at, covered = 0, True
-
-        def spelled(p: int) -> None:  # a character that no piece covers
-            own = sum(self.weights[i] for i in self.vocabulary.spelled(cut[p - 1])) + alpha[p - 1]
-            old = alpha[p]
-            high, low = (own, old) if own > old else (old, own)
-            alpha[p] = high if low == -math.inf else high + log1p(exp(low - high))
-
+        if self.single.issuperset(cut):
+            for end, (size, _, weight) in self.matches(cut):
+                end += 1
+                own, old = alpha[end - size] + weight, alpha[end]
+                if own > old:
+                    alpha[end] = own + log1p(exp(old - own)) if old > own - NOTHING else own
+                elif own > old - NOTHING:
+                    alpha[end] = old + log1p(exp(own - old))
+            return alpha[-1]
+        # As above, with an edge for each character that no piece covers: its bytes' pieces.
+        ends: list[list[tuple[int, float]]] = [[] for _ in cut]
         for end, (size, _, weight) in self.matches(cut):
-            end += 1
-            while at < end:
-                if not covered:
-                    spelled(at)
-                at, covered = at + 1, False
-            own, old = alpha[end - size] + weight, alpha[end]
-            if old == -math.inf:
-                alpha[end] = own
-            elif own > old:
-                alpha[end] = own + log1p(exp(old - own))
-            else:
-                alpha[end] = old + log1p(exp(own - old))
-            if size == 1:
-                covered = True
-        while at <= n:
-            if not covered:
-                spelled(at)
-            at, covered = at + 1, False
-        return alpha[n]
+            ends[end].append((size, weight))
+        for end, found in enumerate(ends):
+            if cut[end] not in self.single:
+                found.append((1, sum(self.weights[i] for i in self.vocabulary.spelled(cut[end]))))
+            paths = [alpha[end + 1 - size] + weight for size, weight in found]
+            most = max(paths)
+            alpha[end + 1] = most + math.log(sum(exp(p - most) for p in paths))
+        return alpha[-1]
 
 
 def weights_of(counts: dict[int, int], ends: int, vocabulary: pieces.Vocabulary) -> tuple[np.ndarray, float]:
