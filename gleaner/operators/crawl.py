@@ -77,14 +77,14 @@ def _of_directory(start: dict, category: str, include_personal: bool) -> list[tu
     return [(category, source, (start["url"] or "").strip(), email, title, "", title, _status(email), [note], start["ordinal"])]
 
 
-def crawl(results: DataFrame, pages: DataFrame, category: str, max_pages: int = 5, include_personal: bool = False, robots: DataFrame | None = None) -> DataFrame:
+def crawl(results: DataFrame, pages: DataFrame, robots: DataFrame, category: str, max_pages: int = 5, include_personal: bool = False) -> DataFrame:
     """Leads of search results (url, title, snippet, directory_email, directory_source_url, ordinal) from page snapshots (url, html).
 
     robots: (url) of pages that may not be read; they're left out first. A site's pages come together by host, so a
     result only sees its own host's snapshots. A result without a usable URL, or whose site has no lead, falls
     back on its directory address.
     """
-    allowed = pages if robots is None else pages.join(robots.select("url"), "url", "left_anti")
+    allowed = pages.join(robots.select("url"), "url", "left_anti")
     starts = results.withColumn("site_url", urls.normalize_url(F.col("url")))
     starts = starts.withColumn("site", F.when(F.col("site_url") != "", urls.host(F.col("site_url"))).otherwise(F.concat(F.lit("#"), F.col("ordinal").cast("string"))))
     snapshots = allowed.select(urls.host(F.col("url")).alias("site"), urls.strip_fragment(F.col("url")).alias("page_url"), F.coalesce("html", F.lit("")).alias("html"))

@@ -301,4 +301,5 @@ def site_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _read(spark, sf_dir, "pages").select("url", "html")
     own = _read(spark, sf_dir, "pages").withColumn("host", urls.host(F.col("url")))
     starts = dedupe.first_wins(own, F.col("host"), "page_id").select("url", F.lit("").alias("title"), F.lit("").alias("snippet"), F.lit("").alias("directory_email"), F.lit("").alias("directory_source_url"), F.col("page_id").alias("ordinal"))
-    return crawl.crawl(starts, pages, "hotel", include_personal=True).select("source_url", "website", "email", "company_name", "consent_status")
+    closed = spark.createDataFrame([], "url string")  # these pages come without rules
+    return crawl.crawl(starts, pages, closed, "hotel", include_personal=True).select("source_url", "website", "email", "company_name", "consent_status")

@@ -10,16 +10,14 @@ from gleaner.functions import urls
 PAGE_CHARS = 1_000_000
 
 
-def readable(fetches: DataFrame, robots: DataFrame | None = None, limit: int = PAGE_CHARS) -> DataFrame:
+def readable(fetches: DataFrame, robots: DataFrame, limit: int = PAGE_CHARS) -> DataFrame:
     """(url, html) of fetches (url, content_type, status, html): HTML pages that came back, cut at limit characters.
 
-    robots: (host, prefix) of paths that hosts close to readers. A page under a closed prefix is left out, always;
-    a host without rules is open.
+    robots: (host, prefix) of paths that hosts close to readers. A page under a closed prefix is left out; a host
+    without rules is open.
     """
     own = fetches.filter(F.lower("content_type").contains("html") & F.coalesce(F.col("status") < 400, F.lit(True)))
-    if robots is not None:
-        path = F.coalesce(F.nullif(F.try_parse_url("url", F.lit("PATH")), F.lit("")), F.lit("/"))
-        rules = robots.filter("prefix <> ''").select(F.lower("host").alias("_host"), "prefix")
-        closed = own.select("url", urls.host(F.col("url")).alias("_host"), path.alias("_path")).join(rules, "_host").filter(F.startswith("_path", F.col("prefix")))
-        own = own.join(closed.select("url").distinct(), "url", "left_anti")
-    return own.select("url", F.substring("html", 1, limit).alias("html"))
+    path = F.coalesce(F.nullif(F.try_parse_url("url", F.lit("PATH")), F.lit("")), F.lit("/"))
+    rules = robots.filter("prefix <> ''").select(F.lower("host").alias("_host"), "prefix")
+    closed = own.select("url", urls.host(F.col("url")).alias("_host"), path.alias("_path")).join(rules, "_host").filter(F.startswith("_path", F.col("prefix")))
+    return own.join(closed.select("url").distinct(), "url", "left_anti").select("url", F.substring("html", 1, limit).alias("html"))

@@ -81,13 +81,13 @@ def test_crawl_of_a_site(spark):
         "url string, title string, snippet string, directory_email string, directory_source_url string, ordinal long",
     )
     robots = spark.createDataFrame([("https://closed.de/",)], "url string")
-    got = crawl.crawl(results.withColumn("url", F.when(F.col("url") == "www.hotel.de/", "https://www.hotel.de/").otherwise(F.col("url"))), pages, "hotel", robots=robots).collect()
+    got = crawl.crawl(results.withColumn("url", F.when(F.col("url") == "www.hotel.de/", "https://www.hotel.de/").otherwise(F.col("url"))), pages, robots, "hotel").collect()
     leads = {(r.ordinal, r.email, r.website, r.company_name, r.page_title) for r in got}
     assert leads == {
         (0, "info@hotel.de", "https://www.hotel.de/", "Hotel", "Hotel - Berlin"), (0, "sales@hotel.de", "https://www.hotel.de/about-us", "Hotel", "Hotel - Berlin"),
         (0, "kontakt@hotel.de", "https://www.hotel.de/impressum", "Impressum", "Impressum"), (2, "office@d.de", "", "D", "D"),
     }
-    few = crawl.crawl(results.filter("ordinal = 0").withColumn("url", F.lit("https://www.hotel.de/")), pages, "hotel", max_pages=1, include_personal=True).collect()
+    few = crawl.crawl(results.filter("ordinal = 0").withColumn("url", F.lit("https://www.hotel.de/")), pages, robots, "hotel", max_pages=1, include_personal=True).collect()
     assert sorted(r.email for r in few) == ["info@hotel.de", "max@hotel.de"]
 
 
