@@ -2,7 +2,7 @@
 
 toxicity            drops the documents that the factorization machine rejects (score >= 0.3)
 quality             drops the documents that the support vectors reject (score < 0.3)
-near_duplicates     keeps one document of each group of linked SimHash fingerprints, the least doc_id
+near_duplicates     keeps one document, the least doc_id, of each group linked by a Jaccard similarity of 0.8 of five-word shingles
 decontaminate       drops the documents that hold ten words in a row, or all words, of a benchmark item
 pieces              encodes what is left as SentencePiece ids and decodes them again
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontaminate, pieces, quality, simhash, toxicity
+from gleaner.llm import decontaminate, near_copies, pieces, quality, toxicity
 from gleaner.llm.common import landed, table
 
 
@@ -30,7 +30,7 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.representatives(docs)
+    return near_copies.representatives(docs)
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -262,16 +262,5 @@ def groups(docs: DataFrame) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that stand for their groups: those whose doc_id is the group's least, once each.
-
-    Rows without a doc_id can't be told apart by it: of those with equal text one stays.
-    """
-    named = docs.filter(F.col("doc_id").isNotNull())
-    kept = groups(named).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    once = named.join(kept, named["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.filter(F.col("doc_id").isNull()).dropDuplicates(["text"]))
-
-
 def report(docs: DataFrame) -> DataFrame:
     return groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
