@@ -10,31 +10,35 @@ recomputed task draws the same row. Then a partition permutes its rows and deals
 row of the matrix; after the exchange each block, which holds as many rows as it has slots, permutes
 again.
 
-The input is checkpointed first (ids, sizes and checksums only), so that a recomputed partition has the same
-rows in the same order. A block's rows are put in an order of their own (partition, place) before
-they are permuted, so the result depends on the seed alone.
+The rows themselves, all columns, go through the exchange (``sharded``); the query's digest is taken from them
+afterwards. The input is checkpointed first, so that a recomputed partition has the same rows in the same
+order. A block's rows are put in an order of their own (partition, place) before they are permuted, so the
+result depends on the seed alone; they are sorted and read in batches, so no task holds a block's texts at once.
 
 Defined cases: a null text has no bytes and checksum 0; rows with equal or null doc_id are rows like
 any other; fewer rows than shards leave some shards without rows; an empty table gives no rows; further
-columns are ignored.
+columns stay with their rows.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from gleaner.llm.common import checkpointed
 
 SHARDS = 16
 SEED = 20_240_229
-#: Slots of a block, about, and the most blocks of a shard: beyond, blocks grow.
+#: Slots of a block and bytes of its texts, about, and the most blocks of a shard: beyond, blocks grow.
 BLOCK_ROWS = 4096
+BLOCK_BYTES = 16_000_000
 MAX_BLOCKS = 4096
 #: numpy's own sampler takes populations up to this.
 _NUMPY_MOST = 10**9 - 1
@@ -106,21 +110,16 @@ def matrix_row(counts: np.ndarray, sizes: np.ndarray, partition: int, seed: int)
     return row
 
 
-def uniform_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot of each row of docs (doc_id, text)."""
-    text = F.coalesce("text", F.lit(""))
-    facts = checkpointed(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            (F.octet_length(text) + 1).cast("long").alias("size"),
-            F.crc32(text.cast("binary")).alias("text_crc32"),
-        )
-    )
-    found = facts.groupBy(F.spark_partition_id().alias("p")).count().collect()  # a row per partition
+def sharded(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, block_rows: int = BLOCK_ROWS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, all columns as struct ``row``, with their shard and slot."""
+    rows = checkpointed(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row")))
+    size = F.coalesce(F.octet_length("row.text"), F.lit(0)).cast("long")
+    found = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("count"), F.sum(size).alias("bytes")).collect()  # a row per partition
     counts = np.zeros(max((r.p for r in found), default=0) + 1, dtype=np.int64)
     for r in found:
         counts[r.p] = r["count"]
-    sizes, per = block_sizes(int(counts.sum()), shards, block_rows)
+    mean = sum(r["bytes"] for r in found) / max(1, int(counts.sum()))
+    sizes, per = block_sizes(int(counts.sum()), shards, max(1, min(block_rows, int(block_bytes / max(1.0, mean)))))
     before = np.cumsum(sizes) - sizes
     first_slot = before - np.repeat(before[::per], per)
 
@@ -139,18 +138,37 @@ def uniform_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, bloc
             done += len(b)
             yield pa.RecordBatch.from_arrays([*b.columns, *own], names=[*b.schema.names, "place", "block"])
 
-    dealt = facts.select(F.spark_partition_id().alias("p"), "*").mapInArrow(
-        deal, "p int, doc_id long, size long, text_crc32 long, place long, block int"
+    dealt = rows.select(F.spark_partition_id().alias("p"), "row").mapInArrow(
+        deal, StructType([StructField("p", IntegerType()), rows.schema["row"], StructField("place", LongType()), StructField("block", IntegerType())])
     )
 
-    def settle(key: tuple, b: pa.Table) -> pa.Table:
-        block = key[0].as_py()
-        b = b.sort_by([("p", "ascending"), ("place", "ascending")])
-        slot = np.random.default_rng([seed, block, 1 << 41]).permutation(len(b)) + first_slot[block]
-        own = [pa.array(np.full(len(b), block // per, dtype=np.int32)), pa.array(slot)]
-        return pa.table([*(b.column(c) for c in ("doc_id", "size", "text_crc32")), *own], names=["doc_id", "size", "text_crc32", "shard", "slot"])
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, slots, done = -1, None, 0
+        for b in batches:  # sorted by block, partition and place, so a block's rows come in an order of their own
+            of = b.column("block").to_numpy()
+            slot = np.empty(len(b), dtype=np.int64)
+            for lo, hi in pairwise([0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]):
+                if hi > lo and of[lo] != block:
+                    block, done = int(of[lo]), 0
+                    slots = np.random.default_rng([seed, block, 1 << 41]).permutation(int(sizes[block])) + first_slot[block]
+                slot[lo:hi] = slots[done : done + hi - lo]
+                done += hi - lo
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array((of // per).astype(np.int32)), pa.array(slot)], names=["row", "shard", "slot"])
+
+    placed = dealt.repartition("block").sortWithinPartitions("block", "p", "place")
+    return placed.mapInArrow(settle, StructType([rows.schema["row"], StructField("shard", IntegerType()), StructField("slot", LongType())]))
 
-    return dealt.groupBy("block").applyInArrow(settle, "doc_id long, size long, text_crc32 long, shard int, slot long")
+
+def uniform_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot of each row of docs (doc_id, text), from the sharded rows."""
+    text = F.coalesce("row.text", F.lit(""))
+    return sharded(docs, shards, seed, block_rows).select(
+        F.col("row.doc_id").cast("long").alias("doc_id"),
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        "shard",
+        "slot",
+    )
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -73,3 +73,15 @@ def test_order_is_spread(spark):
 def test_columns(spark):
     got = shards.report(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
     assert got.dtypes == [("doc_id", "bigint"), ("size", "bigint"), ("text_crc32", "bigint"), ("law", "string"), ("shard", "int"), ("slot", "bigint"), ("grown_shard", "int")]
+
+
+def test_shards_hold_the_rows(spark):
+    rows = [(i % 40 or None, [None, "", "é x", "y" * 3000][i % 4], f"s{i}", i) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, slot long").repartition(3)
+    got = shards.sharded(df, block_rows=8, block_bytes=4000).collect()
+    assert sorted(map(str, (tuple(r.row) for r in got))) == sorted(map(str, rows))
+    by_shard = Counter(r.shard for r in got)
+    assert set(by_shard.values()) == {18, 19} and all(sorted(r.slot for r in got if r.shard == s) == list(range(n)) for s, n in by_shard.items())
+    digest = {(r.shard, r.slot): (r.doc_id, r.size, r.text_crc32) for r in shards.uniform_shards(df, block_rows=8).collect()}
+    held = {(r.shard, r.slot): (r.row.doc_id, len((r.row.text or "").encode()) + 1, zlib.crc32((r.row.text or "").encode())) for r in shards.sharded(df, block_rows=8).collect()}
+    assert digest == held
