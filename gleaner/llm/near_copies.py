@@ -11,7 +11,7 @@ large group of near copies that differ among themselves these pairs still grow w
 connected components.
 
 Defined cases: words are split at ASCII white space, A-Z lowered; a text of fewer than SHINGLE words is one shingle; texts
-that are null or have no words are equal.
+that are null or have no words are equal; rows without a doc_id and rows that repeat one are grouped by their texts like others.
 """
 
 from __future__ import annotations
@@ -196,11 +196,10 @@ def roots(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, that stand for their groups: those whose doc_id is the group's least, once each.
-
-    Rows without a doc_id can't be told apart by it: of those with equal text one stays.
-    """
-    named = docs.filter(F.col("doc_id").isNotNull())
-    kept = roots(named).groupBy("root").agg(F.min("doc_id").alias("kept_id")).select("kept_id").distinct()
-    once = named.join(kept, named["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.filter(F.col("doc_id").isNull()).dropDuplicates(["text"]))
+    """The rows of docs, all columns, that stand for their groups, one of each: the least by (doc_id, nulls last; hash of the text)."""
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
+    heads = roots(docs).groupBy("root").agg(F.min(order).alias("head"))
+    heads = heads.select(F.col("head.doc_id").alias("head_id"), F.col("head.row_key").alias("head_key"))
+    keyed = docs.withColumn("_row_key", _row_key(F.col("text")))
+    kept = keyed.join(heads, keyed["doc_id"].eqNullSafe(heads["head_id"]) & (keyed["_row_key"] == heads["head_key"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_row_key"]).select(docs.columns)

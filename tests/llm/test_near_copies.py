@@ -63,3 +63,11 @@ def test_steps_and_sample_don_t_change_groups(spark, rows, monkeypatch):
 
 def test_no_rows(spark):
     assert near_copies.representatives(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    rng = random.Random(8)
+    a, b, c, d = (" ".join("w" + str(rng.randrange(999)) for _ in range(60)) for _ in range(4))
+    rows = [(1, a), (None, a), (None, a.replace("w", "W") + " more"), (1, b), (2, b), (None, c), (None, c), (None, c + " more"), (5, d), (5, d)]
+    got = [tuple(r) for r in near_copies.representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert len(got) == 4 and {(1, a), (1, b), (5, d)} < set(got) and {(i, t[: len(c)]) for i, t in got if i is None} == {(None, c)}
