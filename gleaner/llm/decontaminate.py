@@ -124,7 +124,7 @@ def _keys(docs: DataFrame, lengths: list[int]) -> DataFrame:
 
 
 def _found(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Per distinct row of docs (doc_id, row_key: a hash of its text): copies, n_words, n_hit, item_ids."""
+    """Per distinct row of docs (doc_id, row_key: a hash of its text): copies, n_words, n_hit, item_ids, spans."""
     windows = checkpointed(benchmark_windows(items.select("item_id", "text")))
     shape = windows.groupBy("len").count().collect()  # SPAN rows at most
     if sum(x["count"] for x in shape) <= BROADCAST_WINDOWS:
@@ -155,16 +155,31 @@ def _found(docs: DataFrame, items: DataFrame) -> DataFrame:
         ),
         lambda a: a["n"],
     )
-    return found.select("doc_id", "row_key", "copies", F.col("n_words").cast("long").alias("n_words"), covered.alias("n_hit"), "item_ids")
+    passages = F.array().cast("array<struct<start:int,length:int>>")
+    passage = lambda a: F.array(F.struct(a["start"].alias("start"), (a["end"] - a["start"]).alias("length")))
+    merged = F.aggregate(
+        "spans",
+        F.struct(passages.alias("done"), F.lit(-1).alias("start"), F.lit(-1).alias("end")),
+        lambda a, x: F.struct(
+            F.when((x["start"] > a["end"]) & (a["end"] >= 0), F.concat(a["done"], passage(a))).otherwise(a["done"]).alias("done"),
+            F.when((x["start"] > a["end"]) | (a["end"] < 0), x["start"]).otherwise(a["start"]).alias("start"),
+            F.greatest(a["end"], x["start"] + x["len"]).alias("end"),
+        ),
+        lambda a: F.when(a["end"] < 0, passages).otherwise(F.concat(a["done"], passage(a))),
+    )
+    n_words = F.col("n_words").cast("long").alias("n_words")
+    return found.select("doc_id", "row_key", "copies", n_words, covered.alias("n_hit"), "item_ids", merged.alias("spans"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_words, n_hit, n_items, item_ids, contaminated.
+    """Per row of docs (doc_id, text): doc_id, n_words, n_hit, n_items, item_ids, contaminated, spans.
 
-    items: item_id, text. A word of a document is hit if it lies in any occurrence of an item's window.
+    items: item_id, text. A word of a document is hit if it lies in any occurrence of an item's window; spans are
+    the runs of hit words, as (start, length) in words from 0.
     """
     found = _found(docs, items).select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", (F.col("n_hit") > 0).alias("contaminated"))
+    n_items, contaminated = F.size("item_ids").cast("long").alias("n_items"), (F.col("n_hit") > 0).alias("contaminated")
+    return found.select("doc_id", "n_words", "n_hit", n_items, "item_ids", contaminated, "spans")
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:

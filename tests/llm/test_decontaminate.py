@@ -74,3 +74,12 @@ def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert [tuple(r)[1:4] for r in decontaminate.report(docs, items).orderBy("doc_id").collect()] == [(2, 0, 0), (0, 0, 0)]
     assert decontaminate.report(docs.limit(0), items).count() == 0 and decontaminate.clean(docs, items).count() == 2
+
+
+def test_spans_are_merged_runs_of_hit_words(spark):
+    long, short = " ".join(f"w{i}" for i in range(14)), "only three words"
+    texts = [f"a b {long} c {short}. {short} d", "clean", None, long, f"{long} {' '.join(long.split()[:10])} x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, long), (2, short)], "item_id long, text string")
+    got = {r.doc_id: ([tuple(s) for s in r.spans], r.n_hit) for r in decontaminate.decontaminate(docs, items).collect()}
+    assert got == {0: ([(2, 14), (17, 6)], 20), 1: ([], 0), 2: ([], 0), 3: ([(0, 14)], 14), 4: ([(0, 24)], 24)}
