@@ -23,12 +23,14 @@ def fold(doc_id: Column, parts: int) -> Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, use: Column, features: Callable[[str], np.ndarray], rows: int = SAMPLE_ROWS):
-    """Features (arrays of 32-bit ids) and labels of the sample: rows of labels where ``use`` (of doc_id) holds.
+    """Features (arrays of 32-bit ids) and labels of the sample: rows of labels of the input's documents where ``use`` (of doc_id) holds.
 
     A document with several labels counts with the greatest; null labels and ids are left out.
     """
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("y")).dropna().filter(use)
-    chosen = marked.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    marked = marked.groupBy("doc_id").agg(F.max("y").alias("y")).join(held, "doc_id", "left_semi")
+    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
