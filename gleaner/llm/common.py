@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -37,12 +38,45 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Folders of tables that were landed and not dropped yet.
+_folders: set[str] = set()
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, whose table is removed when the session's process ends, if ``remove`` hasn't done so."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _folders:
+        atexit.register(_remove_all)
+    _folders.add(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _folders.discard(path)
+
+
+def _remove_all() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and not spark.sparkContext._jsc.sc().isStopped():
+        for path in [*_folders]:
+            remove(spark, path)
+
+
 def landed(df: DataFrame, name: str, **options: str) -> DataFrame:
     """df written as a Parquet table in the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = folder(spark, name)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._landed = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Removes a landed table that nothing reads any more."""
+    remove(df.sparkSession, df._landed)
 
 
 def pieces_of(batches: Iterator[pa.RecordBatch], text: int | str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ repeated rows come out as often as they came in; further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -80,13 +80,21 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
-    """The place of each 64-bit word in the reflected Gray order."""
+    """The place of each fingerprint, a 64-bit word or a row of them, in the reflected Gray order."""
     x = x.copy()
     for s in (1, 2, 4, 8, 16, 32):
         x ^= x >> np.uint64(s)
+    for k in range(1, x.shape[1] if x.ndim == 2 else 1):  # a word's parity goes on in the next
+        x[:, k] ^= -(x[:, k - 1] & np.uint64(1))
     return x
 
 
+def gray_order(node: np.ndarray, fps: np.ndarray) -> np.ndarray:
+    """The order of rows by node and then Gray rank."""
+    rank = gray_rank(fps)
+    return np.lexsort((*(rank[:, k] for k in range(rank.shape[1] - 1, -1, -1)), node) if rank.ndim == 2 else (rank, node))
+
+
 def _roots(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Unites a[i] with b[i] in label, where each element's label is its set's least element."""
     while len(a):
@@ -103,7 +111,7 @@ def _roots(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 def _tree(node: np.ndarray, fps: np.ndarray) -> list[tuple]:
     """Levels from the leaves up, as (mask, pattern, first child, end child); the last has one group per node."""
     n = len(fps)
-    full = np.full(n, ~np.uint64(0))
+    full = np.full(fps.shape, ~np.uint64(0))
     levels = [(full, fps, np.arange(n), np.arange(n) + 1)]
     every, none = fps, fps  # the AND and the OR of each group's members
     owner = node
@@ -114,15 +122,19 @@ def _tree(node: np.ndarray, fps: np.ndarray) -> list[tuple]:
         size = np.diff(np.r_[first_of_owner, len(owner)])
         place = np.arange(len(owner)) - np.repeat(first_of_owner, size)
         starts = np.flatnonzero(place % FANOUT == 0)
-        every = np.bitwise_and.reduceat(every, starts)
-        none = np.bitwise_or.reduceat(none, starts)
+        every = np.bitwise_and.reduceat(every, starts, axis=0)
+        none = np.bitwise_or.reduceat(none, starts, axis=0)
         mask = ~(every ^ none)
         levels.append((mask, every & mask, starts, np.r_[starts[1:], len(owner)]))
         owner = owner[starts]
 
 
-def search(node: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """For fingerprints sorted by node and then Gray rank: each one's label, the least position it's linked to in its node."""
+def search(node: np.ndarray, fps: np.ndarray, radius: int = RADIUS, fits: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """For fingerprints in gray_order, words or rows of words: each one's label, the least position it's linked to in its node.
+
+    fits: which pairs of positions may be linked at all.
+    """
+    fps = fps.reshape(len(fps), -1)
     levels = _tree(node, fps)
     label = np.arange(len(fps))
     top = levels[-1]
@@ -134,12 +146,12 @@ def search(node: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> np.ndarra
     def differences(q, group, level, above, seen):
         mask, pattern, _, _ = levels[level]
         beyond = mask[group] if above is None else mask[group] & ~levels[level + 1][0][above]
-        return seen + np.bitwise_count((fps[q] ^ pattern[group]) & beyond)
+        return seen + np.bitwise_count((fps[q] ^ pattern[group]) & beyond).sum(axis=1, dtype=np.uint16)
 
     stack = []
     for lo in range(0, len(fps), STEP_PAIRS // FANOUT):
         q = np.arange(lo, min(len(fps), lo + STEP_PAIRS // FANOUT))
-        seen = differences(q, root[q], len(levels) - 1, None, np.zeros(len(q), np.uint8))
+        seen = differences(q, root[q], len(levels) - 1, None, np.zeros(len(q), np.uint16))
         stack.append((len(levels) - 1, q, root[q], seen))
     while stack:
         level, q, group, seen = stack.pop()
@@ -155,6 +167,9 @@ def search(node: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> np.ndarra
         keep = (seen <= radius) & (last[level - 1][child] - 1 > q[at])  # each pair once, the later one as the leaf
         q, child, seen = q[at][keep], child[keep], seen[keep]
         if level == 1:
+            if fits:
+                keep = fits(q, child)
+                q, child = q[keep], child[keep]
             _roots(label, q, child)
         elif len(q):
             stack.append((level - 1, q, child, seen))
@@ -166,9 +181,9 @@ def _links_in_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
     def found(mask, pattern, fps):
         fps = fps.view(np.uint64)
-        order = np.lexsort((gray_rank(fps), pattern, mask))
-        mask, pattern, fps = mask[order], pattern[order], fps[order]
-        node = np.cumsum(np.r_[False, (mask[1:] != mask[:-1]) | (pattern[1:] != pattern[:-1])])
+        node = np.cumsum(np.r_[False, (mask[1:] != mask[:-1]) | (pattern[1:] != pattern[:-1])])  # rows come sorted
+        order = gray_order(node, fps)
+        node, fps = node[order], fps[order]
         label = search(node, fps)
         linked = label != np.arange(len(label))
         a, b = fps[linked].view(np.int64), fps[label[linked]].view(np.int64)

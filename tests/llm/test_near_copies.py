@@ -55,7 +55,7 @@ def test_stage_finds_all_similar_pairs(spark, rows):
 
 
 def test_steps_and_sample_don_t_change_groups(spark, rows, monkeypatch):
-    for name, small in (("STEP_PAIRS", 3), ("BATCH_ROWS", 2), ("SAMPLE_ROWS", 20), ("HOT_SHINGLES", 7)):
+    for name, small in (("NODE_ROWS", 3), ("BATCH_ROWS", 2), ("SAMPLE_ROWS", 20), ("HOT_SHINGLES", 7), ("CHECKED", 600)):
         monkeypatch.setattr(near_copies, name, small)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     assert sorted(r.doc_id for r in near_copies.representatives(docs).collect()) == plain_heads(rows)
