@@ -9,22 +9,24 @@ is fitted to them by dual coordinate descent on the L2-regularised hinge loss, i
 towards their mean size by 1 - BETA, and a logistic curve fitted to a fifth of the sample, left out of a
 first fit, turns margins into scores. Scoring is one pass without a shuffle.
 
-Defined cases: a null or empty text has no n-grams and the score of margin ``bias``; without labels, or with one label
-only, each score is the share of label 1 (0 if there are none); repeated rows each get their score;
-columns named score and predicted are replaced, further ones kept.
+Defined cases: a null or empty text has no n-grams and the score of margin ``bias``; very long texts and words are read whole; without
+labels, or with one label only, each score is the share of label 1 (0 if there are none); of several labels of a document the
+greatest counts; repeated rows each get their score; an empty table gives no rows; columns named score and predicted are replaced, further
+ones kept.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.training import fold, labelled, scored
+from gleaner.llm.training import fold, grouped, labelled, scored, words_of
 
 BITS = 18
 MIN_DOCS = 5
@@ -45,7 +47,7 @@ def shape(word: str) -> str:
     folded = re.sub("A+", "A", re.sub("a+", "a", folded))
     for pattern, by in _RUNS:
         folded = pattern.sub(by, folded)
-    return folded[:24]
+    return folded
 
 
 class Grams:
@@ -62,22 +64,22 @@ class Grams:
                 self.known[word] = got
         return got
 
-    def ids(self, text: str) -> np.ndarray:
-        """The distinct ids of a text's n-grams."""
-        words = text.split()
-        if not words:
-            return np.empty(0, np.int64)
-        both = np.array([*map(self._word, words)], dtype=np.uint64)
-        again = np.array([False, *(a == b for a, b in pairwise(words))])
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where each text's ids begin (and the last's end), and its n-grams' distinct ids, ascending."""
+        doc, place, names = words_of(pc.utf8_split_whitespace(texts))
+        both = np.array([*map(self._word, names)], dtype=np.uint64).reshape(-1, 2)[place]
+        again = np.r_[False, (place[1:] == place[:-1]) & (doc[1:] == doc[:-1])][: len(doc)]
         one = both[:, 1] * np.uint64(2) + again
         mix = np.uint64(0x9E3779B97F4A7C15)
         two = (one[:-1] * mix + one[1:]) * mix
-        three = (two[:-1] + one[2:]) * mix if len(one) > 2 else two[:0]
-        seen = np.zeros(1 << BITS, dtype=bool)
-        seen[both[:, 0].astype(np.int64)] = True
+        three = (two[:-1] + one[2:]) * mix
+        keys = [doc << BITS | both[:, 0].astype(np.int64)]
         for k, grams in enumerate((one, two, three)):
-            seen[((grams * mix + np.uint64(k)) * mix >> np.uint64(64 - BITS)).astype(np.int64)] = True
-        return np.flatnonzero(seen)
+            own = doc[: len(grams)]
+            whole = own == doc[k:]  # all words are of one text
+            ids = ((grams * mix + np.uint64(k)) * mix >> np.uint64(64 - BITS)).astype(np.int64)
+            keys.append((own << BITS | ids)[whole])
+        return grouped(np.unique(np.concatenate(keys)), len(texts), BITS)
 
 
 class Model:
@@ -89,12 +91,14 @@ class Model:
         self.square = np.zeros(1 << BITS, np.float32) if ratio is None else ratio * ratio
         self.grams: Grams | None = None
 
-    def margins(self, rows) -> np.ndarray:
-        return np.array([self.weight[r].sum() / max(np.sqrt(self.square[r].sum()), 1e-9) + self.bias for r in rows])
+    def margins(self, upto: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        doc = np.repeat(np.arange(len(upto) - 1), np.diff(upto))
+        total, length = (np.bincount(doc, weights=x[ids], minlength=len(upto) - 1) for x in (self.weight, self.square))
+        return total / np.maximum(np.sqrt(length), 1e-9) + self.bias
 
-    def scores(self, texts: list[str]) -> np.ndarray:
+    def scores(self, texts: pa.Array) -> np.ndarray:
         self.grams = self.grams or Grams()
-        z = self.slope * self.margins(self.grams.ids(t) for t in texts) + self.shift
+        z = self.slope * self.margins(*self.grams(texts)) + self.shift
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
@@ -171,20 +175,14 @@ def fit(rows: list[np.ndarray], y: np.ndarray, seed: int = 11) -> Model:
     if len(np.unique(y[out])) < 2:  # too few labels to leave some out
         out = rest = np.arange(len(y))
     first = fitted(rest)
-    slope, shift = _curve(first.margins(rows[i] for i in out), y[out])
+    left = [rows[i] for i in out]
+    slope, shift = _curve(first.margins(np.cumsum([0, *map(len, left)]), np.concatenate(left)), y[out])
     return fitted(np.arange(len(y)), slope=slope, shift=shift)
 
 
 def train(docs: DataFrame, labels: DataFrame, use: Column) -> Model:
     """A model fitted to the bounded sample of labelled documents where ``use`` holds."""
-    grams: list[Grams] = []
-
-    def features(text: str) -> np.ndarray:
-        if not grams:
-            grams.append(Grams())
-        return grams[0].ids(text)
-
-    return fit(*labelled(docs, labels, "quality", use, features))
+    return fit(*labelled(docs, labels, "quality", use, Grams()))
 
 
 def with_scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -1,37 +1,43 @@
 """Toxicity scores by a factorization machine over hashed terms.
 
 A document's terms are its distinct words, lower-cased, these words' beginnings (inflected forms of one
-insult share them), and that a beginning is shared by two or by three of them, hashed to 2 ** BITS ids. Terms that the sample ties to either label (log-likelihood
-ratio over MIN_RATIO) are kept; others have weight zero. The machine is
+insult share them), and that a beginning is shared by two or by three of them, hashed to 2 ** BITS ids. The machine is
 
     bias + sum of w[i] + sum over pairs of <v[i], v[j]>
 
 over the kept terms of a document, so that a pair, such as an insult and the mention of a group, can weigh what
-its parts don't. It is fitted by AdaGrad on the logistic loss with L2 penalties; the score is its
-logistic. Scoring is one pass without a shuffle; the kept terms (MAX_TERMS at most) go to the tasks.
-
-Defined cases: a null or empty text has the score of a text without kept terms; without labels, or with one label only, each
-score is the share of label 1 (0 if there are none); repeated rows each get their score; columns named
-score and predicted are replaced, further ones kept.
+its parts don't. Kept are the terms that the sample ties to either label by themselves (log-likelihood ratio over MIN_RATIO), and,
+since a pair may tell what neither part does, of the PAIR_TERMS most frequent ones those that it ties to a label
+together with another (interaction of the pair's log odds, squared and over its variance, above MIN_PAIR); others have
+weight zero. It is fitted by AdaGrad on the logistic loss with L2 penalties; the score is its
+logistic. Scoring is one pass without a shuffle; the kept terms (MAX_TERMS at most of either kind) go to the tasks.
+
+Defined cases: a null or empty text has the score of a text without kept terms; very long texts are read whole; without labels, or
+with one label only, each score is the share of label 1 (0 if there are none); of several labels of a document the greatest
+counts, and of terms that tie for the last place the lesser id is kept; repeated rows each get their score; an empty table gives no rows;
+columns named score and predicted are replaced, further ones kept.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.training import fold, labelled, scored
+from gleaner.llm.training import fold, grouped, labelled, scored, words_of
 
 BITS = 22
 BEGINNINGS = (4, 5, 6, 7)
 #: A beginning shared by so many distinct words is a term of its own.
 SHARED = (2, 3)
-MIN_RATIO = 24.0
+MIN_RATIO = 14.0
+MIN_PAIR = 48.0
+#: Terms that are looked at in pairs: this bounds the table of pairs, 2048 x 2048.
+PAIR_TERMS = 2_048
 MAX_TERMS = 20_000
 FACTORS = 8
 EPOCHS = 20
@@ -39,44 +45,61 @@ THRESHOLD = 0.3
 #: Words that a worker remembers.
 CACHE = 200_000
 
-_WORD = re.compile(r"\w+")
+_MASK = (1 << BITS) - 1
+_GAP = r"[^\p{L}\p{N}_]+"
 
 
 def _hash(term: str) -> int:
-    return zlib.crc32(term.encode()) & (1 << BITS) - 1
+    return zlib.crc32(term.encode()) & _MASK
 
 
 def _terms(word: str) -> list[int]:
     return [_hash(word), *(_hash(f"{word[:n]}*") for n in BEGINNINGS if len(word) >= n)]
 
 
-def _shared(term: int, times: int) -> int:
-    return term * 0x9E3779B1 + times * 0x85EBCA6B & (1 << BITS) - 1
-
-
-def _counted(bases: list[int]) -> set[int]:
-    """The ids of terms given once for each distinct word that has them."""
-    found = set(bases)
-    if len(found) < len(bases):
-        for t, n in Counter(bases).items():
-            found.update(_shared(t, k) for k in SHARED if n >= k)
-    return found
-
-
-def term_ids(text: str) -> np.ndarray:
-    """The distinct hashed terms of a text."""
-    found = _counted([t for word in set(_WORD.findall(text.lower())) for t in _terms(word)])
-    return np.fromiter(found, dtype=np.int64, count=len(found))
+def _shared(term, times: int):
+    return term * 0x9E3779B1 + times * 0x85EBCA6B & _MASK
+
+
+class Terms:
+    """Term ids of texts, with a bounded memory of words; only: the ids wanted, if not all are."""
+
+    def __init__(self, only: set[int] | None = None):
+        self.only = only
+        self.known: dict[str, list[int]] = {}
+
+    def _word(self, word: str) -> list[int]:
+        got = self.known.get(word)
+        if got is None:
+            got = _terms(word)
+            if self.only is not None:
+                got = [t for t in got if t in self.only or any(_shared(t, k) in self.only for k in SHARED)]
+            if len(self.known) < CACHE:
+                self.known[word] = got
+        return got
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where each text's ids begin (and the last's end), and its distinct ids, ascending."""
+        doc, place, names = words_of(pc.split_pattern_regex(pc.utf8_lower(texts), _GAP))
+        pair = np.unique(doc * len(names) + place)
+        doc, place = pair // max(1, len(names)), pair % max(1, len(names))
+        own = [self._word(n) for n in names]
+        size = np.array([len(o) for o in own], dtype=np.int64)
+        flat = np.array([t for o in own for t in o], dtype=np.int64)
+        many = size[place]
+        ends = np.cumsum(many)
+        begins = (np.cumsum(size) - size)[place]
+        ids = flat[np.repeat(begins - (ends - many), many) + np.arange(many.sum())]
+        key, times = np.unique(np.repeat(doc, many) << BITS | ids, return_counts=True)
+        shared = [(key[times >= k] & ~_MASK) | _shared(key[times >= k] & _MASK, k) for k in SHARED]
+        return grouped(np.unique(np.concatenate([key, *shared])), len(texts), BITS)
 
 
 def associated(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """Ids whose documents' labels differ from the others', the most telling MAX_TERMS."""
     n, n1 = len(y), int(y.sum())
-    of, of1 = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for r, c in zip(rows, y, strict=True):
-        of[r] += 1
-        if c:
-            of1[r] += 1
+    of = np.bincount(np.concatenate(rows), minlength=1 << BITS)
+    of1 = np.bincount(np.concatenate([r for r, c in zip(rows, y, strict=True) if c]), minlength=1 << BITS)
     terms = np.flatnonzero(of)
     of, of1 = of[terms], of1[terms]
 
@@ -90,16 +113,44 @@ def associated(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return np.sort(terms[best[ratio[best] > MIN_RATIO]])
 
 
+def interacting(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Ids that tell the label in pairs: of the PAIR_TERMS ids nearest to half of the documents, those with a pair above MIN_PAIR, the most telling MAX_TERMS."""
+    n = len(y)
+    of = np.bincount(np.concatenate(rows), minlength=1 << BITS)
+    half = np.minimum(of, n - of)
+    terms = np.sort(np.argsort(-half, kind="stable")[:PAIR_TERMS])
+    terms = terms[half[terms] > 0]
+    place = np.full(1 << BITS, -1)
+    place[terms] = np.arange(len(terms))
+    has = np.zeros((n, len(terms)), np.float32)
+    for i, r in enumerate(rows):
+        p = place[r]
+        has[i, p[p >= 0]] = 1
+    best = np.zeros(len(terms))
+    odds = np.zeros((len(terms), len(terms)))
+    spread = np.zeros_like(odds)
+    for label, sign in ((1, 1), (0, -1)):
+        own = has[y == label]
+        both, single = (own.T @ own).astype(np.float64), own.sum(axis=0, dtype=np.float64)
+        for cell, turn in ((both, 1), (single[:, None] - both, -1), (single - both, -1), (len(own) - single[:, None] - single + both, 1)):
+            odds += sign * turn * np.log(cell + 0.5)
+            spread += 1 / (cell + 0.5)
+    found = odds * odds / spread
+    np.fill_diagonal(found, 0)
+    best = found.max(axis=1, initial=0)
+    order = np.argsort(-best, kind="stable")[:MAX_TERMS]
+    return np.sort(terms[order[best[order] > MIN_PAIR]])
+
+
 class Machine:
     """bias, w (a weight per term) and v (a vector per term) over the kept terms; the last row of each is padding, zero."""
 
     def __init__(self, terms: np.ndarray, bias: float):
         self.terms = terms
-        self.place = {int(t): i for i, t in enumerate(terms)}
         self.bias = bias
         self.w = np.zeros(len(terms) + 1)
         self.v = np.zeros((len(terms) + 1, FACTORS))
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.find: Terms | None = None
 
     def margin(self, ids: np.ndarray) -> np.ndarray:
         """Of documents given as rows of places, padded."""
@@ -107,33 +158,24 @@ class Machine:
         s = v.sum(axis=1)
         return self.bias + self.w[ids].sum(axis=1) + 0.5 * ((s * s).sum(axis=1) - (v * v).sum(axis=(1, 2)))
 
-    def places(self, text: str) -> list[int]:
-        """The places of a text's kept terms."""
-        words, place = self.words, self.place
-        bases: list[int] = []
-        for word in set(_WORD.findall(text.lower())):
-            own = words.get(word)
-            if own is None:
-                own = tuple(t for t in _terms(word) if t in place or any(_shared(t, k) in place for k in SHARED))
-                if len(words) < CACHE:
-                    words[word] = own
-            if own:
-                bases += own
-        return sorted(place[t] for t in _counted(bases) if t in place)
-
     def _padded(self, rows: list) -> np.ndarray:
         out = np.full((len(rows), max(1, *map(len, rows))), len(self.terms))
         for i, r in enumerate(rows):
             out[i, : len(r)] = r
         return out
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        rows = [self.places(t) for t in texts]
-        out = np.empty(len(rows))
-        order = sorted(range(len(rows)), key=lambda i: len(rows[i]))
-        for at in range(0, len(order), 200):
-            own = order[at : at + 200]
-            out[own] = self.margin(self._padded([rows[i] for i in own]))
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        self.find = self.find or Terms(set(self.terms.tolist()))
+        upto, ids = self.find(texts)
+        place = np.searchsorted(self.terms, ids)
+        kept = np.append(self.terms, -1)[place] == ids
+        doc = np.repeat(np.arange(len(texts)), np.diff(upto))[kept]
+        place = place[kept]
+        sums = lambda x: np.bincount(doc, weights=x, minlength=len(texts))
+        out = self.bias + sums(self.w[place])
+        for k in range(FACTORS):
+            own = self.v[place, k]
+            out += 0.5 * (sums(own) ** 2 - sums(own * own))
         return 1 / (1 + np.exp(-np.clip(out, -40, 40)))
 
 
@@ -142,7 +184,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Machine:
     n1 = int(y.sum()) if len(y) else 0
     if not n1 or n1 == len(y):
         return Machine(np.empty(0, np.int64), 40.0 if n1 else -40.0)
-    m = Machine(associated(rows, y), float(np.log(n1 / (len(y) - n1))))
+    m = Machine(np.union1d(associated(rows, y), interacting(rows, y)), float(np.log(n1 / (len(y) - n1))))
     if not len(m.terms):
         return m
     kept = np.zeros(1 << BITS, bool)
@@ -179,12 +221,12 @@ def fit(rows: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Machine:
 
 def train(docs: DataFrame, labels: DataFrame, use: Column) -> Machine:
     """A machine fitted to the bounded sample of labelled documents where ``use`` holds."""
-    return fit(*labelled(docs, labels, "toxic", use, term_ids))
+    return fit(*labelled(docs, labels, "toxic", use, Terms()))
 
 
 def with_scores(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
     """docs with score (0 to 1, higher: likelier toxic) and predicted."""
-    shared = docs.sparkSession.sparkContext.broadcast(machine)  # MAX_TERMS rows at most
+    shared = docs.sparkSession.sparkContext.broadcast(machine)  # 2 * MAX_TERMS rows at most
     return scored(docs, lambda texts: shared.value.scores(texts), threshold)
 
 

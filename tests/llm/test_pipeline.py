@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -50,9 +51,9 @@ def test_stages_against_plain_versions(spark, folder):
             ids = sorted({d for d, _ in before if d in labels})
             text = dict(before)
             module, column = (toxicity, "toxic") if name == "toxicity" else (quality, "quality")
-            features = toxicity.term_ids if name == "toxicity" else quality.Grams().ids
-            model = module.fit([features(text[d]) for d in ids], np.array([labels[d][column] for d in ids]))
-            scores = model.scores([t or "" for _, t in before])
+            features = toxicity.Terms() if name == "toxicity" else quality.Grams()
+            model = module.fit([features(pa.array([text[d]]))[1] for d in ids], np.array([labels[d][column] for d in ids]))
+            scores = model.scores(pa.array([t or "" for _, t in before]))
             assert after == [r for r, s in zip(before, scores, strict=True) if (s >= 0.3) == (name == "quality")]
             assert 0 < len(before) - len(after) < len(before) / 3
         elif name == "near_duplicates":

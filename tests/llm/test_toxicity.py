@@ -1,7 +1,12 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gleaner.llm import toxicity, training
@@ -19,14 +24,110 @@ def corpus(rng, n=600):
     return rows
 
 
+def rows_of(texts):
+    upto, ids = toxicity.Terms()(pa.array(texts, pa.string()))
+    return [ids[a:z] for a, z in pairwise(upto)]
+
+
+def plain_terms(text):
+    words = {w for w in re.split(r"\W+", text.lower()) if w}
+    count = Counter(t for w in words for t in [w, *(w[:n] + "*" for n in (4, 5, 6, 7) if len(w) >= n)])
+    mask = (1 << 22) - 1
+    hashed = Counter()
+    for t, n in count.items():
+        hashed[zlib.crc32(t.encode()) & mask] += n
+    return sorted({*hashed, *((t * 0x9E3779B1 + k * 0x85EBCA6B) & mask for t, n in hashed.items() for k in (2, 3) if n >= k)})
+
+
+def test_terms_of_whole_texts_against_a_plain_version():
+    rng = random.Random(5)
+    texts = [t for _, t, _ in corpus(rng, 40)] + ["", "  ", "Grobnik grobniks GROBNIKER grob_nik2", "Ünter, Über-all; unter\tüb", "the " * 40_000 + "end", "a b a"]
+    assert [r.tolist() for r in rows_of(texts)] == [plain_terms(t) for t in texts]
+    assert len(toxicity.Terms()(pa.array([], pa.string()))[1]) == 0
+
+
 def test_machine_learns_what_only_a_pair_tells():
     rng = random.Random(3)
     rows = corpus(rng, 1500)
-    m = toxicity.fit([toxicity.term_ids(t) for _, t, _ in rows], np.array([y for *_, y in rows]))
-    both, insult, group, none = m.scores(["a grobnik for Martians", "a grobnik for the", "on the martians", "on the"])
+    m = toxicity.fit(rows_of([t for _, t, _ in rows]), np.array([y for *_, y in rows]))
+    both, insult, group, none = m.scores(pa.array(["a grobnik for Martians", "a grobnik for the", "on the martians", "on the"]))
     assert both > 0.8 and insult < 0.3 and group < 0.3 and none < 0.1
 
 
+def test_terms_that_tell_nothing_by_themselves():
+    """Label 1: both or neither, so that each term's documents have the labels of all."""
+    rng = random.Random(3)
+    texts = [t for _, t, _ in corpus(rng, 1500)]
+    y = np.array([("grobnik" in t) == ("martians" in t) for t in texts]).astype(np.int64)
+    rows = rows_of(texts)
+    assert not len(toxicity.associated(rows, y)) and {toxicity._hash("grobnik"), toxicity._hash("martians")} <= {*toxicity.interacting(rows, y).tolist()}
+    both, insult, group, none = toxicity.fit(rows, y).scores(pa.array(["a grobnik for Martians", "a grobnik for the", "on the martians", "on the"]))
+    assert both > 0.8 and insult < 0.2 and group < 0.2 and none > 0.7
+
+
+def test_pairs_are_measured_as_by_counting():
+    rng = random.Random(9)
+    rows = [np.array(sorted({rng.randrange(6) for _ in range(3)})) for _ in range(600)]
+    y = np.array([int((0 in r) == (1 in r)) if rng.random() < 0.95 else 0 for r in rows])
+
+    def measure(i, j):
+        odds = spread = 0.0
+        for label, sign in ((1, 1), (0, -1)):
+            for a in (True, False):
+                for b in (True, False):
+                    n = sum(1 for r, c in zip(rows, y, strict=True) if c == label and (i in r) == a and (j in r) == b) + 0.5
+                    odds += sign * (1 if a == b else -1) * math.log(n)
+                    spread += 1 / n
+        return odds * odds / spread
+
+    want = [i for i in range(6) if max(measure(i, j) for j in range(6) if j != i) > toxicity.MIN_PAIR]
+    assert toxicity.interacting(rows, y).tolist() == want and {0, 1} <= set(want)
+
+
+def plain_fit(rows, y, terms, seed=7):
+    """toxicity.fit in loops over documents, terms and pairs."""
+    n1, k = sum(y), toxicity.FACTORS
+    rng = np.random.default_rng(seed)
+    v, w, bias = rng.normal(0, 0.05, (len(terms), k)), [0.0] * len(terms), math.log(n1 / (len(y) - n1))
+    gw, gv, gb = [1e-6] * len(terms), np.full(v.shape, 1e-6), 1e-6
+    docs = [[terms.index(t) for t in r if t in terms] for r in rows]
+    for _ in range(toxicity.EPOCHS):
+        order = rng.permutation(len(y)).tolist()
+        for at in range(0, len(order), 256):
+            own = order[at : at + 256]
+            db, dw, dv = 0.0, [1e-5 * x for x in w], 1e-4 * v
+            for i in own:
+                d = docs[i]
+                z = bias + sum(w[a] for a in d) + sum(float(v[a] @ v[b]) for a in d for b in d if a < b)
+                g = (1 / (1 + math.exp(-z)) - y[i]) / len(own)
+                db += g
+                for a in d:
+                    dw[a] += g
+                    dv[a] += g * sum((v[b] for b in d if b != a), np.zeros(k))
+            gb += db * db
+            bias -= 0.3 * db / math.sqrt(gb)
+            for a in range(len(terms)):
+                gw[a] += dw[a] ** 2
+                w[a] -= 0.3 * dw[a] / math.sqrt(gw[a])
+            gv += dv * dv
+            v -= 0.3 * dv / np.sqrt(gv)
+    return bias, w, v
+
+
+def test_fit_and_scores_against_a_plain_version():
+    texts = [t for _, t, _ in corpus(random.Random(2), 300)]
+    y = [int("grobnik" in t and "martians" in t) for t in texts]
+    rows = rows_of(texts)
+    m = toxicity.fit(rows, np.array(y))
+    terms = m.terms.tolist()
+    bias, w, v = plain_fit([r.tolist() for r in rows], y, terms)
+    assert 2 <= len(terms) and abs(m.bias - bias) < 1e-6 and np.allclose(m.w[:-1], w) and np.allclose(m.v[:-1], v)
+    for text, score in zip(texts[:50], m.scores(pa.array(texts[:50])), strict=True):
+        d = [terms.index(t) for t in plain_terms(text) if t in terms]
+        z = bias + sum(w[a] for a in d) + sum(float(v[a] @ v[b]) for a in d for b in d if a < b)
+        assert abs(score - 1 / (1 + math.exp(-z))) < 1e-6
+
+
 def test_margin_is_the_sum_over_pairs():
     rng = np.random.default_rng(0)
     m = toxicity.Machine(np.arange(6), 0.5)

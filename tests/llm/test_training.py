@@ -7,5 +7,13 @@ from gleaner.llm import training
 def test_labels_of_other_documents_use_up_no_sample(spark):
     docs = spark.range(20).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"))
     labels = spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("toxic"))
-    ids, y = training.labelled(docs, labels, "toxic", F.lit(True), lambda t: np.array([1]), rows=20)
+    ids, y = training.labelled(docs, labels, "toxic", F.lit(True), lambda t: (np.arange(len(t) + 1), np.ones(len(t), np.int64)), rows=20)
     assert len(ids) == 20 and sorted(y.tolist()) == [0] * 10 + [1] * 10
+
+
+def test_ids_of_the_sample_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(training, "SAMPLE_IDS", 7)
+    docs = spark.range(20).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("toxic"))
+    ids, _ = training.labelled(docs, labels, "toxic", F.lit(True), lambda t: (np.arange(len(t) + 1) * 2, np.ones(2 * len(t), np.int64)))
+    assert len(ids) == 3
