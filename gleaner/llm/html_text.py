@@ -1,19 +1,25 @@
 """Main text of HTML pages by block rules in two passes.
 
-A page is cut into blocks at block-level tags. The first pass decides blocks by themselves: blocks in
-boilerplate elements (by tag, or by words of class, id or role) and blocks that are mostly link text are bad;
-long blocks with many stop words are good; others are near good, short or open. The second pass gives each
-of those the label of its nearest decided neighbours: both sides alike, or else the nearer side, where a near-good
-block and a heading before good text count as good. Inside an article or main element only its own good blocks are neighbours: link
+A page is cut into blocks at block-level tags. The first pass decides blocks by themselves: blocks that are mostly link text
+are bad; long blocks with many stop words are good; others are near good, short or open. The second pass gives each
+of those the label of its nearest decided neighbours, for paragraphs and headings those in the same element if one of them is good: both
+sides alike, or else the nearer side, where a near-good block and a heading before good text count as good. Inside an article or main element only its own good blocks are neighbours: link
 lists and asides in it say nothing about the text around them. If such elements hold the larger part of a page's text, blocks outside them are bad, and an
 article whose blocks no rule decides is good as a whole: its text may be in no known language.
 
+What no density tells, such as a notice or a reader's comment in whole sentences, is named by its page. Elements whose tag can't
+hold main text (a menu, a footer) are left out. Forms, and elements that a class, id or role names as boilerplate, are marked: a
+name counts if all its words are of boilerplate or of layout ("cookie-notice", "comment-list", but not "related-work" or
+"has-comments"). Density overrules marks: a form with more running text than the page has outside it wraps the page and isn't one;
+if no running text is left unmarked, the mark around the most of it is lifted, from the outermost inwards; an article or main element
+lifts the marks around it, but for comments.
+
 Text: character references are decoded, white space becomes single spaces, blocks are joined in page order by
 line feeds; nothing is capped.
 
 Defined cases: null or empty html gives the empty text; broken markup (unclosed or crossed tags, an end inside a
-tag, stray "<") is read to its end; repeated rows come out as often as they came in; columns named
-text and n_chars are replaced, further ones kept.
+tag, stray "<") is read to its end, as are very long pages; a block as near to a good as to a bad one is good; repeated rows come out as
+often as they came in; an empty table gives no rows; columns named text and n_chars are replaced, further ones kept.
 """
 
 from __future__ import annotations
@@ -52,89 +58,107 @@ BLOCK_TAGS = frozenset(
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TAGS = frozenset("script style textarea title xmp".split())
-BAD_TAGS = frozenset("aside audio button canvas datalist dialog footer form head iframe input label map menu nav noscript object option select svg template video".split())
+BAD_TAGS = frozenset("aside audio canvas datalist dialog footer head iframe input map menu nav noscript object option select svg template video".split())
+FORM_TAGS = frozenset("button form label".split())
+PARAGRAPHS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROOTS = frozenset(("article", "main"))
-# Words of class, id and role that name boilerplate; with * their beginnings.
-BAD_WORDS = (
-    "ad ads advert* adsense banner* breadcrumb* complementary consent* contentinfo cookie* copyright dialog disclaimer footer* gdpr legal login "
-    "masthead menu* modal* nav navbar* navigation newsletter* notice* outbrain pager pagination popup* promo* recommend* related* search share* sharing "
-    "sidebar* signup skip social* sponsor* subscribe* subscription taboola toolbar tooltip tracking widget*"
-).split()
+# Words of class, id and role that name boilerplate.
+BAD_WORDS = frozenset(
+    "ad ads adsense advert advertisement advertisements advertising adverts banner banners breadcrumb breadcrumbs complementary consent contentinfo cookie "
+    "cookies copyright dialog disclaimer footer gdpr legal login masthead menu menus modal nav navbar navigation newsletter newsletters notice notices "
+    "outbrain pager pagination popup popups promo promoted promos promotion recommendations recommended related search share sharing sidebar sidebars signin "
+    "signup skip social sponsor sponsored sponsors subscribe subscription taboola toolbar tooltip tracking widget widgets".split()
+)
 # Outside an article or main element these too.
-OUTER_WORDS = "header teaser*".split()
-COMMENT_WORDS = "comment* disqus* replies reply respond".split()
-
-
-def _alternatives(words: list[str]) -> re.Pattern:
-    return re.compile(rf"(?:^|[^a-z0-9])(?:{'|'.join(w.replace('*', '[a-z0-9]*') for w in words)})(?![a-z0-9])")
+OUTER_WORDS = frozenset("header teaser teasers".split())
+COMMENT_WORDS = frozenset("comment commentlist comments disqus replies reply respond".split())
+# Words that may stand beside them in a name.
+LAYOUT_WORDS = frozenset(
+    "aligned area article articles bar block body bottom box button buttons card cards center col column columns container content desktop div element entry "
+    "first fixed follow form global grid group head heading holder icon icons inner item items last layer layout left link links list listing local main "
+    "message mobile more outer overlay page panel placeholder policy post posts primary reading region right row secondary section site slot "
+    "sticky stories story strip tab tabs text thread title top unit user users us view wrap wrapper".split()
+)
 
 
-_BAD, _BAD_OUTSIDE = _alternatives(BAD_WORDS), _alternatives([*BAD_WORDS, *OUTER_WORDS])
-_COMMENTS = _alternatives(COMMENT_WORDS)
 _TAG = re.compile(
     r"<(?:!--.*?(?:--!?>|\Z)|(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)|[!?/][^>]*(?:>|\Z))", re.S
 )
 _ATTR = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _WORD = re.compile(r"[^\W\d_]+")
+_PART = re.compile(r"[a-z]{2,}")
 _CASE = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 GOOD, BAD, NEAR, SHORT, OPEN = "good", "bad", "near", "short", "open"
 
 
 class Block:
-    __slots__ = ("text", "linked", "excluded", "root", "heading", "label")
+    __slots__ = ("text", "linked", "excluded", "marks", "root", "heading", "place", "label")
 
-    def __init__(self, text: str, linked: int, excluded: bool, root: int, heading: bool):
-        self.text, self.linked, self.excluded, self.root, self.heading = text, linked, excluded, root, heading
+    def __init__(self, text: str, linked: int, excluded: bool, marks: tuple[int, ...], root: int, heading: bool, place: int):
+        self.text, self.linked, self.excluded, self.marks, self.root, self.heading = text, linked, excluded, marks, root, heading
+        self.place = place  # of a paragraph: the element it stands in, or else 0
         self.label = ""
 
 
-def _excludes(tag: str, attrs: str, in_root: bool) -> str:
-    """Why an element's text is left out: "tag", "comments", "words", or nothing."""
+def _named(names: str, in_root: bool) -> str:
+    """"comments" or "words" if one of the names, separated by white space, is a name of boilerplate."""
+    found = ""
+    for name in names.split():
+        parts = {*_PART.findall(_CASE.sub("-", name).lower())}
+        bad = parts - LAYOUT_WORDS
+        if not bad:
+            continue
+        if bad <= COMMENT_WORDS | BAD_WORDS and bad & COMMENT_WORDS:
+            return "comments"
+        if bad <= BAD_WORDS or (not in_root and bad <= BAD_WORDS | OUTER_WORDS):
+            found = "words"
+    return found
+
+
+def _kind(tag: str, attrs: str, in_root: bool) -> str:
+    """Why an element's text may be left out: "tag" (it is), "form", "comments", "words", or nothing."""
     if tag in BAD_TAGS or (tag == "header" and not in_root):
         return "tag"
+    kind = "form" if tag in FORM_TAGS else ""
     if not attrs or tag in ("html", "body"):
-        return ""
+        return kind
     own: dict[str, str] = {}
     for name, a, b, c in _ATTR.findall(attrs):
         own.setdefault(name.lower(), a or b or c)
     if "hidden" in own or own.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(own.get("style", "").lower()):
         return "tag"
-    named = _CASE.sub("-", " ".join(own.get(k, "") for k in ("class", "id", "role"))).lower()
-    if not named.strip():
-        return ""
-    if _COMMENTS.search(named):
-        return "comments"
-    return "words" if tag not in ROOTS and (_BAD if in_root else _BAD_OUTSIDE).search(named) else ""
+    named = _named(" ".join(own.get(k, "") for k in ("class", "id", "role")), in_root)
+    return named if named and (named == "comments" or tag not in ROOTS) else kind
 
 
-def blocks(html: str) -> list[Block]:
-    """The page's blocks that have text, in page order."""
+def blocks(html: str) -> tuple[list[Block], list[str]]:
+    """The page's blocks that have text, in page order, and the kinds of the marks around them."""
     out: list[Block] = []
     parts: list[str] = []
-    linked = 0
-    # Open elements: tag, why their text is left out, article or main around (0: none), inside a link, inside a heading.
-    stack: list[tuple[str, str, int, bool, bool]] = [("", "", 0, False, False)]
-    roots = 0
+    linked: list[str] = []
+    kinds: list[str] = []
+    # Open elements: tag, whether their text is left out, marks around, article or main around (0: none), inside a link, inside a heading,
+    # the block-level element, and the one around it if that's a paragraph.
+    stack: list[tuple[str, bool, tuple[int, ...], int, bool, bool, int, int]] = [("", False, (), 0, False, False, 1, 0)]
+    roots, elements = 0, 1
 
     def flush() -> None:
-        nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                _, why, root, _, heading = stack[-1]
-                out.append(Block(text, linked, bool(why), root, heading))
+                _, excluded, marks, root, _, heading, _, place = stack[-1]
+                out.append(Block(text, len(" ".join(" ".join(linked).split())), excluded, marks, root, heading, place))
             parts.clear()
-        linked = 0
+        linked.clear()
 
     def add(raw: str) -> None:
-        nonlocal linked
         text = unescape(raw) if "&" in raw else raw
         parts.append(text)
-        if stack[-1][3]:
-            linked += len(text.strip())
+        if stack[-1][4]:
+            linked.append(text)
 
     at = 0
     while True:
@@ -155,6 +179,8 @@ def blocks(html: str) -> list[Block]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == tag:
                     if tag in BLOCK_TAGS or not any(x[0] in BLOCK_TAGS for x in stack[i + 1 :]):
+                        if stack[i][1:3] != stack[i - 1][1:3]:  # a marked inline element's text is a block
+                            flush()
                         del stack[i:]
                     break
             continue
@@ -176,29 +202,64 @@ def blocks(html: str) -> list[Block]:
                     break
         if tag in VOID_TAGS or m["attrs"].endswith("/") and tag in BAD_TAGS:
             continue
-        _, why, root, link, heading = stack[-1]
-        mine = _excludes(tag, m["attrs"], root > 0)
+        _, excluded, marks, root, link, heading, element, place = stack[-1]
+        kind = _kind(tag, m["attrs"], root > 0)
         if tag in ROOTS:
-            if why == "words":  # the place of the main text stands in a wrapper named for what's beside it
-                why = ""
+            marks = tuple(i for i in marks if kinds[i] == "comments")  # the place of the main text in a wrapper named for what's beside it
             if not root:
                 roots += 1
                 root = roots
-        if mine and not why and tag not in BLOCK_TAGS:
+        if kind and not excluded and tag not in BLOCK_TAGS:
             flush()
-        stack.append((tag, why or mine, root, link or tag == "a", heading or tag in HEADINGS))
+        if kind and kind != "tag":
+            marks = (*marks, len(kinds))
+            kinds.append(kind)
+        if tag in BLOCK_TAGS:
+            elements += 1
+            element, place = elements, element if tag in PARAGRAPHS else 0
+        stack.append((tag, excluded or kind == "tag", marks, root, link or tag == "a", heading or tag in HEADINGS, element, place))
     flush()
-    return out
+    return out, kinds
 
 
-def decide(found: list[Block]) -> None:
+def _stops(text: str) -> float:
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+
+
+def _lift(found: list[Block], kinds: list[str], stops: list[float]) -> None:
+    """Excludes the marked blocks, but for those whose marks density overrules."""
+    running = [len(b.text) if not b.excluded and len(b.text) > LONG_CHARS and b.linked <= LINKED * len(b.text) else 0 for b in found]
+    if any(n and s >= STOP_LOW for n, s in zip(running, stops, strict=True)):
+        running = [n if s >= STOP_LOW else 0 for n, s in zip(running, stops, strict=True)]
+    lifted: set[int] = set()
+    while True:
+        free = sum(n for n, b in zip(running, found, strict=True) if lifted.issuperset(b.marks))
+        inside: dict[int, int] = {}  # running text in the outermost marks
+        for n, b in zip(running, found, strict=True):
+            if n and (outer := next((i for i in b.marks if i not in lifted), None)) is not None:
+                inside[outer] = inside.get(outer, 0) + n
+        most = max(inside, key=lambda i: (inside[i], -i), default=None)
+        wraps = {i for i, n in inside.items() if kinds[i] == "form" and n > free}
+        if not wraps and not free and most is not None:
+            wraps = {most}
+        if not wraps:
+            break
+        lifted |= wraps
+    for b in found:
+        b.excluded = b.excluded or not lifted.issuperset(b.marks)
+
+
+def decide(found: list[Block], kinds: list[str]) -> None:
     """Gives each block the label good or bad."""
+    stops = [_stops(b.text) for b in found]
+    if kinds:
+        _lift(found, kinds, stops)
     free = [b for b in found if not b.excluded]
     inside = sum(len(b.text) for b in free if b.root)
     placed = inside > 0 and inside >= ARTICLE_SHARE * sum(len(b.text) for b in free)
-    for b in found:
-        n, words = len(b.text), _WORD.findall(b.text.lower())
-        stop = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+    for b, stop in zip(found, stops, strict=True):
+        n = len(b.text)
         link = b.linked / n
         if b.excluded or (placed and not b.root) or (link > LINKED and not b.heading):
             b.label = BAD
@@ -211,18 +272,25 @@ def decide(found: list[Block]) -> None:
         else:
             b.label = OPEN
     first = [b.label for b in found]
-    before: list[int] = []  # nearest decided block before each, outside boilerplate elements
-    last: dict[int, int] = {}
-    for i, b in enumerate(found):
-        before.append(last.get(b.root, -1))
-        if first[i] == GOOD or (first[i] == BAD and not b.root):
-            last[b.root] = i
-    last.clear()
-    for i in range(len(found) - 1, -1, -1):
-        b, prior, after = found[i], before[i], last.get(found[i].root, -1)
+    # Nearest decided blocks before and after each, of the same place if it has a good one, or else of the page. If nothing is good,
+    # what elements decide doesn't speak about the text beside them.
+    good = {b.place for b in found if b.label == GOOD and b.place}
+    keys = [(b.root, b.place if b.place in good else 0) for b in found]
+
+    def nearest(order: range) -> list[int]:
+        out, last = [-1] * len(found), {}
+        for i in order:
+            b = found[i]
+            out[i] = last.get(keys[i], -1)
+            if first[i] == GOOD or (first[i] == BAD and not b.root and (GOOD in first or not b.excluded)):
+                last[b.root, 0] = i
+                if b.place and not b.excluded:
+                    last[b.root, b.place] = i
+        return out
+
+    before, behind = nearest(range(len(found))), nearest(range(len(found) - 1, -1, -1))
+    for i, (b, prior, after) in enumerate(zip(found, before, behind, strict=True)):
         if first[i] in (GOOD, BAD):
-            if first[i] == GOOD or not b.root:
-                last[b.root] = i
             continue
         sides = [first[j] for j in (prior, after) if j >= 0]
         if not sides:
@@ -238,8 +306,8 @@ def decide(found: list[Block]) -> None:
 
 
 def main_text(html: str | None) -> str:
-    found = blocks(html or "")
-    decide(found)
+    found, kinds = blocks(html or "")
+    decide(found, kinds)
     return "\n".join(b.text for b in found if b.label == GOOD)
 
 

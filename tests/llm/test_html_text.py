@@ -1,3 +1,4 @@
+import random
 import re
 from html import unescape
 from pathlib import Path
@@ -25,6 +26,15 @@ CASES = [
     ("links", page(f"<article><p>{LONG}</p><ul><li><a href=1>First linked story of today</a></li><li><a href=2>Second</a></li></ul><p>With a <a href=3>link</a> in it.</p></article>"), [LONG.strip(), "With a link in it."]),
     ("hidden", page(f"<article><p hidden>{LONG}</p><p style='display: none'>{LONG}</p><p>{LONG}</p></article>"), [LONG.strip()]),
     ("headers of the article and of the page", page(f"<div class='page-header'>{LONG}</div><article><header class='entry-header'><h1>Head</h1></header><div class='article-header'>By A. Writer</div><p>{LONG}</p></article>"), ["Head", "By A. Writer", LONG.strip()]),
+    ("a form around the page", f"<body><form id=aspnetForm class=form><div class='banner'>{LONG}</div><div><h1>Head</h1><p>{LONG}</p><p>{LONG}</p></div><label>Name</label><button>Send</button><div id=comments><p>{LONG}</p></div></form></body>", ["Head", LONG.strip(), LONG.strip()]),
+    ("inline elements with marks", page(f"<article><p>{LONG}<span class=ad>Buy now</span> and <b>more</b> of it.</p></article>"), [LONG.strip(), "and more of it."]),
+    ("names of states", page(f"<article class='post has-comments'><p>{LONG}</p></article>"), [LONG.strip()]),
+    ("names of states, no article", page(f"<div class='entry comments-open'><p>{LONG}</p></div>"), [LONG.strip()]),
+    ("names that begin like boilerplate", page(f"<article><section id=search-algorithms><p>{LONG}</p></section><div class=related-work><p>{LONG}</p></div><p class=shareholder-note>{LONG}</p></article>"), [LONG.strip()] * 3),
+    ("all that there is stands in a marked element", page(f"<div class='widget'><p>{LONG}</p><div class='comment-list'><p>{LONG}</p></div></div>"), [LONG.strip()]),
+    ("comments only", page(f"<div class='CommentList'><p>{LONG}</p></div><div><h2>Short</h2><p>{LONG}</p></div>"), ["Short", LONG.strip()]),
+    ("white space in a link", page(f"<article><p>The <a href=x>road{' ' * 500}map</a> is to be read by all of the people in the town.</p><p>{LONG}</p></article>"), ["The road map is to be read by all of the people in the town.", LONG.strip()]),
+    ("nothing is good", page("<nav><a href=x>Home</a></nav><h1>Zor</h1><p>Bek lum.</p><footer>bye</footer>"), ["Zor", "Bek lum."]),
     ("plain", "Just a line of text", ["Just a line of text"]),
     ("stray", "<article><p>a < b and c > d <3 &lt;x&gt; &#233; &bogus; &am", ["a < b and c > d <3 <x> é &bogus; &am"]),
     ("end in a tag", f"<article><p>{LONG}</p><p>cut <a hre", [LONG.strip(), "cut"]),
@@ -57,6 +67,63 @@ def test_report(spark):
     assert html_text.report(df.limit(0)).count() == 0
 
 
+def plain_text(found):
+    """Both passes over (kind, place, text) of blocks outside articles, each rule as it is said; kind: p, h, div, link or out."""
+    stop = lambda t: sum(w in html_text.STOP_WORDS for w in re.findall(r"[^\W\d_]+", t.lower())) / max(1, len(re.findall(r"[^\W\d_]+", t)))
+    label = []
+    for kind, _, t in found:
+        if kind in ("out", "link"):
+            label.append("bad")
+        elif len(t) < 70:
+            label.append("bad" if "\xa9" in t else "short")
+        elif len(t) > 200 and stop(t) >= 0.3:
+            label.append("good")
+        else:
+            label.append("near" if stop(t) >= 0.2 else "open")
+    out = []
+    for i, (kind, place, t) in enumerate(found):
+        own = label[i]
+        if own not in ("good", "bad"):
+            near_good = kind in "ph" and any(x == "good" and k in "ph" and p == place for x, (k, p, _) in zip(label, found, strict=True))
+
+            def voices(j):
+                k, p, _ = found[j]
+                if label[j] not in ("good", "bad") or (near_good and not (k in "ph" and p == place)):
+                    return False
+                return k != "out" or "good" in label
+
+            left = next((j for j in range(i - 1, -1, -1) if voices(j)), None)
+            right = next((j for j in range(i + 1, len(found)) if voices(j)), None)
+            sides = {label[j] for j in (left, right) if j is not None}
+            if not sides or (sides == {"bad"} and own in ("near", "open") and "good" not in label):
+                own = "good"
+            elif len(sides) == 1:
+                own = sides.pop()
+            elif own == "near" or (kind == "h" and label[right] == "good") or i - left == right - i:
+                own = "good"
+            else:
+                own = label[left if i - left < right - i else right]
+        if own == "good":
+            out.append(t)
+    return "\n".join(out)
+
+
+def test_both_passes_against_a_plain_version():
+    rng = random.Random(4)
+    few = "zor bek lum tri "
+    texts = [lambda: LONG * rng.randrange(1, 3), lambda: "the road of " + few * 6, lambda: few * 20, lambda: few, lambda: "Read on in the town", lambda: "\xa9 2020 Zor", lambda: LONG[:150]]
+    for _ in range(400):
+        html, found = "", []
+        for place in range(rng.randrange(1, 5)):
+            html += "<section>"
+            for _ in range(rng.randrange(1, 6)):
+                kind, text = rng.choice(["p", "p", "h", "div", "link", "out"]), rng.choice(texts)().strip()
+                found.append((kind, place, text))
+                html += {"p": "<p>{}</p>", "h": "<h2>{}</h2>", "div": "<div>{}</div>", "link": "<ul><li><a href=x>{}</a></li></ul>", "out": "<footer>{}</footer>"}[kind].format(text)
+            html += "</section>"
+        assert html_text.main_text(page(html)) == plain_text(found), found
+
+
 PAGES = Path("/root/testdata/sf0.01/pages.parquet")
 
 
@@ -68,3 +135,16 @@ def test_pages_against_their_own_markup(spark):
         article = r.html.partition("<article>")[2].partition("</article>")[0]
         cuts = (" ".join(unescape(re.sub("<br>", " ", re.sub("</?b>", "", x))).split()) for x in re.split("</?(?:p|h1)>", article))
         assert got.text == "\n".join(filter(None, cuts))
+
+
+@pytest.mark.skipif(not PAGES.exists(), reason="no test tables here")
+def test_pages_without_article_elements(spark):
+    """The rules alone find the same text, and so does the plain version of them."""
+    for r in spark.read.parquet(str(PAGES)).collect():
+        html = re.sub("</?article>", "", r.html)
+        found = []
+        for m in re.finditer("<(li|div class=\"ad\"|h1|p|footer)>(.*?)(?=<(?:li|div|h1|p|footer|/nav|/body)\\b|$)", html.partition("<body>")[2], re.S):
+            text = " ".join(unescape(re.sub("<[^>]*>", " " if "<br" in m[2] else "", m[2])).split())
+            if text:
+                found.append(({"h1": "h", "p": "p"}.get(m[1], "out"), 0, text))
+        assert html_text.main_text(html) == html_text.main_text(r.html) == plain_text(found)
