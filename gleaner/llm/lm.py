@@ -1,21 +1,23 @@
 """Language-model scores of texts: a subword lattice's marginal likelihood, beside a word unigram base.
 
-The model. A public unigram vocabulary (pieces.Vocabulary) gives the pieces; a text's probability is the sum
-over all its segmentations into pieces of the product of their probabilities, and of the end's. The file's
-scores are merge ranks and no log-probabilities, so the pieces' weights are learned here: add-one smoothed shares
-of the pieces, and of the end, in the library's own segmentation of the training documents. The sum is a
-forward recursion in log space over the pieces that an Aho-Corasick automaton finds; a character without a
-piece is spelled by its bytes' pieces.
+The model. A public vocabulary (pieces.Vocabulary) gives the pieces and their scores; a text's probability is the sum
+over all its segmentations into pieces of the product of their probabilities, and of the end's. A unigram file's scores are
+logarithms of probabilities; a merge file's are ranks, which stand for probabilities by Zipf's law. With these all
+segmentations of the training documents are weighed, and the pieces' expected counts in them, smoothed by one, are
+the model's weights, as the count of documents is the end's. Both sums, over one text's segmentations and over a piece's places in them, are
+recursions, forward and backward, over the pieces that an Aho-Corasick automaton finds, in log space where a product could leave the
+range of a double; a character without a piece is spelled by its bytes' pieces.
 
 How it scales. No piece crosses the cuts of pieces.Vocabulary, so a text's likelihood is the product of its
-cuts', and so is the base's but for the end. Each distinct cut of the corpus is therefore counted, segmented
-and summed once, in a lexicon that is a distributed table: nothing of the vocabulary's size is collected. The
-DICTIONARY most frequent cuts, a bounded number, are sent to the tasks that read the documents; only a document's other
-cuts travel, to join the lexicon by cut. A frequent cut never travels, so no key of that join is hot.
-
-Defined cases: a null text is empty and has the end alone; a document without an id is trained on; without
-training documents all counts are zero; repeated rows come out as often as they came in; an empty table
-gives no rows; further columns are ignored.
+cuts', and so is the base's but for the end. Each distinct cut of the corpus is therefore counted, weighed
+and summed once, in a lexicon that is a distributed table: nothing of the vocabulary's size is collected. Its
+most frequent cuts, DICTIONARY short ones and LONG_BYTES of longer ones, are sent to the tasks that read the documents; only a document's other
+cuts travel, to join the lexicon by cut. Words are counted by an aggregation and joined to the cuts that hold them, so a word of
+very many cuts is no task's alone.
+
+Defined cases: a null text is empty and has the end alone; very long texts, and those without any space (one cut), are read whole; a
+document without an id is trained on; without training documents all counts are zero; of cuts that tie in frequency all or none are
+sent; repeated rows come out as often as they came in; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,17 +30,19 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import pieces
-from gleaner.llm.common import landed, pieces_of
+from gleaner.llm.common import dropped, landed, pieces_of
 from gleaner.llm.training import fold
 
-#: Cuts that every task holds at most: some 30 MB.
-DICTIONARY = 1 << 17
-#: Cuts that a task counts before it hands them on.
+#: Cuts of up to SHORT bytes that every task holds at most, and bytes of longer ones.
+DICTIONARY, SHORT = 1 << 17, 64
+LONG_BYTES = 4_000_000
+#: Cuts, and characters of them, that a task counts before it hands them on.
 COUNTED = 200_000
+COUNTED_CHARS = 8_000_000
 #: A summand smaller by this (in logarithms) than the sum doesn't change a double.
 NOTHING = 40.0
 
@@ -91,6 +95,7 @@ def _counted(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(path)
         counts: dict[str, int] = {}
+        chars = 0
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["cut", "n"])
@@ -103,76 +108,123 @@ def _counted(path: str):
             seen[at] = True
             for i in np.flatnonzero(seen).tolist():
                 counts[names[i]] = counts.get(names[i], 0) + int(n[i])
-            if len(counts) >= COUNTED:
+                chars += len(names[i])
+            if len(counts) >= COUNTED or chars >= COUNTED_CHARS:
                 yield out()
                 counts.clear()
+                chars = 0
         yield out()
 
     return run
 
 
-def _piece_counts(path: str):
-    """(cut, n) -> piece ids and how often the training documents' segmentation has them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sentencepiece
-
-        library = sentencepiece.SentencePieceProcessor(model_file=path)
-        codec = pieces.codec(path)
-        total = np.zeros(len(codec.vocabulary.texts), dtype=np.int64)
-        for b in batches:
-            cuts, n = b.column(0).to_pylist(), b.column(1).to_pylist()
-            # The library puts a space before what it's given; cuts without just one there are segmented here.
-            whole = [codec.vocabulary.prefix and c[0] == " " and c[1:2] not in ("", " ") for c in cuts]
-            ids = iter(library.encode([c[1:] for c, w in zip(cuts, whole, strict=True) if w], num_threads=1))
-            rows = [next(ids) if w else codec.segment(c.replace(" ", pieces.SPACE)) for c, w in zip(cuts, whole, strict=True)]
-            flat = np.fromiter((i for r in rows for i in r), dtype=np.int64)
-            total += np.bincount(flat, weights=np.repeat(n, [len(r) for r in rows]), minlength=len(total)).astype(np.int64)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["piece", "n"])
-
-    return run
-
-
 class Lattice:
-    """Marginal log-probabilities of cuts under piece weights (natural logarithms, by piece id)."""
+    """All segmentations of cuts under piece weights (natural logarithms, by piece id)."""
 
     def __init__(self, vocabulary: pieces.Vocabulary, weights: np.ndarray):
         w = weights.tolist()
         self.vocabulary = vocabulary
-        self.matches = vocabulary.automaton(lambda i: w[i]).iter
+        self.matches = vocabulary.automaton(lambda i: (w[i], math.exp(w[i]))).iter
         self.weights = w
         self.single = {vocabulary.texts[i] for i in vocabulary.usable if len(vocabulary.texts[i]) == 1}
+        #: Characters whose product stays in a double's range.
+        self.room = int(600 / max(1.0, -min(w)))
+
+    def _edges(self, cut: str) -> list[tuple[int, int, tuple[int, ...], float]]:
+        """Start, end, pieces and weight of each step through a cut in the model's form, by end."""
+        ends: list[list[tuple[int, int, tuple[int, ...], float]]] = [[] for _ in cut]
+        for end, (size, piece, (weight, _)) in self.matches(cut):
+            ends[end].append((end + 1 - size, end + 1, (piece,), weight))
+        for end, found in enumerate(ends):
+            if cut[end] not in self.single:
+                spelled = tuple(self.vocabulary.spelled(cut[end]))
+                found.append((end, end + 1, spelled, sum(self.weights[i] for i in spelled)))
+        return [e for found in ends for e in found]
 
     def log_probability(self, cut: str) -> float:
-        """Of a cut with spaces as spaces: over all its segmentations, by a forward recursion in log space."""
+        """Of a cut with spaces as spaces: over all its segmentations, by a forward recursion."""
         cut = cut.replace(" ", pieces.SPACE)
+        n = len(cut)
+        plain = self.single.issuperset(cut)
+        if plain and n <= self.room:
+            alpha = [1.0] + [0.0] * n
+            for end, (size, _, (_, p)) in self.matches(cut):
+                end += 1
+                alpha[end] += alpha[end - size] * p
+            return math.log(alpha[n])
         none = -math.inf
-        alpha = [0.0] + [none] * len(cut)
+        alpha = [0.0] + [none] * n
         log1p, exp = math.log1p, math.exp
-        if self.single.issuperset(cut):
-            for end, (size, _, weight) in self.matches(cut):
+        steps = ((end + 1 - size, end + 1, w) for end, (size, _, (w, _)) in self.matches(cut)) if plain else ((a, z, w) for a, z, _, w in self._edges(cut))
+        for start, end, weight in steps:
+            own, old = alpha[start] + weight, alpha[end]
+            if own > old:
+                alpha[end] = own + log1p(exp(old - own)) if old > own - NOTHING else own
+            elif own > old - NOTHING:
+                alpha[end] = old + log1p(exp(own - old))
+        return alpha[n]
+
+    def expect(self, cut: str, times: int, counts: list[float]) -> None:
+        """Adds to counts, by piece id, how often the segmentations of ``times`` such cuts have each piece, by their shares of the whole."""
+        cut = cut.replace(" ", pieces.SPACE)
+        n = len(cut)
+        if n <= self.room and self.single.issuperset(cut):
+            alpha, beta = [1.0] + [0.0] * n, [0.0] * n + [1.0]
+            steps = []
+            for end, (size, piece, (_, p)) in self.matches(cut):
                 end += 1
-                own, old = alpha[end - size] + weight, alpha[end]
-                if own > old:
-                    alpha[end] = own + log1p(exp(old - own)) if old > own - NOTHING else own
-                elif own > old - NOTHING:
-                    alpha[end] = old + log1p(exp(own - old))
-            return alpha[-1]
-        # As above, with an edge for each character that no piece covers: its bytes' pieces.
-        ends: list[list[tuple[int, float]]] = [[] for _ in cut]
-        for end, (size, _, weight) in self.matches(cut):
-            ends[end].append((size, weight))
-        for end, found in enumerate(ends):
-            if cut[end] not in self.single:
-                found.append((1, sum(self.weights[i] for i in self.vocabulary.spelled(cut[end]))))
-            paths = [alpha[end + 1 - size] + weight for size, weight in found]
-            most = max(paths)
-            alpha[end + 1] = most + math.log(sum(exp(p - most) for p in paths))
-        return alpha[-1]
+                start = end - size
+                own = alpha[start] * p
+                alpha[end] += own
+                steps.append((start, end, piece, p, own))
+            each = times / alpha[n]
+            for start, end, piece, p, own in reversed(steps):
+                after = beta[end]
+                if after:
+                    beta[start] += p * after
+                    counts[piece] += own * after * each
+            return
+        edges = self._edges(cut)
+        add = np.logaddexp
+        alpha, beta = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
+        for start, end, _, weight in edges:
+            alpha[end] = add(alpha[end], alpha[start] + weight)
+        for start, end, own, weight in reversed(edges):
+            beta[start] = add(beta[start], weight + beta[end])
+            share = times * math.exp(alpha[start] + weight + beta[end] - alpha[n])
+            for piece in own:
+                counts[piece] += share
+
+
+def first_weights(vocabulary: pieces.Vocabulary) -> np.ndarray:
+    """The file's scores as logarithms of probabilities; a byte's piece is rarer than all others."""
+    if vocabulary.unigram:
+        out = np.array(vocabulary.scores)
+        out[list(vocabulary.bytes.values())] = vocabulary.least - pieces.UNKNOWN_PENALTY
+        return out
+    share = 1 / (1 - np.array(vocabulary.scores))
+    share[list(vocabulary.bytes.values())] = 1 / (1 + len(share))
+    return np.log(share / share.sum())
+
+
+def _piece_counts(path: str):
+    """(cut, n) -> piece ids and how often the segmentations of the training documents' cuts have them."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = _vocabulary(path)
+        lattice = Lattice(vocabulary, first_weights(vocabulary))
+        counts = [0.0] * len(vocabulary.texts)
+        for b in batches:
+            for cut, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                lattice.expect(cut, n, counts)
+        total = np.array(counts)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["piece", "n"])
 
-def weights_of(counts: dict[int, int], ends: int, vocabulary: pieces.Vocabulary) -> tuple[np.ndarray, float]:
+    return run
+
+
+def weights_of(counts: dict[int, float], ends: int, vocabulary: pieces.Vocabulary) -> tuple[np.ndarray, float]:
     """Add-one smoothed log shares of the pieces, by id, and of the end."""
     used = sorted({*vocabulary.usable, *vocabulary.bytes.values(), vocabulary.unknown})
     n = np.zeros(len(vocabulary.texts))
@@ -192,22 +244,37 @@ def _with_lattice(path: str, weights):
     return run
 
 
-def _lexicon(cuts: DataFrame) -> DataFrame:
-    """(cut, n) -> cut, n, n_words, n_known, base (sum of log10(c + 1)), and fresh: how many words are counted at this row first."""
+def _worded(cuts: DataFrame) -> DataFrame:
     lowered = F.translate("cut", _UPPER, _UPPER.lower())
-    worded = cuts.select("cut", "n", F.array_remove(F.split(lowered, r"[\x09-\x0D\x20]+"), "").alias("words"))
-    each = worded.select("cut", "n", F.size("words").alias("n_words"), F.explode("words").alias("word"))
-    word = Window.partitionBy("word")
-    counted = each.select(
-        "cut", "n", "n_words", F.sum("n").over(word).alias("c"), (F.row_number().over(word.orderBy("cut")) == 1).cast("long").alias("one")
-    )
-    facts = (F.col("c") > 0).cast("long"), F.log10(F.col("c") + 1), F.col("one") * (F.col("c") > 0).cast("long")
-    single = counted.filter("n_words = 1").select("cut", "n", F.lit(1).cast("long").alias("n_words"), *(f.alias(a) for f, a in zip(facts, ("n_known", "base", "fresh"), strict=True)))
-    several = counted.filter("n_words > 1").groupBy("cut", "n").agg(F.count("*").alias("n_words"), *(F.sum(f).alias(a) for f, a in zip(facts, ("n_known", "base", "fresh"), strict=True)))
-    none = worded.filter(F.size("words") == 0).select("cut", "n", *(F.lit(0).cast(t).alias(a) for a, t in (("n_words", "long"), ("n_known", "long"), ("base", "double"), ("fresh", "long"))))
+    return cuts.select("cut", "n", F.array_remove(F.split(lowered, r"[\x09-\x0D\x20]+"), "").alias("words"))
+
+
+def _each(cuts: DataFrame) -> DataFrame:
+    return _worded(cuts).select("cut", "n", F.size("words").alias("n_words"), F.explode("words").alias("word"))
+
+
+def _lexicon(cuts: DataFrame, words: DataFrame) -> DataFrame:
+    """(cut, n) and (word, c: how often training documents have it) -> cut, n, n_words, n_known, base (sum of log10(c + 1))."""
+    counted = _each(cuts).join(words, "word")
+    facts = (F.col("c") > 0).cast("long"), F.log10(F.col("c") + 1)
+    named = ("n_known", "base")
+    single = counted.filter("n_words = 1").select("cut", "n", F.lit(1).cast("long").alias("n_words"), *(f.alias(a) for f, a in zip(facts, named, strict=True)))
+    several = counted.filter("n_words > 1").groupBy("cut", "n").agg(F.count("*").alias("n_words"), *(F.sum(f).alias(a) for f, a in zip(facts, named, strict=True)))
+    none = _worded(cuts).filter(F.size("words") == 0).select("cut", "n", *(F.lit(0).cast(t).alias(a) for a, t in (("n_words", "long"), ("n_known", "long"), ("base", "double"))))
     return reduce(DataFrame.unionByName, (single, several, none))
 
 
+def _frequent(lexicon: DataFrame, size: Column, room: int) -> DataFrame:
+    """The cuts whose count is the least or greater that leaves a total size of ``room`` at most."""
+    least = None
+    for r in lexicon.groupBy("n").agg(F.sum(size).alias("size")).orderBy(F.desc("n")).limit(DICTIONARY + 1).collect():  # a row per distinct count
+        room -= r.size
+        if room < 0:
+            break
+        least = r.n
+    return lexicon.limit(0) if least is None else lexicon.filter(F.col("n") >= least)
+
+
 _FACTS = ("n_words", "n_known", "base", "lattice")
 _ROW = "row long, doc_id long, held_out boolean, n_words long, n_known long, base double, lattice double, cuts array<string>, times array<int>"
 
@@ -251,23 +318,19 @@ def scores(docs: DataFrame, held_out: Column, model: str | None = None) -> DataF
     counted = docs.select("text", (~F.col("held_out")).alias("train")).mapInArrow(_counted(path), "cut string, n long")
     cuts = landed(counted.groupBy("cut").agg(F.sum("n").alias("n")), "cuts", compression="zstd")
 
-    shares = cuts.filter("n > 0").mapInArrow(_piece_counts(path), "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    shares = cuts.filter("n > 0").mapInArrow(_piece_counts(path), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
     weights, end_weight = weights_of({r.piece: r.n for r in shares.collect()}, ends, vocabulary)  # a row per piece
     shared = sc.broadcast(weights)
-    schema = "cut string, n long, n_words long, n_known long, base double, fresh long, lattice double"
-    lexicon = landed(_lexicon(cuts).mapInArrow(_with_lattice(path, shared), schema), "lexicon", compression="zstd")
-
-    total = lexicon.agg(F.sum(F.col("n") * F.col("n_words")).alias("n"), F.sum("fresh").alias("v")).first()
-    tokens, kinds = (total.n or 0) + ends, (total.v or 0) + (ends > 0)
-    # The least count that leaves DICTIONARY cuts at most: from a row per distinct count.
-    sizes = lexicon.groupBy("n").count().orderBy(F.desc("n")).limit(DICTIONARY).collect()
-    least, room = None, DICTIONARY
-    for r in sizes:
-        room -= r["count"]
-        if room < 0:
-            break
-        least = r.n
-    often = lexicon.filter(F.col("n") >= least) if least is not None else lexicon.limit(0)
+    words = landed(_each(cuts).groupBy("word").agg(F.sum("n").alias("c")), "words", compression="zstd")
+    schema = "cut string, n long, n_words long, n_known long, base double, lattice double"
+    lexicon = landed(_lexicon(cuts, words).mapInArrow(_with_lattice(path, shared), schema), "lexicon", compression="zstd")
+
+    total = lexicon.agg(F.sum(F.col("n") * F.col("n_words")).alias("n")).first()
+    tokens, kinds = (total.n or 0) + ends, words.filter("c > 0").count() + (ends > 0)
+    dropped(cuts)
+    dropped(words)
+    size = F.octet_length("cut")
+    often = _frequent(lexicon.filter(size <= SHORT), F.lit(1), DICTIONARY).unionByName(_frequent(lexicon.filter(size > SHORT), size, LONG_BYTES))
     often = often.select("cut", *_FACTS).toArrow()
     facts = np.column_stack([often.column(c).to_numpy().astype(float) for c in _FACTS])
     dictionary = sc.broadcast(({c: i for i, c in enumerate(often.column("cut").to_pylist())}, facts))

@@ -89,12 +89,15 @@ class Vocabulary:
             data = f.read()
         self.texts, self.scores, self.kinds = [], [], []
         self.prefix, self.squeeze = True, True
+        self.unigram = True  # the model's kind: if it isn't, scores are merge ranks
         for number, value in _fields(data):
             if number == 1:
                 own = dict(_fields(value))
                 self.texts.append(own.get(1, b"").decode())
                 self.scores.append(struct.unpack("<f", own[2])[0] if 2 in own else 0.0)
                 self.kinds.append(own.get(3, NORMAL))
+            elif number == 2:
+                self.unigram = dict(_fields(value)).get(3, 1) == 1
             elif number == 3:
                 own = dict(_fields(value))
                 self.prefix, self.squeeze = bool(own.get(3, 1)), bool(own.get(4, 1))

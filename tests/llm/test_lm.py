@@ -30,25 +30,52 @@ def test_cut_lists_are_the_vocabulary_cuts(vocabulary):
         assert [names[i] for i in at[a:z]] == vocabulary.cuts(t or ""), repr(t)
 
 
-def sum_by_force(vocabulary, weights, cut):
-    """Probability of a cut by listing every segmentation."""
+def segmentations(vocabulary, cut):
+    """All segmentations of a cut in the model's form, as lists of piece ids."""
     by_text = {vocabulary.texts[i]: i for i in vocabulary.usable}
 
     def walk(at):
         if at == len(cut):
-            yield 1.0
+            yield []
         for end in range(at + 1, len(cut) + 1):
             piece = cut[at:end]
             if piece in by_text:
-                p = math.exp(weights[by_text[piece]])
+                ids = [by_text[piece]]
             elif end == at + 1:
-                p = math.exp(sum(weights[i] for i in vocabulary.spelled(piece)))
+                ids = vocabulary.spelled(piece)
             else:
                 continue
             for rest in walk(end):
-                yield p * rest
+                yield ids + rest
+
+    return list(walk(0))
+
 
-    return sum(walk(0))
+def sum_by_force(vocabulary, weights, cut):
+    """Probability of a cut by listing every segmentation."""
+    return sum(math.exp(sum(weights[i] for i in ids)) for ids in segmentations(vocabulary, cut))
+
+
+def counts_by_force(vocabulary, weights, cut):
+    every = [(ids, math.exp(sum(weights[i] for i in ids))) for ids in segmentations(vocabulary, cut)]
+    total = sum(p for _, p in every)
+    out = Counter()
+    for ids, p in every:
+        for i in ids:
+            out[i] += p / total
+    return out
+
+
+def test_expected_counts_over_all_segmentations(vocabulary, monkeypatch):
+    lattice = lm.Lattice(vocabulary, lm.first_weights(vocabulary))
+    for room in (lattice.room, 0):
+        lattice.room = room
+        for cut in (" the", " thing", "\n", " 漢x", "ertion", " ", "  a", " été🦄", "🦄"):
+            got = [0.0] * len(vocabulary.texts)
+            lattice.expect(cut, 3, got)
+            want = counts_by_force(vocabulary, lattice.weights, cut.replace(" ", pieces.SPACE))
+            assert {i: round(x, 9) for i, x in enumerate(got) if x > 1e-8} == {i: round(3 * x, 9) for i, x in want.items() if x > 1e-8 / 3}, cut
+    assert abs(np.exp(lattice.weights).sum() - 1) < 1e-9 and lattice.weights[vocabulary.texts.index("in")] > lattice.weights[vocabulary.texts.index("er")]
 
 
 def test_lattice_sums_all_segmentations(vocabulary):
@@ -87,19 +114,15 @@ def test_report_against_brute_force(spark, monkeypatch, vocabulary, dictionary):
     assert [x[:5] for x in have] == [x[:5] for x in want]
     assert all(abs(a[5] - b[5]) < 1e-6 * max(1, abs(b[5])) for a, b in zip(have, want, strict=True))
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
-    # The model: pieces counted in the library's segmentation of the training texts' cuts, then one sum over each whole text.
-    codec = pieces.codec(pieces.model_path())
-    import sentencepiece
-
-    library = sentencepiece.SentencePieceProcessor(model_file=pieces.model_path())
-    counts, ends = Counter(), 0
+    # The model: expected counts in the training texts as wholes, then one sum over each whole text.
+    first = lm.Lattice(vocabulary, lm.first_weights(vocabulary))
+    counts, ends = [0.0] * len(vocabulary.texts), 0
     for (d, t), h in zip(rows, [x[1] for x in base_by_force(rows)], strict=True):
         if not h:
             ends += 1
-            for c in vocabulary.cuts(t or ""):
-                one = c[0] == " " and c[1:2] not in ("", " ")
-                counts.update(library.encode(c[1:]) if one else codec.segment(c.replace(" ", pieces.SPACE)))
-    weights, end = lm.weights_of(counts, ends, vocabulary)
+            if t:
+                first.expect(" " + t, 1, counts)
+    weights, end = lm.weights_of(dict(enumerate(counts)), ends, vocabulary)
     lattice = lm.Lattice(vocabulary, weights)
     by = {(r.doc_id, r.n_tokens): r.score for r in got}
     for d, t in rows:
@@ -109,6 +132,30 @@ def test_report_against_brute_force(spark, monkeypatch, vocabulary, dictionary):
         assert abs(by[d, n] - whole) < 1e-6 * max(1, abs(whole)), repr(t and t[:30])
 
 
+def test_texts_without_spaces_and_with_tabs(spark, vocabulary, monkeypatch):
+    """One cut each: what's sent to the tasks is bounded by bytes, and the scores are those of whole texts."""
+    rng = random.Random(2)
+    han = ["".join(chr(0x4E00 + rng.randrange(300)) for _ in range(4_000)) for _ in range(20)]
+    tabs = ["\t".join(rng.choice(["id", "name", "x" + str(rng.randrange(50))]) for _ in range(200)) for _ in range(20)]
+    rows = list(enumerate(han + tabs + [han[0]] * 3))
+    monkeypatch.setattr(lm, "LONG_BYTES", 30_000)
+    sent = []
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda sc, value, own=type(spark.sparkContext).broadcast: sent.append(value) or own(sc, value))
+    got = {r.doc_id: r for r in lm.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    held = [x for x in sent if isinstance(x, tuple)][0][0]
+    assert han[0] in {c.strip() for c in held} and sum(len(c.encode()) for c in held if len(c.encode()) > lm.SHORT) <= 30_000
+    base = {x[0]: x for x in base_by_force(rows)}
+    assert all((r.n_tokens, r.n_known, r.train_tokens) == base[i][2:5] and abs(r.base_score - base[i][5]) < 1e-6 for i, r in got.items())
+    first = lm.Lattice(vocabulary, lm.first_weights(vocabulary))
+    counts = [0.0] * len(vocabulary.texts)
+    for i, t in rows:
+        if not base[i][1]:
+            first.expect(" " + t, 1, counts)
+    weights, end = lm.weights_of(dict(enumerate(counts)), sum(not x[1] for x in base.values()), vocabulary)
+    lattice = lm.Lattice(vocabulary, weights)
+    assert all(abs(got[i].score - (lattice.log_probability(" " + t) + end) / math.log(10)) < 1e-6 * abs(got[i].score) for i, t in rows)
+
+
 def test_no_training_documents_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     (r,) = lm.scores(df, F.lit(True)).collect()
