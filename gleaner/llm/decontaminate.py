@@ -7,12 +7,14 @@ The kept k-grams of the documents meet those of the benchmark's windows in one j
 each hit is then extended to its whole window by comparing the words around it.
 
 Per document the benchmark's windows, not pairs of documents, are joined, so a passage that many
-documents hold costs one row per occurrence.
+documents hold costs one row per occurrence. The texts are read once for windows of all lengths. A benchmark of more than
+BROADCAST_WINDOWS windows is joined by a shuffle: of keys alone at first, which names the documents that hold any of them, and
+of words for these documents only.
 
-Defined cases: a null or empty text has no words and no hits; an item without words is ignored; an item of
+Defined cases: a null or empty text has no words and no hits; very long texts are read whole; an item without words is ignored; an item of
 fewer than SPAN words is one window of its whole length; an item with a null id hits words but isn't
-listed; repeated rows come out as often as they came in; an empty benchmark leaves all documents
-clean; further columns of either input are ignored.
+listed; repeated rows come out as often as they came in; of k-grams that tie for the least hash all are kept; an empty benchmark
+leaves all documents clean, an empty table gives no rows; further columns of either input are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ SPAN = 10
 K = 5
 #: Windows of the benchmark that may be broadcast: some 400 bytes each, 40 MB at most. Beyond, the join shuffles.
 BROADCAST_WINDOWS = 100_000
+#: Documents with a benchmark's key whose names may be broadcast, 16 bytes each.
+BROADCAST_DOCS = 1_000_000
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -89,13 +93,14 @@ def _row_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
 
 
-def _keys(docs: DataFrame, lengths: list[int]) -> DataFrame:
-    """A row per document (key null) and per kept k-gram: where it stands and the words around it."""
-    hashed = docs.select(
-        "doc_id",
-        _row_key(F.col("text")).alias("row_key"),
-        words_of(F.col("text")).alias("words"),
-    ).select("*", F.size("words").alias("n_words"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", _row_key(F.col("text")).alias("row_key"), words_of(F.col("text")).alias("words")).withColumn("n_words", F.size("words"))
+
+
+def _keys(named: DataFrame, lengths: list[int]) -> DataFrame:
+    """A row per document (key null) and per key, a kept k-gram or a run as long as a short item: where it stands, and the document's words."""
+    short = [x for x in lengths if x < SPAN]
+    hashed = named.select("*", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
     width = SPAN - K + 1
     least = F.transform(
         _from(F.col("kgrams"), F.size("kgrams") - (width - 1)),
@@ -103,37 +108,57 @@ def _keys(docs: DataFrame, lengths: list[int]) -> DataFrame:
     )
     # A k-gram is kept if it is the least of any window over it: of equal ones, all are.
     kept = F.col("key") == F.greatest(*(F.get(F.col("least"), F.col("at") - j) for j in range(width)))
-    first = F.greatest(F.col("at") - (width - 1), F.lit(0))
-    around = F.slice("words", first + 1, F.lit(SPAN + width - 1))
-    out = (
-        hashed.select("doc_id", "row_key", "words", "n_words", _kgrams("hashes", K).alias("kgrams"))
-        .select("*", least.alias("least"))
-        .select("*", F.posexplode(F.concat("kgrams", F.array(F.lit(None).cast("long")))).alias("at", "key"))
-        .filter(F.col("key").isNull() | kept)
-        .select("doc_id", "row_key", "n_words", "key", "at", F.lit(SPAN).alias("len"), first.alias("first"), around.alias("around"))
-    )
-    for length in (x for x in lengths if x < SPAN):  # items shorter than a window: every run of so many words is a key
-        run = _runs("hashes", length)
-        out = out.unionByName(
-            hashed.select("doc_id", "row_key", "words", "n_words", F.posexplode(run).alias("at", "key")).select(
-                "doc_id", "row_key", "n_words", "key", "at", F.lit(length).alias("len"), F.col("at").alias("first"),
-                F.slice("words", F.col("at") + 1, F.lit(length)).alias("around"),
-            )
-        )
-    return out
+    out = hashed.select("*", _kgrams("hashes", K).alias("kgrams")).select("*", least.alias("least"))
+    own = F.lit(None).cast("long")
+    if not short:
+        out = out.select("*", F.posexplode(F.concat("kgrams", F.array(own))).alias("at", "key")).withColumn("len", F.lit(SPAN))
+    else:
+        entry = lambda length, at, key: F.struct(F.lit(length).alias("len"), at.alias("at"), key.alias("key"))
+        entries = lambda length, hashes: F.transform(hashes, lambda x, i: entry(length, i, x))
+        every = F.concat(entries(SPAN, "kgrams"), *(entries(n, _runs("hashes", n)) for n in short), F.array(entry(SPAN, F.lit(0), own)))
+        out = out.select("*", F.explode(every).alias("entry")).select("*", "entry.*")
+    return out.filter(F.col("key").isNull() | (F.col("len") < SPAN) | kept).select("doc_id", "row_key", "words", "n_words", "key", "at", "len")
+
+
+def _around(keys: DataFrame) -> DataFrame:
+    """keys with the words around each in place of all, and the first one's place."""
+    width = SPAN - K + 1
+    full = F.col("len") == SPAN
+    first = F.when(full, F.greatest(F.col("at") - (width - 1), F.lit(0))).otherwise(F.col("at"))
+    around = F.slice("words", first + 1, F.when(full, F.lit(SPAN + width - 1)).otherwise(F.col("len")))
+    return keys.select("doc_id", "row_key", "n_words", "key", "at", "len", first.alias("first"), around.alias("around"))
 
 
 def _found(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Per distinct row of docs (doc_id, row_key: a hash of its text): copies, n_words, n_hit, item_ids, spans."""
     windows = checkpointed(benchmark_windows(items.select("item_id", "text")))
     shape = windows.groupBy("len").count().collect()  # SPAN rows at most
+    lengths = sorted(x["len"] for x in shape)
+    named = _named(docs.select("doc_id", "text"))
     if sum(x["count"] for x in shape) <= BROADCAST_WINDOWS:
-        windows = F.broadcast(windows)
+        return _met(named, F.broadcast(windows), lengths)
+    wanted = windows.select("len", "key").distinct()
+    holding = checkpointed(_keys(named, lengths).select("doc_id", "row_key", "len", "key").join(wanted, ["len", "key"], "left_semi").select("doc_id", "row_key").distinct())
+    if holding.count() <= BROADCAST_DOCS:
+        holding = F.broadcast(holding)
+    holding = holding.select(F.col("doc_id").alias("h_id"), F.col("row_key").alias("h_key"))
+    held = named["doc_id"].eqNullSafe(holding["h_id"]) & (named["row_key"] == holding["h_key"])
+    hit = _met(named.join(holding, held, "left_semi"), windows, lengths)
+    n_words, none = F.col("n_words").cast("long").alias("n_words"), F.array()
+    clean = named.join(holding, held, "left_anti").groupBy("doc_id", "row_key", "n_words").agg(F.count("*").alias("copies"))
+    types = {f.name: f.dataType for f in hit.schema.fields}
+    return hit.unionByName(
+        clean.select(
+            "doc_id", "row_key", "copies", n_words, F.lit(0).cast("long").alias("n_hit"), none.cast(types["item_ids"]).alias("item_ids"), none.cast(types["spans"]).alias("spans")
+        )
+    )
+
+
+def _met(named: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """_found for documents as _named has them."""
     w = windows.select(*(F.col(x).alias(f"w_{x}") for x in windows.columns))
     # A document's own row gets a key of its own: rows with a null key would all go to one task of a shuffled join.
-    keys = _keys(docs.select("doc_id", "text"), sorted(x["len"] for x in shape)).withColumns(
-        {"own": F.col("key").isNull(), "key": F.coalesce("key", F.xxhash64("doc_id", "row_key"))}
-    )
+    keys = _around(_keys(named, lengths)).withColumns({"own": F.col("key").isNull(), "key": F.coalesce("key", F.xxhash64("doc_id", "row_key"))})
     start = F.col("at") - F.col("w_at")
     inside = (start >= F.col("first")) & (F.col("w_window") == F.slice("around", F.greatest(start - F.col("first"), F.lit(0)) + 1, F.col("w_len")))
     met = keys.join(w, (F.col("key") == F.col("w_key")) & (F.col("len") == F.col("w_len")) & ~F.col("own") & inside, "left")

@@ -70,6 +70,26 @@ def test_main_path_is_native(spark):
     assert not re.search("Python|Pandas|Arrow", text) and "BroadcastHashJoin" in text
 
 
+def test_documents_are_read_once_for_items_of_all_lengths(spark, tmp_path):
+    spark.createDataFrame([(i, "some words of a document that holds them " * 3) for i in range(9)], "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    items = spark.createDataFrame([(n, " ".join(f"w{n}x{k}" for k in range(n))) for n in range(1, 13)], "item_id long, text string")
+    plan = decontaminate.report(spark.read.parquet(f"{tmp_path}/d"), items)
+    assert plan._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+@pytest.mark.parametrize("names", [1_000_000, 0])
+def test_a_large_benchmark_and_a_hot_passage(spark, monkeypatch, names):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 100)
+    monkeypatch.setattr(decontaminate, "BROADCAST_DOCS", names)
+    rng = random.Random(11)
+    text = lambda n: " ".join(f"w{rng.randrange(4000)}" for _ in range(n))
+    hot = text(12)
+    items = [(i, text(rng.choice([7, 15, 40]))) for i in range(40)] + [(90, hot + " " + text(5)), (91, "two words")]
+    docs = [(i, f"{text(20)} {hot} {text(5)}") for i in range(60)] + [(100 + i, text(60)) for i in range(60)] + [(200, f"{text(9)} {items[3][1]}"), (201, "has Two, words"), (None, hot)]
+    got = decontaminate.report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == by_force(docs, items)
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert [tuple(r)[1:4] for r in decontaminate.report(docs, items).orderBy("doc_id").collect()] == [(2, 0, 0), (0, 0, 0)]
