@@ -2,14 +2,15 @@
 
 A payload is cut into access units. Each is a packetised elementary packet with a presentation timestamp,
 carried in 188-byte packets whose continuity counter runs on; every GOP-th unit is a random-access point
-and carries a clock reference. A program association and a program map table come first. The reader finds
-the streams through these tables (checking their CRC), checks the continuity counters, leaves out repeated
+and carries a clock reference. A program association and a program map table stand before each such point, so that a reader can begin
+there. The reader finds the streams through the first of these tables that are whole (by their CRC), checks the continuity counters, leaves out repeated
 packets, reassembles the elementary packets and keeps, per stream, the timestamps and the random-access
 points with their byte offsets, so that a reader can seek.
 
 The media are a binary column, stored as a Parquet table in the shared folder by the query.
 
-Defined cases: a null or empty text is a payload of PAD spaces; equal texts give equal streams; a stream
+Defined cases: a null or empty text is a payload of PAD spaces; very long texts are stored whole, in as many units as they need, their
+timestamps going on from zero after 2 ** 33; equal texts give equal streams; an empty table gives no rows; a stream
 with damage raises no error: lost packets are counted, an elementary packet with a gap is left out, and a
 stream without tables has no payload; rows come out as often as they came in; further columns of the input
 are ignored.
@@ -71,17 +72,17 @@ def _section(table_id: int, number: int, body: bytes) -> bytes:
     return whole + crc32_mpeg(whole).to_bytes(4, "big")
 
 
-def _table_packet(pid: int, section: bytes) -> bytes:
-    packet = b"\x47" + (0x4000 | pid).to_bytes(2, "big") + b"\x10\x00" + section
+def _table_packet(pid: int, section: bytes, counter: int) -> bytes:
+    packet = b"\x47" + (0x4000 | pid).to_bytes(2, "big") + bytes([0x10 | counter, 0]) + section
     return packet + b"\xff" * (PACKET - len(packet))
 
 
-@lru_cache(1)
-def _tables() -> bytes:
+@lru_cache(16)
+def _tables(counter: int) -> bytes:
     pat = _section(0, 1, (1).to_bytes(2, "big") + (0xE000 | PMT_PID).to_bytes(2, "big"))
     streams = bytes([STREAM_TYPE]) + (0xE000 | STREAM_PID).to_bytes(2, "big") + b"\xf0\x00"
     pmt = _section(2, 1, (0xE000 | STREAM_PID).to_bytes(2, "big") + b"\xf0\x00" + streams)
-    return _table_packet(0, pat) + _table_packet(PMT_PID, pmt)
+    return _table_packet(0, pat, counter) + _table_packet(PMT_PID, pmt, counter)
 
 
 def _pes(unit: bytes, pts: int) -> bytes:
@@ -101,11 +102,13 @@ def _adaptation(size: int, pts: int | None) -> bytes:
 
 def mux(payload: bytes) -> bytes:
     """A transport stream of one program with the payload as its only stream."""
-    out, counter = [_tables()], 0
+    out, counter = [], 0
     for k, at in enumerate(range(0, len(payload), UNIT)):
         pts = k * TICKS % PTS_WRAP
         pes = _pes(payload[at : at + UNIT], pts)
         point = k % GOP == 0
+        if point:
+            out.append(_tables(k // GOP & 15))
         size = max(8 if point else 0, ROOM - len(pes))
         first = ROOM - size
         head = bytes([0x47, 0x40 | STREAM_PID >> 8, STREAM_PID & 255, (0x30 if size else 0x10) | counter])
@@ -153,22 +156,24 @@ def _body(packet: bytes, table_id: int) -> tuple[int, bytes] | None:
     return int.from_bytes(section[3:5], "big"), section[8 : size - 4]
 
 
+def _first_whole(packets: np.ndarray, rows: np.ndarray, table_id: int) -> tuple[int, bytes] | None:
+    return next((own for r in rows if (own := _body(packets[r].tobytes(), table_id))), None)
+
+
 def _streams(packets: np.ndarray, pid: np.ndarray, begins: np.ndarray) -> list[Stream]:
     """The streams that the tables name."""
     found = []
-    for row in np.flatnonzero((pid == 0) & begins)[:1]:
-        programs = _body(packets[row].tobytes(), 0)
-        for i in range(0, len(programs[1]), 4) if programs else ():
-            program, map_pid = (int.from_bytes(programs[1][j : j + 2], "big") for j in (i, i + 2))
-            rows = np.flatnonzero((pid == map_pid & 0x1FFF) & begins)
-            own = _body(packets[rows[0]].tobytes(), 2) if program and len(rows) else None
-            if own is None or own[0] != program:
-                continue
-            body = own[1]
-            at = 4 + (int.from_bytes(body[2:4], "big") & 0xFFF)
-            while at + 5 <= len(body):
-                found.append(Stream(program, int.from_bytes(body[at + 1 : at + 3], "big") & 0x1FFF, body[at]))
-                at += 5 + (int.from_bytes(body[at + 3 : at + 5], "big") & 0xFFF)
+    programs = _first_whole(packets, np.flatnonzero((pid == 0) & begins), 0)
+    for i in range(0, len(programs[1]), 4) if programs else ():
+        program, map_pid = (int.from_bytes(programs[1][j : j + 2], "big") for j in (i, i + 2))
+        own = _first_whole(packets, np.flatnonzero((pid == map_pid & 0x1FFF) & begins), 2) if program else None
+        if own is None or own[0] != program:
+            continue
+        body = own[1]
+        at = 4 + (int.from_bytes(body[2:4], "big") & 0xFFF)
+        while at + 5 <= len(body):
+            found.append(Stream(program, int.from_bytes(body[at + 1 : at + 3], "big") & 0x1FFF, body[at]))
+            at += 5 + (int.from_bytes(body[at + 3 : at + 5], "big") & 0xFFF)
     return found
 
 

@@ -42,6 +42,21 @@ def test_round_trip(n):
         assert media[offset] == 0x47 and media[offset + 5] & 0x40 and media[offset + 1] & 0x40
 
 
+def test_a_reader_begins_at_any_random_access_point():
+    payload = random.Random(5).randbytes(transport.UNIT * 30 + 7)
+    media = transport.mux(payload)
+    (s,) = transport.demux(media)
+    assert len(s.points) == 3
+    for k, (pts, offset) in enumerate(s.points):
+        (own,) = transport.demux(media[offset - 2 * 188 :])
+        assert own.payload == payload[k * transport.GOP * transport.UNIT :] and own.timestamps[0] == pts and own.lost == 0
+    tables = [p for p in (media[i : i + 188] for i in range(0, len(media), 188)) if (p[1] & 31) << 8 | p[2] in (0, 0x1000)]
+    assert [p[3] & 15 for p in tables] == [0, 0, 1, 1, 2, 2]
+    broken = bytearray(media)
+    broken[10] ^= 1
+    assert transport.demux(bytes(broken))[0].payload == payload  # by the next whole table
+
+
 def test_crc_of_mpeg_tables():
     assert transport.crc32_mpeg(b"123456789") == 0x0376E6E7
     pat = transport.mux(b"x")[5:]
