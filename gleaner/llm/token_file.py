@@ -1,27 +1,27 @@
 """Token ids in ORC files: stripes of run-length-encoded ids, row indexes and Bloom filters on document ids.
 
-Documents are dealt by ranges of doc_id to parts, sorted, encoded with a public byte-level BPE through the
-tokenizers library, each ended by END_ID, and written as one ORC file per part: ids as integers (ORC's
+Documents are dealt by ranges of (doc_id, place in the input) to parts, sorted, encoded with a public byte-level BPE through the
+tokenizers library, each ended by END_ID, and written as one ORC file per part, in stripes of some STRIPE_BYTES: ids as integers (ORC's
 run-length encoding, version 2), a row index every INDEX_ROWS rows and a Bloom filter on doc_id, so that a
 reader skips files by their footers, and stripes and row groups by their statistics and filters. Each row
 holds its own offset in its part, so that any stripe can be read alone; the parts' totals, read from one
 integer column, give each part's start. Nothing is ordered by one task: Spark samples the ranges'
-bounds, and a part is sorted where it lands.
+bounds, rows of one doc_id may go to several parts, and a part is sorted where it lands and written as a stream, so its size
+is no task's memory.
 
 The library's pre-tokeniser never lets a token cross from a character into a single space or line feed
 before another word, so a text is cut before each of these and the cuts' ids are joined; cuts met before
 come from a bounded cache, others go to the library in batches. A text with any other white space goes
 to the library whole.
 
-Defined cases: a null or empty text has the end id alone; rows with equal doc_id stand next to each other,
-ordered by text, and come out as often as they came in; rows without a doc_id come first; an empty table
+Defined cases: a null or empty text has the end id alone; very long texts are encoded whole; rows with equal doc_id stand next to each
+other, in the order of the input's partitions, and come out as often as they came in; rows without a doc_id come first; an empty table
 gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
@@ -34,13 +34,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import pieces_of, shared_dir
+from gleaner.llm.common import folder, pieces_of
 
 END_ID = 2
 INDEX_ROWS = 1000
 #: Rows of a part, about, and the most parts: beyond, parts grow. A part is a file.
 PART_ROWS = 8192
 MAX_PARTS = 20_000
+STRIPE_BYTES = 4 << 20
 #: Cuts that a worker remembers: some 80 MB; beyond, those met once only are forgotten.
 CACHE = 800_000
 
@@ -291,16 +292,20 @@ def _encoded(path: str, end_id: int):
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, part_rows: int = PART_ROWS) -> None:
+def write_tokens(
+    docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, part_rows: int = PART_ROWS, stripe_bytes: int = STRIPE_BYTES
+) -> None:
     """Writes docs (doc_id, text) as ORC files under path, in ascending order of doc_id from part to part."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("place"))
     n_parts = min(MAX_PARTS, -(-docs.count() // part_rows)) or 1
-    placed = docs.repartitionByRange(n_parts, "doc_id").sortWithinPartitions("doc_id", "text").select(F.spark_partition_id().alias("part"), "doc_id", "text")
+    placed = docs.repartitionByRange(n_parts, "doc_id", "place").sortWithinPartitions("doc_id", "place").select(F.spark_partition_id().alias("part"), "doc_id", "text")
     (
         placed.mapInArrow(_encoded(tokenizer or tokenizer_path(), end_id), SCHEMA)
         .write.option("orc.compress", "SNAPPY")
         .option("orc.row.index.stride", str(INDEX_ROWS))
         .option("orc.create.index", "true")
+        .option("orc.stripe.size", str(stripe_bytes))
+        .option("orc.rows.between.memory.checks", str(INDEX_ROWS))
         .option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
         .orc(path)
@@ -328,6 +333,6 @@ def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files written."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = folder(spark, "tokens")
     write_tokens(docs, path)
     return read_tokens(spark, path).mapInArrow(_crc, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -45,11 +45,11 @@ def test_table_finds_what_it_holds():
 def test_report_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(token_file, "PART_ROWS", 6)
     rows = [(i * 7 % 19, t, i) for i, t in enumerate(ODD)] + [(None, "no id", 0), (3, "again", 1), (3, "again", 2), (50, "long " * 30_000, 0)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, part long").repartition(5)
+    df = spark.createDataFrame(rows, "doc_id long, text string, part long")
     path = f"{spark.conf.get('spark.checkpoint.dir')}/tokens-test"
     token_file.write_tokens(df, path, part_rows=6)
     got = token_file.read_tokens(spark, path)
-    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
     want, start = [], 0
     for (doc_id, _, _), ids in zip(ordered, library([t or "" for _, t, _ in ordered]), strict=True):
         ids = [*ids, 2]
@@ -64,12 +64,50 @@ def test_report_against_brute_force(spark, monkeypatch):
     assert token_file.report(df.limit(0)).count() == 0
 
 
-def test_files_hold_filters_and_stripes(spark, tmp_path):
+def scanned(df):
+    """Rows that come out of the file scan."""
+    df._jdf.queryExecution().executedPlan().executeCollect()
+    return df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
+
+
+def test_files_hold_stripes_indexes_and_filters(spark, tmp_path):
     import pyarrow.orc as orc
 
-    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("some words here").alias("text"))
-    token_file.write_tokens(df, f"{tmp_path}/t", part_rows=1000)
+    rng = random.Random(1)
+    rows = [(2 * i, " ".join(f"{rng.randrange(10**6)}" for _ in range(60))) for i in range(12_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    token_file.write_tokens(df, f"{tmp_path}/t", part_rows=6000, stripe_bytes=1 << 18)
     files = sorted(tmp_path.glob("t/*.orc"))
-    assert len(files) == 3
+    assert len(files) == 2
     f = orc.ORCFile(str(files[0]))
-    assert f.nstripes >= 1 and f.row_index_stride == token_file.INDEX_ROWS and f.compression == "SNAPPY"
+    assert f.nstripes > 2 and f.row_index_stride == token_file.INDEX_ROWS and f.compression == "SNAPPY"
+    parts = [f.read_stripe(i, columns=["doc_id"])["doc_id"].to_pylist() for i in range(f.nstripes)]  # each alone
+    assert sum(parts, []) == f.read(columns=["doc_id"])["doc_id"].to_pylist()
+    # The Bloom filters are there, one for each group of rows, and know the ids that they don't hold.
+    orc_ = spark._jvm.org.apache.orc
+    where = spark._jvm.org.apache.hadoop.fs.Path(str(files[0]))
+    reader = orc_.OrcFile.createReader(where, orc_.OrcFile.readerOptions(spark._jsc.hadoopConfiguration()))
+    assert [str(s) for s in reader.getSchema().getFieldNames()][1] == "doc_id"
+    n = reader.getSchema().getMaximumId() + 1
+    every = spark.sparkContext._gateway.new_array(spark._jvm.boolean, n)
+    for i in range(n):
+        every[i] = True
+    index = reader.rows().readRowIndex(0, every, every)
+    filters = index.getBloomFilterIndex()[2]
+    assert filters.getBloomFilterCount() == -(-len(parts[0]) // token_file.INDEX_ROWS) and index.getBloomFilterIndex()[3] is None
+    assert index.getRowGroupIndex()[2].getEntryCount() == filters.getBloomFilterCount()
+    # A reader leaves out files and stripes by their statistics, and row groups by the filters: an odd id is within the bounds of one.
+    read = spark.read.schema(token_file.SCHEMA).orc(f"{tmp_path}/t").select("doc_id", "n_tokens")
+    assert scanned(read) == 12_000
+    assert 0 < scanned(read.filter("doc_id = 14000")) <= token_file.INDEX_ROWS + 100
+    assert sum(scanned(read.filter(f"doc_id = {14_001 + 40 * k}")) == 0 for k in range(30)) > 25
+
+
+def test_rows_of_one_id_go_to_several_parts(spark, tmp_path):
+    df = spark.range(4000).select(F.when(F.col("id") < 100, F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    token_file.write_tokens(df, f"{tmp_path}/t", part_rows=500)
+    got = token_file.read_tokens(spark, f"{tmp_path}/t")
+    assert len(list(tmp_path.glob("t/*.orc"))) == 8 and max(r["count"] for r in spark.read.orc(f"{tmp_path}/t").groupBy("part").count().collect()) < 1500
+    rows = sorted(got.collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [None] * 3900 + [*range(100)]
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:], strict=False))
