@@ -15,9 +15,9 @@ segmentation of the whole text. A vocabulary with such pieces isn't cut there.
 The file's own kind is BPE, whose scores are negative ranks; this operator takes them as they stand,
 as a unigram model's, so its pieces are those of the same file with its kind set to unigram.
 
-Defined cases: a null or empty text has no pieces and decodes to the empty text; a text's own U+2581
-decodes to a space, as in the library; repeated rows come out as often as they came in; further
-columns are kept by ``with_pieces``.
+Defined cases: a null or empty text has no pieces and decodes to the empty text; very long texts are encoded whole; of segmentations
+that tie, the one whose last piece is longest is taken; a text's own U+2581 decodes to a space, as in the library; repeated rows come
+out as often as they came in; an empty table gives no rows; further columns are kept by ``with_pieces``, which replaces columns named as its own.
 """
 
 from __future__ import annotations

@@ -15,8 +15,8 @@ afterwards. The input is checkpointed first, so that a recomputed partition has
 order. A block's rows are put in an order of their own (partition, place) before they are permuted, so the
 result depends on the seed alone; they are sorted and read in batches, so no task holds a block's texts at once.
 
-Defined cases: a null text has no bytes and checksum 0; rows with equal or null doc_id are rows like
-any other; fewer rows than shards leave some shards without rows; an empty table gives no rows; further
+Defined cases: a null text has no bytes and checksum 0; an empty text has none either; very long texts move whole; rows with equal or
+null doc_id, and equal rows, are rows like any other; fewer rows than shards leave some shards without rows; an empty table gives no rows; further
 columns stay with their rows.
 """
 

@@ -18,8 +18,9 @@ The forests of all nodes meet in connected components, found by alternating larg
 small-star steps.
 
 Defined cases: a text that is null or has no words has fingerprint zero, which is linked like any other;
-a row with a null doc_id keeps its fingerprint and gets its group's least doc_id (null if there's none);
-repeated rows come out as often as they came in; further columns are ignored.
+very long texts are read whole; a row with a null doc_id keeps its fingerprint and gets its group's least doc_id (null if there's
+none), as do rows that tie for it; repeated rows come out as often as they came in; an empty table gives no rows; further columns are
+ignored.
 """
 
 from __future__ import annotations
