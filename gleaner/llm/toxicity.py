@@ -95,13 +95,21 @@ class Terms:
         return grouped(np.unique(np.concatenate([key, *shared])), len(texts), BITS)
 
 
+def _documents_of(rows: list[np.ndarray]) -> np.ndarray:
+    """How many rows have each id."""
+    of = np.zeros(1 << BITS, np.int32)
+    for r in rows:  # distinct ids; all rows' at once would be another copy of the sample
+        of[r] += 1
+    return of
+
+
 def associated(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """Ids whose documents' labels differ from the others', the most telling MAX_TERMS."""
     n, n1 = len(y), int(y.sum())
-    of = np.bincount(np.concatenate(rows), minlength=1 << BITS)
-    of1 = np.bincount(np.concatenate([r for r, c in zip(rows, y, strict=True) if c]), minlength=1 << BITS)
+    of = _documents_of(rows)
+    of1 = _documents_of([r for r, c in zip(rows, y, strict=True) if c])
     terms = np.flatnonzero(of)
-    of, of1 = of[terms], of1[terms]
+    of, of1 = of[terms].astype(float), of1[terms].astype(float)
 
     def part(seen, expected):
         return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
@@ -116,28 +124,33 @@ def associated(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
 def interacting(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """Ids that tell the label in pairs: of the PAIR_TERMS ids nearest to half of the documents, those with a pair above MIN_PAIR, the most telling MAX_TERMS."""
     n = len(y)
-    of = np.bincount(np.concatenate(rows), minlength=1 << BITS)
-    half = np.minimum(of, n - of)
-    terms = np.sort(np.argsort(-half, kind="stable")[:PAIR_TERMS])
-    terms = terms[half[terms] > 0]
-    place = np.full(1 << BITS, -1)
+    half = _documents_of(rows)
+    half = np.minimum(half, n - half)
+    terms = np.flatnonzero(half)
+    terms = np.sort(terms[np.argsort(-half[terms], kind="stable")[:PAIR_TERMS]])
+    place = np.full(1 << BITS, -1, np.int32)
     place[terms] = np.arange(len(terms))
-    has = np.zeros((n, len(terms)), np.float32)
-    for i, r in enumerate(rows):
-        p = place[r]
-        has[i, p[p >= 0]] = 1
+    both = np.zeros((2, len(terms), len(terms)), np.float32)  # by label: rows that have two terms; the sample's counts are exact in it
+    for label in (0, 1):
+        own = np.flatnonzero(y == label)
+        for at in range(0, len(own), 500):
+            has = np.zeros((min(500, len(own) - at), len(terms)), np.float32)
+            for i, row in enumerate(own[at : at + 500].tolist()):
+                p = place[rows[row]]
+                has[i, p[p >= 0]] = 1
+            both[label] += has.T @ has
     best = np.zeros(len(terms))
-    odds = np.zeros((len(terms), len(terms)))
-    spread = np.zeros_like(odds)
-    for label, sign in ((1, 1), (0, -1)):
-        own = has[y == label]
-        both, single = (own.T @ own).astype(np.float64), own.sum(axis=0, dtype=np.float64)
-        for cell, turn in ((both, 1), (single[:, None] - both, -1), (single - both, -1), (len(own) - single[:, None] - single + both, 1)):
-            odds += sign * turn * np.log(cell + 0.5)
-            spread += 1 / (cell + 0.5)
-    found = odds * odds / spread
-    np.fill_diagonal(found, 0)
-    best = found.max(axis=1, initial=0)
+    for at in range(0, len(terms), 128):
+        odds, spread = 0.0, 0.0
+        for label, sign in ((1, 1), (0, -1)):
+            single = both[label].diagonal().astype(float)
+            pair, first = both[label][at : at + 128].astype(float), single[at : at + 128, None]
+            for cell, turn in ((pair, 1), (first - pair, -1), (single - pair, -1), ((y == label).sum() - first - single + pair, 1)):
+                odds = odds + sign * turn * np.log(cell + 0.5)
+                spread = spread + 1 / (cell + 0.5)
+        found = odds * odds / spread
+        found[np.arange(len(found)), at + np.arange(len(found))] = 0
+        best[at : at + 128] = found.max(axis=1)
     order = np.argsort(-best, kind="stable")[:MAX_TERMS]
     return np.sort(terms[order[best[order] > MIN_PAIR]])
 
