@@ -51,7 +51,8 @@ def verdicts(leads: DataFrame, opt_out: DataFrame, ledger: DataFrame | None = No
     """leads with verdict: suppressed, known, duplicate or accepted, as a row-by-row run in arrival order would say.
 
     With a ledger, an accepted lead closes its domain at once, so later ones of the domain are known. seeds: addresses (entry)
-    of an interrupted run, whose leads are duplicates. A lead without an address is a duplicate.
+    of an interrupted run, whose leads are duplicates. A lead without an address is a duplicate. Leads that tie in the order
+    come by address and website; of equal ones one is accepted.
     """
     own = suppressed(leads, opt_out)
     own = in_ledger(own, ledger) if ledger is not None else own.withColumn("known", F.lit(False))
@@ -65,13 +66,18 @@ def verdicts(leads: DataFrame, opt_out: DataFrame, ledger: DataFrame | None = No
     group = text.email_domain(F.col("email")) if ledger is not None else F.col("_key")
     eligible = ~F.col("suppressed") & ~F.col("known") & ~F.col("_out")
     own = own.withColumn("_group", group)
-    firsts = own.filter(eligible).groupBy("_group").agg(F.min(order).alias("_first"))  # partial sums first: a hot domain is one row per task
+    own = own.withColumn("_rank", F.struct(order, "email", "website", F.xxhash64(*leads.columns)))
+    firsts = own.filter(eligible).groupBy("_group").agg(F.min("_rank").alias("_first"))  # partial sums first: a hot domain is one row per task
     own = own.join(firsts, "_group", "left")
-    verdict = F.when(F.col("suppressed"), "suppressed").when(F.col("known"), "known")
+    # Of equal first rows one counts; the others are spread, so that a hot domain is no window's alone.
+    first = eligible & (F.col("_first") == F.col("_rank"))
+    own = own.withColumn("_tie", F.when(first, 0).otherwise(F.xxhash64("_rank")))
+    own = own.withColumn("_n", F.row_number().over(Window.partitionBy("_group", "_tie").orderBy("_rank")))
+    first = first & (F.col("_n") == 1)
+    verdict = F.when(F.col("suppressed"), "suppressed").when(F.col("known"), "known").when(first, "accepted")
     if ledger is not None:
-        verdict = verdict.when(F.col("_first") < F.col(order), "known")
-    verdict = verdict.when(F.col("_out"), "duplicate").when(F.col("_first") == F.col(order), "accepted").otherwise("duplicate")
-    return own.withColumn("verdict", verdict).drop("_key", "_seed", "_out", "_group", "_first", "suppressed", "known")
+        verdict = verdict.when(F.col("_first") <= F.col("_rank"), "known")
+    return own.withColumn("verdict", verdict.otherwise("duplicate")).drop("_key", "_seed", "_out", "_group", "_rank", "_first", "_tie", "_n", "suppressed", "known")
 
 
 def pending(results: DataFrame, crawled: DataFrame, known_sites: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from gleaner.functions import html, urls
+from gleaner.sources.snapshots import permitted
 from gleaner.tables import CONTACT_PATHS, LANGUAGE_PREFIXES, ROLE_PREFIXES
 
 LEADS = (
@@ -77,19 +78,33 @@ def _of_directory(start: dict, category: str, include_personal: bool) -> list[tu
     return [(category, source, (start["url"] or "").strip(), email, title, "", title, _status(email), [note], start["ordinal"])]
 
 
+def _reachable(starts: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """(site, page_url, html) of the snapshots that a site's frontier can come to: its results' pages, guesses, and any page's contact links.
+
+    A site of very many pages links to few contact pages, so this is what bounds a site's group.
+    """
+    own = starts.filter("site_url <> ''")
+    first = own.select("site", urls.strip_fragment(F.col("site_url")).alias("page_url"))
+    guessed = own.select("site", F.explode(urls.guessed_contact_urls(F.col("site_url"))).alias("page_url"))
+    linked = snapshots.select("site", F.explode(html.parse_page_of("html", "page_url").getField("links")).alias("page_url"))
+    wanted = first.unionByName(guessed).unionByName(linked).distinct()
+    return snapshots.join(wanted, ["site", "page_url"], "left_semi")
+
+
 def crawl(results: DataFrame, pages: DataFrame, robots: DataFrame, category: str, max_pages: int = 5, include_personal: bool = False) -> DataFrame:
     """Leads of search results (url, title, snippet, directory_email, directory_source_url, ordinal) from page snapshots (url, html).
 
-    robots: (url) of pages that may not be read; they're left out first. A site's pages come together by host, so a
-    result only sees its own host's snapshots. A result without a usable URL, or whose site has no lead, falls
-    back on its directory address.
+    robots: (host, text) of robots files; pages that they close aren't read. The pages that a site's frontier can come to meet
+    by host, so a result only sees its own host's snapshots; of several snapshots of a page the least text is read. A result without a
+    usable URL, or whose site has no lead, falls back on its directory address.
     """
-    allowed = pages.join(robots.select("url"), "url", "left_anti")
     starts = results.withColumn("site_url", urls.normalize_url(F.col("url")))
     starts = starts.withColumn("site", F.when(F.col("site_url") != "", urls.host(F.col("site_url"))).otherwise(F.concat(F.lit("#"), F.col("ordinal").cast("string"))))
-    snapshots = allowed.select(urls.host(F.col("url")).alias("site"), urls.strip_fragment(F.col("url")).alias("page_url"), F.coalesce("html", F.lit("")).alias("html"))
     # Hosts without a result never leave their partition: the pages' shuffle holds what is crawled only.
-    snapshots = snapshots.join(starts.select("site").distinct(), "site", "left_semi")
+    sites = starts.select("site").distinct()
+    own = pages.withColumn("site", urls.host(F.col("url"))).join(sites, "site", "left_semi")
+    snapshots = permitted(own, robots).select("site", urls.strip_fragment(F.col("url")).alias("page_url"), F.coalesce("html", F.lit("")).alias("html"))
+    snapshots = _reachable(starts, snapshots).groupBy("site", "page_url").agg(F.min("html").alias("html"))
 
     def run(key: tuple, own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         seen = {u: (u, h) for u, h in zip(found["page_url"], found["html"], strict=True)}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import html, text, urls
 from gleaner.functions.text import EDGE_MARKS, EMAIL_PATTERN, PHONE_PATTERN, SPELLED
 from gleaner.operators import accept, crawl, dedupe, leads, stats
-from gleaner.tables import ASSET_SUFFIXES, CONTACT_PATHS, HOST_TOKENS, LANGUAGE_PREFIXES, ROLE_PREFIXES
+from gleaner.tables import ASSET_SUFFIXES, CONTACT_PATHS, HOST_TOKENS, LANGUAGE_PREFIXES, ROLE_PREFIXES, TRUSTED_TLDS
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -111,7 +111,17 @@ def email_extract_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents").select("doc_id", F.explode(text.strict_emails(F.coalesce("text", F.lit("")))).alias("email"))
 
 
-@query()
+_BARE = r"regexp_replace(regexp_replace(html, '<!--.*?-->', '', 'gs'), '<[^>]+>', '', 'g')"
+_SIGNS = "replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+#: Addresses of pages: of the source, and of the text without tags, where cells run together, those with a trusted ending.
+_PAGE_MAILS = f"""page_mails AS (
+  SELECT DISTINCT page_id, email FROM (
+    SELECT page_id, {_NORM} AS email, false AS bare FROM (SELECT page_id, unnest(regexp_extract_all({_SIGNS.format("html")}, '{EMAIL_PATTERN}', 0, 'i')) AS m FROM pages)
+    UNION ALL SELECT page_id, {_NORM}, true FROM (SELECT page_id, unnest(regexp_extract_all({_SIGNS.format(_BARE)}, '{EMAIL_PATTERN}', 0, 'i')) AS m FROM pages))
+  WHERE email <> '' AND NOT regexp_matches(email, '({_ASSET})$') AND (NOT bare OR regexp_extract(email, '[^.]*$') IN ({", ".join(f"'{t}'" for t in TRUSTED_TLDS)})))"""
+
+
+@query(f"WITH {_PAGE_MAILS} SELECT page_id, email FROM page_mails")
 def email_extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "pages").select("page_id", F.explode(html.page_emails_of("html")).alias("email"))
 
@@ -124,9 +134,9 @@ def phone_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.filter("phone <> ''")
 
 
-@query(
+_TITLES = (
     f"""SELECT page_id, title, CASE WHEN title <> '' THEN trim(split_part(split_part(title, '|', 1), '-', 1)) ELSE {_HOST.format('url')} END AS company
-FROM (SELECT page_id, url, trim(regexp_replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM pages)"""
+FROM (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '"'), '&amp;', '&'), '&amp', '&'), '\\s+', ' ', 'g')) AS title FROM pages)"""
 )
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _read(spark, sf_dir, "pages").select("page_id", "url", html.parse_page_of("html", "url").alias("p")).select("page_id", "url", F.col("p.title").alias("title"))
@@ -208,11 +218,11 @@ def site_ledger_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _verdict_sql(ledger: bool) -> str:
     known = _LED if ledger else "false"
     group = "domain" if ledger else "email"
-    late = "WHEN f < ordinal THEN 'known'" if ledger else ""
+    late = "known" if ledger else "duplicate"
     return f"""WITH {_LEADS},
 flagged AS (SELECT *, ({_OPT}) AS s, ({known}) AS k FROM leads),
-v AS (SELECT *, min(ordinal) FILTER (WHERE NOT s AND NOT k) OVER (PARTITION BY {group}) AS f FROM flagged),
-verdicts AS (SELECT *, CASE WHEN s THEN 'suppressed' WHEN k THEN 'known' {late} WHEN f = ordinal THEN 'accepted' ELSE 'duplicate' END AS verdict FROM v)"""
+v AS (SELECT *, row_number() OVER (PARTITION BY {group}, s OR k ORDER BY ordinal, email, website) AS n FROM flagged),
+verdicts AS (SELECT *, CASE WHEN s THEN 'suppressed' WHEN k THEN 'known' WHEN n = 1 THEN 'accepted' ELSE '{late}' END AS verdict FROM v)"""
 
 
 def _verdicts(spark: SparkSession, sf_dir: str, ledger: bool) -> DataFrame:
@@ -295,11 +305,21 @@ def site_email_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.first_wins(own, F.concat_ws("\t", "site", "email"), "visit").select("site", "email", "visit")
 
 
-@query()
+#: A robots file that every other host of the pages is taken to have: French pages are closed but for the ones that end in a slash.
+ROBOTS = "User-agent: other\nDisallow: /\n\nUser-agent: *\nAllow: /fr/1\nDisallow: /fr/\nDisallow: /es"
+
+
+@query(
+    f"""WITH {_PAGE_MAILS}, h AS (SELECT *, {_HOST.format("url")} AS host FROM pages),
+o AS (SELECT *, regexp_replace(url, '^[a-z]+://[^/]*', '') AS path FROM h),
+a AS (SELECT * FROM o WHERE length(host) % 2 = 1 OR starts_with(path, '/fr/1') OR NOT (starts_with(path, '/fr/') OR starts_with(path, '/es'))),
+s AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS n FROM o)
+SELECT s.url AS source_url, regexp_replace(s.url, '#.*$', '') AS website, email, company AS company_name, {_CLASS} AS consent_status
+FROM s JOIN (SELECT DISTINCT url FROM a) USING (url) JOIN page_mails USING (page_id) JOIN ({_TITLES}) USING (page_id) WHERE n = 1"""
+)
 def site_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leads of a crawl over the pages as snapshots: the first page of each host, then what its contact links and guesses reach."""
-    pages = _read(spark, sf_dir, "pages").select("url", "html")
+    """Leads of a crawl over the pages as snapshots, under robots rules: the first page of each host, then what its contact links and guesses reach."""
     own = _read(spark, sf_dir, "pages").withColumn("host", urls.host(F.col("url")))
     starts = dedupe.first_wins(own, F.col("host"), "page_id").select("url", F.lit("").alias("title"), F.lit("").alias("snippet"), F.lit("").alias("directory_email"), F.lit("").alias("directory_source_url"), F.col("page_id").alias("ordinal"))
-    closed = spark.createDataFrame([], "url string")  # these pages come without rules
-    return crawl.crawl(starts, pages, closed, "hotel", include_personal=True).select("source_url", "website", "email", "company_name", "consent_status")
+    rules = own.filter(F.length("host") % 2 == 0).select("host", F.lit(ROBOTS).alias("text")).distinct()
+    return crawl.crawl(starts, own.select("url", "html"), rules, "hotel", include_personal=True).select("source_url", "website", "email", "company_name", "consent_status")

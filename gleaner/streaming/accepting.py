@@ -13,12 +13,15 @@ from gleaner.functions import text
 from gleaner.operators import accept
 
 
-def dedupe_stream(leads: DataFrame, time: str | None = None, delay: str = "1 day") -> DataFrame:
-    """One lead per address. Without an event time the state is unbounded; with one, an address is remembered for delay past the watermark."""
-    own = leads.withColumn("email_key", text.email_key(F.col("email"))).filter("email_key <> ''")
+def dedupe_stream(leads: DataFrame, time: str | None = None, delay: str = "1 day", by: str = "email") -> DataFrame:
+    """One lead per address, or with by="email_website" per pair of address and website. Without an event time the state is unbounded; with one, a key is remembered for delay past the watermark."""
+    if by == "email":
+        own = leads.withColumn("_key", text.email_key(F.col("email"))).filter("_key <> ''")
+    else:
+        own = leads.withColumn("_key", F.concat_ws("\t", F.lower("email"), F.lower("website")))
     if time is None:
-        return own.dropDuplicates(["email_key"]).drop("email_key")
-    return own.withWatermark(time, delay).dropDuplicatesWithinWatermark(["email_key"]).drop("email_key")
+        return own.dropDuplicates(["_key"]).drop("_key")
+    return own.withWatermark(time, delay).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
 
 
 class _DomainLedger(StatefulProcessor):
@@ -28,12 +31,18 @@ class _DomainLedger(StatefulProcessor):
         self.taken = handle.getValueState("taken", "email string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        own = pd.concat(list(rows)).sort_values("ordinal", ignore_index=True)
-        verdict = ["known"] * len(own)
-        if not self.taken.exists() and len(own):
-            self.taken.update((own["email"][0],))
-            verdict[0] = "accepted"
-        yield pd.DataFrame({"ordinal": own["ordinal"], "email": own["email"], "verdict": verdict})
+        """A frame at a time; the first lead so far is held back until a batch's end."""
+        open_, first = not self.taken.exists(), None
+        for own in rows:
+            if open_ and len(own):
+                own = own if first is None else pd.concat([first, own], ignore_index=True)
+                least = own.sort_values(["ordinal", "email"]).index[0]
+                first, own = own.loc[[least]], own.drop(index=least)
+            if len(own):
+                yield pd.DataFrame({"ordinal": own["ordinal"], "email": own["email"], "verdict": "known"})
+        if first is not None:
+            self.taken.update((first["email"].iloc[0],))
+            yield pd.DataFrame({"ordinal": first["ordinal"], "email": first["email"], "verdict": "accepted"})
 
     def close(self) -> None:
         pass
@@ -50,11 +59,11 @@ def ledger_stream(leads: DataFrame, opt_out: DataFrame, ledger: DataFrame) -> Da
 
 
 def write_stream(leads: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Leads appended to a folder of CSV files batch by batch; a restart goes on from the checkpoint."""
+    """Leads as CSV files, a folder of path per batch; a restart goes on from the checkpoint, and a batch that comes again replaces its folder."""
     from gleaner.sinks import write_csv
 
-    def sink(batch: DataFrame, _: int) -> None:
-        write_csv(batch, path, "append")
+    def sink(batch: DataFrame, number: int) -> None:
+        write_csv(batch, f"{path}/batch={number}")
 
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return leads.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**trigger).start()

@@ -54,6 +54,16 @@ def test_verdicts(spark, seed, ledger):
         assert sorted((r.ordinal, r.verdict) for r in pairs.collect()) == plain_verdicts(rows, opt_out, None, (), "email_website")
 
 
+@pytest.mark.parametrize("ledger", [None, ("@none.de",)])
+def test_verdicts_on_ties(spark, ledger):
+    rows = [(1, "a@x.de", "w"), (1, "a@x.de", "w"), (1, "A@x.de", "v"), (1, "b@y.de", "w"), (0, "b@y.de", "z"), (2, "out@x.de", "w")] * 2
+    entries = lambda xs: spark.createDataFrame([(x,) for x in xs], "entry string")
+    got = accept.verdicts(spark.createDataFrame(rows, "ordinal int, email string, website string").repartition(3), entries(["out@x.de"]), entries(ledger) if ledger else None).collect()
+    assert len(got) == len(rows)
+    assert sorted((r.ordinal, r.email) for r in got if r.verdict == "accepted") == [(0, "b@y.de"), (1, "A@x.de")]
+    assert {r.verdict for r in got if r.email != "out@x.de"} == {"accepted", "known" if ledger else "duplicate"} and sum(r.verdict == "suppressed" for r in got) == 2
+
+
 @pytest.mark.parametrize("most,already", [(0, 0), (1, 0), (5, 0), (5, 3), (100, 0)])
 def test_cap_by_site(spark, most, already):
     rng = random.Random(most)
