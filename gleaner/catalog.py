@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.queries import core, fixtures, planned
+from gleaner.queries import core, directory_pages, fixtures, planned
 
-QUERIES: dict = core.QUERIES | planned.QUERIES | fixtures.QUERIES
-ORACLES: dict = core.ORACLES | planned.ORACLES | fixtures.ORACLES
+QUERIES: dict = core.QUERIES | planned.QUERIES | fixtures.QUERIES | directory_pages.QUERIES
+ORACLES: dict = core.ORACLES | planned.ORACLES | fixtures.ORACLES | directory_pages.ORACLES
