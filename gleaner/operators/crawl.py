@@ -14,7 +14,7 @@ from gleaner.tables import CONTACT_PATHS, LANGUAGE_PREFIXES, ROLE_PREFIXES
 
 LEADS = (
     "category string, source_url string, website string, email string, company_name string, phone string, page_title string, "
-    "consent_status string, notes array<string>, ordinal long"
+    "consent_status string, notes array<string>, ordinal long, place long"
 )
 
 
@@ -96,7 +96,7 @@ def crawl(results: DataFrame, pages: DataFrame, robots: DataFrame, category: str
 
     robots: (host, text) of robots files; pages that they close aren't read. The pages that a site's frontier can come to meet
     by host, so a result only sees its own host's snapshots; of several snapshots of a page the least text is read. A result without a
-    usable URL, or whose site has no lead, falls back on its directory address.
+    usable URL, or whose site has no lead, falls back on its directory address. ordinal and place (within the result) are the leads' order.
     """
     starts = results.withColumn("site_url", urls.normalize_url(F.col("url")))
     starts = starts.withColumn("site", F.when(F.col("site_url") != "", urls.host(F.col("site_url"))).otherwise(F.concat(F.lit("#"), F.col("ordinal").cast("string"))))
@@ -115,7 +115,7 @@ def crawl(results: DataFrame, pages: DataFrame, robots: DataFrame, category: str
                 notes = [f"Search snippet: {start['snippet']}"] if start["snippet"] else []
                 for website, email, title in _visit(start, seen, max_pages, include_personal):
                     leads.append((category, start["url"], website, email, _company(title, website), "", title, _status(email), notes, start["ordinal"]))
-            rows += leads or _of_directory(start, category, include_personal)
+            rows += [(*lead, k) for k, lead in enumerate(leads or _of_directory(start, category, include_personal))]
         names = [f.split()[0] for f in LEADS.split(", ")]
         return pd.DataFrame(rows, columns=names)
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text, urls
 
+#: Ordinals of a block.
+BLOCK = 100_000
+
 
 def first_wins(df: DataFrame, key: Column, *order: str | Column) -> DataFrame:
     """The first row of each key that isn't null or ''. Grouped top-1: Spark prunes each group before the shuffle."""
@@ -25,9 +28,15 @@ def dedupe_leads(leads: DataFrame, by: str = "email", *order: str) -> DataFrame:
 def round_robin(results: DataFrame, limit: int | None = None) -> DataFrame:
     """Rows of several sources by turns: first rows by source_rank, then second ones; first of each URL key, at most limit.
 
-    A row without a URL has the key '', so one of these stays at most.
+    A row without a URL has the key '', so one of these stays at most. A row's turn is its place in its source, found per block of
+    ordinals and then over the blocks' totals, so that no task sorts a whole source.
     """
-    turn = results.withColumn("turn", F.row_number().over(Window.partitionBy("source_rank").orderBy("ordinal")))
+    blocked = results.withColumn("_block", F.floor(F.col("ordinal") / F.lit(BLOCK)))
+    above = Window.partitionBy("source_rank").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = blocked.groupBy("source_rank", "_block").agg(F.count("*").alias("_n"))
+    bases = totals.select("source_rank", "_block", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_base"))
+    inside = F.row_number().over(Window.partitionBy("source_rank", "_block").orderBy("ordinal"))
+    turn = blocked.withColumn("_inside", inside).join(bases, ["source_rank", "_block"]).withColumn("turn", F.col("_inside") + F.col("_base")).drop("_block", "_inside", "_base")
     keyed = turn.withColumn("_key", urls.url_key(F.coalesce("url", F.lit(""))))
     first = Window.partitionBy("_key").orderBy("turn", "source_rank")
     merged = keyed.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "_key")

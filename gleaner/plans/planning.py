@@ -67,6 +67,10 @@ class Caps:
 DIRECTORY_CAPS = {"normal": Caps(120, 30, 3), "fast": Caps(None, 10, 1), "mass": Caps(200, 100, 5)}
 
 
+#: Locations that meet a category at once, about.
+LOCATIONS_SENT = 50_000
+
+
 def keyword_matches(keyword: Column, category: Column) -> Column:
     """Whether a keyword applies to a category in lower case: as a part, or as a whole word if it has two letters at most."""
     word = F.concat(F.lit("(?<![a-z0-9äöüß])"), keyword, F.lit("(?![a-z0-9äöüß])"))
@@ -74,10 +78,17 @@ def keyword_matches(keyword: Column, category: Column) -> Column:
 
 
 def cross_plan(categories: DataFrame, locations: DataFrame) -> DataFrame:
-    """Each category with each location; without locations, with ''."""
+    """Each category with each location; without locations, with ''.
+
+    All pairs are the plan. Locations are sent to the categories' tasks in blocks of LOCATIONS_SENT, so that no task holds them all.
+    """
     own = locations.select("location")
     none = own.limit(1).agg(F.count("*").alias("n")).filter("n = 0").select(F.lit("").alias("location"))
-    return categories.select("category").crossJoin(F.broadcast(own.unionByName(none)) if own.isEmpty() else own)
+    own = own.unionByName(none)
+    blocks = -(-own.count() // LOCATIONS_SENT)
+    keyed = own.withColumn("_b", F.pmod(F.xxhash64("location"), F.lit(blocks))).groupBy("_b").agg(F.collect_list("location").alias("_all"))
+    each = categories.select("category", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_b"))
+    return each.join(keyed, "_b").select("category", F.explode("_all").alias("location"))
 
 
 def category_variants(categories: DataFrame) -> DataFrame:

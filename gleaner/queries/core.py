@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import html, text, urls
 from gleaner.functions.text import EDGE_MARKS, EMAIL_PATTERN, PHONE_PATTERN, SPELLED
-from gleaner.operators import accept, crawl, dedupe, leads, stats
+from gleaner.operators import accept, crawl, dedupe, discover, leads, stats
 from gleaner.tables import ASSET_SUFFIXES, CONTACT_PATHS, HOST_TOKENS, LANGUAGE_PREFIXES, ROLE_PREFIXES, TRUSTED_TLDS
 
 QUERIES: dict = {}
@@ -309,17 +309,39 @@ def site_email_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 ROBOTS = "User-agent: other\nDisallow: /\n\nUser-agent: *\nAllow: /fr/1\nDisallow: /fr/\nDisallow: /es"
 
 
-@query(
-    f"""WITH {_PAGE_MAILS}, h AS (SELECT *, {_HOST.format("url")} AS host FROM pages),
+_CRAWLED = f"""{_PAGE_MAILS}, h AS (SELECT *, {_HOST.format("url")} AS host FROM pages),
 o AS (SELECT *, regexp_replace(url, '^[a-z]+://[^/]*', '') AS path FROM h),
 a AS (SELECT * FROM o WHERE length(host) % 2 = 1 OR starts_with(path, '/fr/1') OR NOT (starts_with(path, '/fr/') OR starts_with(path, '/es'))),
-s AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS n FROM o)
-SELECT s.url AS source_url, regexp_replace(s.url, '#.*$', '') AS website, email, company AS company_name, {_CLASS} AS consent_status
-FROM s JOIN (SELECT DISTINCT url FROM a) USING (url) JOIN page_mails USING (page_id) JOIN ({_TITLES}) USING (page_id) WHERE n = 1"""
-)
+s AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) AS n FROM o),
+crawled AS (SELECT page_id, s.url AS source_url, regexp_replace(s.url, '#.*$', '') AS website, email, company AS company_name, title, {_CLASS} AS consent_status
+  FROM s JOIN (SELECT DISTINCT url FROM a) USING (url) JOIN page_mails USING (page_id) JOIN ({_TITLES}) USING (page_id) WHERE n = 1)"""
+
+
+def _starts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The first page of each host as a search result, all pages as snapshots, and robots files of every other host."""
+    own = _read(spark, sf_dir, "pages").withColumn("host", urls.host(F.col("url")))
+    none = (F.lit("").alias(c) for c in ("title", "snippet", "directory_email", "directory_source_url"))
+    starts = dedupe.first_wins(own, F.col("host"), "page_id").select("url", *none, F.col("page_id").alias("ordinal"))
+    return starts, own.select("url", "html"), own.filter(F.length("host") % 2 == 0).select("host", F.lit(ROBOTS).alias("text")).distinct()
+
+
+@query(f"WITH {_CRAWLED} SELECT source_url, website, email, company_name, consent_status FROM crawled")
 def site_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leads of a crawl over the pages as snapshots, under robots rules: the first page of each host, then what its contact links and guesses reach."""
-    own = _read(spark, sf_dir, "pages").withColumn("host", urls.host(F.col("url")))
-    starts = dedupe.first_wins(own, F.col("host"), "page_id").select("url", F.lit("").alias("title"), F.lit("").alias("snippet"), F.lit("").alias("directory_email"), F.lit("").alias("directory_source_url"), F.col("page_id").alias("ordinal"))
-    rules = own.filter(F.length("host") % 2 == 0).select("host", F.lit(ROBOTS).alias("text")).distinct()
-    return crawl.crawl(starts, own.select("url", "html"), rules, "hotel", include_personal=True).select("source_url", "website", "email", "company_name", "consent_status")
+    return crawl.crawl(*_starts(spark, sf_dir), "hotel", include_personal=True).select("source_url", "website", "email", "company_name", "consent_status")
+
+
+@query(
+    f"""WITH {_CRAWLED}, j AS (SELECT *, regexp_replace(email, '^[^@]*@', '') AS domain FROM crawled WHERE page_id % 7 <> 3 AND {_HOST.format("source_url")} <> 'tionsh.example.net'),
+w AS (SELECT *, ({_OPT}) AS s FROM j),
+v AS (SELECT *, row_number() OVER (PARTITION BY domain, s ORDER BY page_id, email) AS n FROM w),
+k AS (SELECT page_id, coalesce(sum(count(*)) OVER (ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM v WHERE NOT s AND n = 1 GROUP BY 1)
+SELECT page_id AS ordinal, email, website, title AS page_title FROM v JOIN k USING (page_id) WHERE NOT s AND n = 1 AND before < 4"""
+)
+def discover_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole run: results, sites of earlier runs left out, the crawl under robots rules, opt-outs, one lead per domain, at most four and those of the last site."""
+    starts, pages, robots = _starts(spark, sf_dir)
+    crawled = starts.filter("ordinal % 7 = 3").select(urls.crawl_key(F.col("url"), F.lit(""), F.lit(""), F.lit("")).alias("key"))
+    ledger = _entries(spark, ("@none.example",))
+    judged = discover.judged(starts, pages, robots, _entries(spark, OPT_OUT), "hotel", ledger, _entries(spark, _SITES), crawled, include_personal=True)
+    return discover.discover(judged, 4).select("ordinal", "email", "website", "page_title")

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner import tables
-from gleaner.functions import text
+from gleaner.functions import text, urls
 from gleaner.plans import planning
 from gleaner.queries.core import _read
+from gleaner.sources import search
 from gleaner.tables import values_sql
 
 QUERIES: dict = {}
@@ -115,6 +116,27 @@ def expand_query_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.search_plans("hotel", "", planning.best_cities(_towns(spark, sf_dir)), ("DE", "AT"), limit=100)
 
 
+@query(
+    f"""WITH {_TOWNS}, b AS (SELECT unnest([0, 1]) AS place)
+SELECT 0 AS part, {_ORDER} AS country_rank, place, 'hotel ' || label || CASE place WHEN 0 THEN ' Unternehmen Kontakt E-Mail' ELSE '' END AS query, country FROM {_LABELS}, b
+UNION ALL SELECT 1, {_ORDER}, rank, 'hotel ' || name || ' Unternehmen Kontakt E-Mail', country FROM cities"""
+)
+def expanded_query_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With expand: broad searches too, and all cities."""
+    return planning.search_plans("hotel", "", planning.best_cities(_towns(spark, sf_dir)), ("DE", "AT"), limit=100, expand=True)
+
+
+@query("SELECT 0 AS part, 0 AS country_rank, unnest([0, 1]) AS place, unnest(['hotel Wien Unternehmen Kontakt E-Mail', 'hotel Wien']) AS query, 'AT' AS country")
+def location_query_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A given location stands for countries and cities."""
+    return planning.search_plans("hotel", "Wien", planning.best_cities(_towns(spark, sf_dir)), ("AT",), limit=100, expand=True)
+
+
+@query(f"SELECT 0 AS part, 0 AS country_rank, 0 AS place, place AS variant, term || ' Wien Unternehmen Kontakt E-Mail' AS query, 'AT' AS country FROM {_VARIANTS} WHERE keyword = 'software'")
+def location_paid_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.synonym_plans("software", "Wien", planning.best_cities(_towns(spark, sf_dir)), ("AT",), limit=100)
+
+
 @query(
     f"""WITH {_TOWNS}, v AS (SELECT place AS variant, term FROM {_VARIANTS} WHERE keyword = 'software')
 SELECT 0 AS part, {_ORDER} AS country_rank, 0 AS place, variant, term || ' ' || label AS query, country FROM {_LABELS}, v
@@ -130,6 +152,22 @@ def site_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planning.site_searches(_categories(spark), 50)
 
 
+@query(
+    """WITH i AS (SELECT l_suppkey AS supplier, l_linenumber AS page, l_orderkey AS item, 'https://x.example/' || (l_partkey % 60) AS url FROM lineitem WHERE l_linenumber <> l_suppkey % 9),
+p AS (SELECT supplier, unnest([1, 2, 3, 4, 5, 6, 7]) AS page FROM (SELECT DISTINCT supplier FROM i)),
+f AS (SELECT supplier, url, min(page) AS page FROM i GROUP BY 1, 2),
+t AS (SELECT supplier, min(page) AS stop FROM p ANTI JOIN f USING (supplier, page) GROUP BY 1)
+SELECT supplier, page, item, url FROM i LEFT JOIN t USING (supplier) WHERE stop IS NULL OR page < stop"""
+)
+def paged_until_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of answers up to the first that is empty or without news: order lines as items, their numbers as pages."""
+    own = _read(spark, sf_dir, "lineitem").filter(F.col("l_linenumber") != F.col("l_suppkey") % 9)
+    url = F.concat(F.lit("https://x.example/"), (F.col("l_partkey") % 60).cast("string"))
+    items = own.select(F.col("l_suppkey").alias("supplier"), F.col("l_linenumber").alias("page"), F.col("l_orderkey").alias("item"), url.alias("url"))
+    pages = items.select("supplier").distinct().select("supplier", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("page"))
+    return search.until_stale(items, pages, "supplier", urls.url_key(F.col("url")))
+
+
 COUNTRY_LISTS = [("at;de",), ("",), ("DE,at, de",), ("fr",), (" At ",), (None,), ("xx;AT",)]
 
 

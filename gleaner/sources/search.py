@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.operators import accept, dedupe
@@ -26,23 +27,43 @@ def asked(keys: dict[str, str], only: str = "") -> list[str]:
     return sorted(names, key=SOURCE_RANKS.__getitem__)
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """df with its rows found now and kept in the checkpoint folder: a source that fails, fails here."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gleaner-checkpoint-"))
+    return df.checkpoint()
+
+
 def combined(spark: SparkSession, sources: dict[str, Callable[[], DataFrame]], limit: int, tell: Callable[[str], None] = lambda _: None) -> DataFrame:
-    """Rows of all sources by turns, first of each URL, at most limit. A source that can't be planned gives none, and is told of."""
+    """Rows of all sources by turns, first of each URL, at most limit. A source that fails, when planned or when read, gives none, and is told of."""
     if limit < 1:
         return spark.createDataFrame([], "title string, url string, snippet string, directory_email string, directory_phone string, directory_source_url string, source_rank int, ordinal long, turn int")
-    rows = None
+    rows, failed = None, []
     for name in sorted(sources, key=SOURCE_RANKS.__getitem__):
         try:
-            own = as_results(sources[name]()).withColumn("source_rank", F.lit(SOURCE_RANKS[name]))
+            own = _settled(as_results(sources[name]()).withColumn("source_rank", F.lit(SOURCE_RANKS[name])))
         except Exception as e:  # noqa: BLE001  one source's failure leaves the others' rows
-            tell(f"{name}: {str(e)[:200]}")
+            failed.append(f"{name}: {str(e)[:200]}")
+            tell(failed[-1])
             continue
         rows = own if rows is None else rows.unionByName(own)
     if rows is None:
-        raise ValueError("no source could be asked")
+        raise ValueError("; ".join(failed) or "no source could be asked")
     return dedupe.round_robin(rows, limit)
 
 
+def until_stale(items: DataFrame, pages: DataFrame, query: str, key: Column) -> DataFrame:
+    """Items (query, page) of paged answers up to each query's first landed page (query, page) that is empty or has no key that earlier pages hadn't."""
+    firsts = items.select(query, "page", key.alias("_key")).groupBy(query, "_key").agg(F.min("page").alias("page"))
+    news = firsts.groupBy(query, "page").agg(F.count("*").alias("_news"))
+    stops = pages.select(query, "page").distinct().join(news, [query, "page"], "left_anti").groupBy(query).agg(F.min("page").alias("_stop"))
+    return items.join(stops, query, "left").filter(F.col("_stop").isNull() | (F.col("page") < F.col("_stop"))).drop("_stop")
+
+
 def directory_search(listing_pages: DataFrame, detail_pages: DataFrame, limit: int, completed: DataFrame | None = None, mode: str = "normal") -> DataFrame:
     """Results of directories over landed pages (with location), without locations that an earlier run completed."""
     own = accept.without_completed(listing_pages, completed, "location") if completed is not None else listing_pages

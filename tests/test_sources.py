@@ -10,7 +10,7 @@ from gleaner import sinks
 from gleaner.functions import html, text, urls
 from gleaner.operators import crawl
 from gleaner.plans import planning
-from gleaner.sources import providers, snapshots
+from gleaner.sources import providers, search, snapshots
 
 
 def column(spark, values, f):
@@ -191,3 +191,13 @@ def test_domain_ledger_state():
     batch = lambda *frames: {r.email: r.verdict for f in own.handleInputRows(("x.de",), iter(frames), None) for r in f.itertuples()}
     assert batch(frame((5, "a@x.de"), (3, "b@x.de")), frame(), frame((4, "d@x.de")), frame((2, "e@x.de"), (2, "f@x.de"))) == dict.fromkeys(["a@x.de", "b@x.de", "d@x.de", "f@x.de"], "known") | {"e@x.de": "accepted"}
     assert batch(frame((1, "c@x.de"))) == {"c@x.de": "known"}
+
+
+def test_a_source_that_fails_while_read(spark):
+    good = spark.createDataFrame([("https://a.de", 1)], "url string, ordinal long")
+    bad = good.withColumn("url", F.raise_error(F.lit("gone")).cast("string"))
+    told = []
+    got = search.combined(spark, {"osm": lambda: bad, "duckduckgo": lambda: good}, 5, told.append).collect()
+    assert [r.url for r in got] == ["https://a.de"] and len(told) == 1 and told[0].startswith("osm:")
+    with pytest.raises(ValueError, match="osm: .*; duckduckgo: "):
+        search.combined(spark, {"osm": lambda: bad, "duckduckgo": lambda: bad}, 5)
