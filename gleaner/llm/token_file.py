@@ -42,8 +42,8 @@ INDEX_ROWS = 1000
 PART_ROWS = 8192
 MAX_PARTS = 20_000
 STRIPE_BYTES = 4 << 20
-#: Cuts that a worker remembers: some 80 MB; beyond, those met once only are forgotten.
-CACHE = 800_000
+#: Cuts that a worker remembers: some 50 MB; beyond, those met once only are forgotten.
+CACHE = 500_000
 
 SCHEMA = "part int, doc_id long, offset long, n_tokens int, ids array<int>"
 #: White space beside the space and the line feed, and all of it; marks that may end a word; an apostrophe may join the next letter instead.
@@ -274,7 +274,7 @@ def _encoded(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path, end_id)
         part, offset = None, 0  # a part's rows come together and in order
-        for b in pieces_of(batches, 2, 3_000_000):
+        for b in pieces_of(batches, 2):
             flat, upto = own.encode(b.column(2))
             n = np.diff(upto)
             offsets = []
