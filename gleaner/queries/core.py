@@ -138,6 +138,9 @@ _TITLES = (
     f"""SELECT page_id, title, CASE WHEN title <> '' THEN trim(split_part(split_part(title, '|', 1), '-', 1)) ELSE {_HOST.format('url')} END AS company
 FROM (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '"'), '&amp;', '&'), '&amp', '&'), '\\s+', ' ', 'g')) AS title FROM pages)"""
 )
+
+
+@query(_TITLES)
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _read(spark, sf_dir, "pages").select("page_id", "url", html.parse_page_of("html", "url").alias("p")).select("page_id", "url", F.col("p.title").alias("title"))
     return own.select("page_id", "title", text.company_name(F.col("title"), urls.host(F.col("url"))).alias("company"))
