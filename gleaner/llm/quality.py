@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.training import fold, grouped, labelled, scored, words_of
+from gleaner.llm.training import distinct, fold, grouped, labelled, scored, words_of
 
 BITS = 18
 MIN_DOCS = 5
@@ -43,6 +43,15 @@ _RUNS = ((re.compile(r"\d+"), "0"), (re.compile(r"([^\w\s])\1+"), r"\1+"))
 
 def shape(word: str) -> str:
     """Capitals as A, small letters as a, digits as 0, runs of a mark as the mark and +; others as they are."""
+    if word.isalpha():  # the common ones at once
+        if word.islower():
+            return "a"
+        if word.isupper():
+            return "A"
+        if word[0].isupper() and word[1:].islower():
+            return "Aa"
+    elif len(word) > 1 and word[:-1].isalpha() and not word[-1].isalnum():
+        return shape(word[:-1]) + word[-1]
     folded = "".join("A" if c.isupper() else "a" if c.isalpha() else c for c in word)
     folded = re.sub("A+", "A", re.sub("a+", "a", folded))
     for pattern, by in _RUNS:
@@ -54,12 +63,13 @@ class Grams:
     """n-gram ids of texts, with a bounded memory of words."""
 
     def __init__(self) -> None:
-        self.known: dict[str, tuple[int, int]] = {}
+        self.known: dict[str, int] = {}
 
-    def _word(self, word: str) -> tuple[int, int]:
+    def _word(self, word: str) -> int:
+        """The word's id above the 32 bits of its shape."""
         got = self.known.get(word)
         if got is None:
-            got = zlib.crc32(word.lower().encode()) & _MASK, zlib.crc32(shape(word).encode())
+            got = (zlib.crc32(word.lower().encode()) & _MASK) << 32 | zlib.crc32(shape(word).encode())
             if len(self.known) < CACHE:
                 self.known[word] = got
         return got
@@ -67,19 +77,19 @@ class Grams:
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Where each text's ids begin (and the last's end), and its n-grams' distinct ids, ascending."""
         doc, place, names = words_of(pc.utf8_split_whitespace(texts))
-        both = np.array([*map(self._word, names)], dtype=np.uint64).reshape(-1, 2)[place]
+        both = np.fromiter(map(self._word, names), np.uint64, len(names))[place]
         again = np.r_[False, (place[1:] == place[:-1]) & (doc[1:] == doc[:-1])][: len(doc)]
-        one = both[:, 1] * np.uint64(2) + again
+        one = (both & np.uint64(0xFFFFFFFF)) * np.uint64(2) + again
         mix = np.uint64(0x9E3779B97F4A7C15)
         two = (one[:-1] * mix + one[1:]) * mix
         three = (two[:-1] + one[2:]) * mix
-        keys = [doc << BITS | both[:, 0].astype(np.int64)]
+        keys = [doc << BITS | (both >> np.uint64(32)).astype(np.int64)]
         for k, grams in enumerate((one, two, three)):
             own = doc[: len(grams)]
             whole = own == doc[k:]  # all words are of one text
             ids = ((grams * mix + np.uint64(k)) * mix >> np.uint64(64 - BITS)).astype(np.int64)
             keys.append((own << BITS | ids)[whole])
-        return grouped(np.unique(np.concatenate(keys)), len(texts), BITS)
+        return grouped(distinct(np.concatenate(keys)), len(texts), BITS)
 
 
 class Model:

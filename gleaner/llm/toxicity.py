@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.training import fold, grouped, labelled, scored, words_of
+from gleaner.llm.training import distinct, fold, grouped, labelled, scored, words_of
 
 BITS = 22
 BEGINNINGS = (4, 5, 6, 7)
@@ -81,7 +81,7 @@ class Terms:
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Where each text's ids begin (and the last's end), and its distinct ids, ascending."""
         doc, place, names = words_of(pc.split_pattern_regex(pc.utf8_lower(texts), _GAP))
-        pair = np.unique(doc * len(names) + place)
+        pair = distinct(doc * len(names) + place)
         doc, place = pair // max(1, len(names)), pair % max(1, len(names))
         own = [self._word(n) for n in names]
         size = np.array([len(o) for o in own], dtype=np.int64)
@@ -92,7 +92,7 @@ class Terms:
         ids = flat[np.repeat(begins - (ends - many), many) + np.arange(many.sum())]
         key, times = np.unique(np.repeat(doc, many) << BITS | ids, return_counts=True)
         shared = [(key[times >= k] & ~_MASK) | _shared(key[times >= k] & _MASK, k) for k in SHARED]
-        return grouped(np.unique(np.concatenate([key, *shared])), len(texts), BITS)
+        return grouped(distinct(np.concatenate([key, *shared])), len(texts), BITS)
 
 
 def _documents_of(rows: list[np.ndarray]) -> np.ndarray:

@@ -38,6 +38,12 @@ def words_of(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return doc, place, names
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different values, ascending; x is sorted in place."""
+    x.sort()
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 def grouped(key: np.ndarray, texts: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Ascending keys (text << bits | id) -> where each text's ids begin (and the last's end), and the ids."""
     return np.searchsorted(key, np.arange(texts + 1) << bits), key & (1 << bits) - 1
