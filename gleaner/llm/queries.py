@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import decontaminate, html_text, lm, pieces, quality, shards, simhash, token_file, toxicity, transport
+from gleaner.llm import decontaminate, html_text, lm, near_vectors, pieces, quality, shards, simhash, token_file, toxicity, transport, whitening
 from gleaner.llm.common import table
 
 
@@ -48,5 +48,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_html_text, op4_pieces, op5_shards, op6_decontaminate, op7_transport, op8_token_file, op9_lm, op10_quality)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.report(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_html_text, op4_pieces, op5_shards, op6_decontaminate, op7_transport, op8_token_file, op9_lm, op10_quality, op11_whitening, op12_near_vectors)}
 ORACLES = {"op6_decontaminate": decontaminate.ORACLE_SQL}
