@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import decontaminate, html_text, lm, near_vectors, pieces, quality, shards, simhash, token_file, toxicity, transport, whitening
+from gleaner.llm import align, decontaminate, html_text, lm, near_vectors, pieces, quality, shards, simhash, token_file, toxicity, transport, whitening
 from gleaner.llm.common import table
 
 
@@ -56,5 +56,9 @@ def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.report(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_html_text, op4_pieces, op5_shards, op6_decontaminate, op7_transport, op8_token_file, op9_lm, op10_quality, op11_whitening, op12_near_vectors)}
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op3_html_text, op4_pieces, op5_shards, op6_decontaminate, op7_transport, op8_token_file, op9_lm, op10_quality, op11_whitening, op12_near_vectors, op13_align)}
 ORACLES = {"op6_decontaminate": decontaminate.ORACLE_SQL}
