@@ -2,9 +2,9 @@
 
 The model. A public vocabulary (pieces.Vocabulary) gives the pieces and their scores; a text's probability is the sum
 over all its segmentations into pieces of the product of their probabilities, and of the end's. A unigram file's scores are
-logarithms of probabilities; a merge file's are ranks, which stand for probabilities by Zipf's law. With these all
+logarithms of probabilities, and the model's weights as they stand. A merge file's are ranks, which stand for probabilities by Zipf's law: with these all
 segmentations of the training documents are weighed, and the pieces' expected counts in them, smoothed by one, are
-the model's weights, as the count of documents is the end's. Both sums, over one text's segmentations and over a piece's places in them, are
+the model's weights. The end's weight is the count of documents among these counts, for either file. Both sums, over one text's segmentations and over a piece's places in them, are
 recursions, forward and backward, over the pieces that an Aho-Corasick automaton finds, in log space where a product could leave the
 range of a double; a character without a piece is spelled by its bytes' pieces.
 
@@ -12,8 +12,8 @@ How it scales. No piece crosses the cuts of pieces.Vocabulary, so a text's likel
 cuts', and so is the base's but for the end. Each distinct cut of the corpus is therefore counted, weighed
 and summed once, in a lexicon that is a distributed table: nothing of the vocabulary's size is collected. Its
 most frequent cuts, DICTIONARY short ones and LONG_BYTES of longer ones, are sent to the tasks that read the documents; only a document's other
-cuts travel, to join the lexicon by cut. Words are counted by an aggregation and joined to the cuts that hold them, so a word of
-very many cuts is no task's alone.
+cuts travel, to join the lexicon by cut. Words are counted by an aggregation and joined to the cuts that hold them, by the cuts' numbers, so a cut of
+many words isn't sent with each of them, and a word of very many cuts is no task's alone.
 
 Defined cases: a null text is empty and has the end alone; very long texts, and those without any space (one cut), are read whole; a
 document without an id is trained on; without training documents all counts are zero; of cuts that tie in frequency all or none are
@@ -246,20 +246,18 @@ def _with_lattice(path: str, weights):
 
 def _worded(cuts: DataFrame) -> DataFrame:
     lowered = F.translate("cut", _UPPER, _UPPER.lower())
-    return cuts.select("cut", "n", F.array_remove(F.split(lowered, r"[\x09-\x0D\x20]+"), "").alias("words"))
-
-
-def _each(cuts: DataFrame) -> DataFrame:
-    return _worded(cuts).select("cut", "n", F.size("words").alias("n_words"), F.explode("words").alias("word"))
+    return cuts.select("number", "cut", "n", F.array_remove(F.split(lowered, r"[\x09-\x0D\x20]+"), "").alias("words"))
 
 
 def _lexicon(cuts: DataFrame, words: DataFrame) -> DataFrame:
-    """(cut, n) and (word, c: how often training documents have it) -> cut, n, n_words, n_known, base (sum of log10(c + 1))."""
-    counted = _each(cuts).join(words, "word")
+    """(number, cut, n) and (word, c: how often training documents have it) -> cut, n, n_words, n_known, base (sum of log10(c + 1))."""
     facts = (F.col("c") > 0).cast("long"), F.log10(F.col("c") + 1)
     named = ("n_known", "base")
-    single = counted.filter("n_words = 1").select("cut", "n", F.lit(1).cast("long").alias("n_words"), *(f.alias(a) for f, a in zip(facts, named, strict=True)))
-    several = counted.filter("n_words > 1").groupBy("cut", "n").agg(F.count("*").alias("n_words"), *(F.sum(f).alias(a) for f, a in zip(facts, named, strict=True)))
+    one = _worded(cuts).filter(F.size("words") == 1).select("cut", "n", F.col("words")[0].alias("word"))  # a cut that is hardly more than its word
+    single = one.join(words, "word").select("cut", "n", F.lit(1).cast("long").alias("n_words"), *(f.alias(a) for f, a in zip(facts, named, strict=True)))
+    each = _worded(cuts).filter(F.size("words") > 1).select("number", F.explode("words").alias("word"))
+    sums = each.join(words, "word").groupBy("number").agg(F.count("*").alias("n_words"), *(F.sum(f).alias(a) for f, a in zip(facts, named, strict=True)))
+    several = cuts.join(sums, "number").select("cut", "n", "n_words", *named)
     none = _worded(cuts).filter(F.size("words") == 0).select("cut", "n", *(F.lit(0).cast(t).alias(a) for a, t in (("n_words", "long"), ("n_known", "long"), ("base", "double"))))
     return reduce(DataFrame.unionByName, (single, several, none))
 
@@ -292,7 +290,7 @@ def _read(path: str, dictionary):
             place = np.array([known.get(n, -1) for n in names], dtype=np.int64)
             doc = np.repeat(np.arange(len(b)), np.diff(starts))
             own = place[at] if len(at) else at
-            sums = [np.bincount(doc, weights=facts[own, k], minlength=len(b)) for k in range(len(_FACTS))]
+            sums = [np.bincount(doc, weights=facts[own, k], minlength=len(b)).astype(float) for k in range(len(_FACTS))]  # whole numbers if no text has a cut
             pair, times = np.unique(doc[own < 0] * (len(names) + 1) + at[own < 0], return_counts=True)
             upto = np.searchsorted(pair, np.arange(len(b) + 1) * (len(names) + 1)).astype(np.int32)
             rare = pa.array(names, pa.string()).take(pa.array(pair % (len(names) + 1)))
@@ -316,12 +314,13 @@ def scores(docs: DataFrame, held_out: Column, model: str | None = None) -> DataF
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     ends = docs.filter(~F.col("held_out")).count()
     counted = docs.select("text", (~F.col("held_out")).alias("train")).mapInArrow(_counted(path), "cut string, n long")
-    cuts = landed(counted.groupBy("cut").agg(F.sum("n").alias("n")), "cuts", compression="zstd")
+    counted = counted.groupBy("cut").agg(F.sum("n").alias("n")).withColumn("number", F.monotonically_increasing_id())
+    cuts = landed(counted, "cuts", compression="zstd")  # so that the numbers stay
 
     shares = cuts.filter("n > 0").mapInArrow(_piece_counts(path), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n"))
     weights, end_weight = weights_of({r.piece: r.n for r in shares.collect()}, ends, vocabulary)  # a row per piece
-    shared = sc.broadcast(weights)
-    words = landed(_each(cuts).groupBy("word").agg(F.sum("n").alias("c")), "words", compression="zstd")
+    shared = sc.broadcast(first_weights(vocabulary) if vocabulary.unigram else weights)
+    words = landed(_worded(cuts).select("n", F.explode("words").alias("word")).groupBy("word").agg(F.sum("n").alias("c")), "words", compression="zstd")
     schema = "cut string, n long, n_words long, n_known long, base double, lattice double"
     lexicon = landed(_lexicon(cuts, words).mapInArrow(_with_lattice(path, shared), schema), "lexicon", compression="zstd")
 

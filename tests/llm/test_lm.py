@@ -156,6 +156,60 @@ def test_texts_without_spaces_and_with_tabs(spark, vocabulary, monkeypatch):
     assert all(abs(got[i].score - (lattice.log_probability(" " + t) + end) / math.log(10)) < 1e-6 * abs(got[i].score) for i, t in rows)
 
 
+def shuffled(spark, df):
+    """Bytes of df's shuffles."""
+    scope = spark._jvm.scala.collection.JavaConverters
+    plan = df._jdf.queryExecution()
+    df.collect()
+    total = 0
+
+    def walk(node):
+        nonlocal total
+        if "AdaptiveSparkPlan" in node.nodeName():
+            return walk(node.executedPlan())
+        if node.nodeName().endswith("QueryStage"):
+            return walk(node.plan())
+        metrics = scope.mapAsJavaMap(node.metrics())
+        if "shuffleBytesWritten" in metrics:
+            total += metrics["shuffleBytesWritten"].value()
+        for child in scope.seqAsJavaList(node.children()):
+            walk(child)
+
+    walk(plan.executedPlan())
+    return total
+
+
+def test_a_cut_of_many_words_travels_once(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sizes = {}
+        for n in (2_000, 8_000):
+            rng = random.Random(n)
+            cuts = [(i, " " + "\t".join(f"w{rng.randrange(10**9)}" for _ in range(n)), 1) for i in range(4)]
+            table = spark.createDataFrame(cuts, "number long, cut string, n long")
+            words = lm._worded(table).select(F.explode("words").alias("word")).distinct().withColumn("c", F.lit(1))
+            out = lm._lexicon(table, words)
+            sizes[n] = shuffled(spark, out)
+            assert {r.n_words for r in out.collect()} == {n}
+        assert 0 < sizes[8_000] < 6 * sizes[2_000] and sizes[8_000] < 8_000_000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_unigram_files_scores_stand(spark, tmp_path, vocabulary):
+    """The public file with its kind set to unigram: its scores are the weights."""
+    with open(pieces.model_path(), "rb") as f:
+        data = f.read()
+    path = str(tmp_path / "unigram.model")
+    with open(path, "wb") as f:
+        f.write(data + b"\x12\x02\x18\x01")  # a later trainer's part overrides the kind alone
+    own = pieces.Vocabulary(path)
+    assert own.unigram and own.texts == vocabulary.texts
+    got = {r.doc_id: r.score for r in lm.scores(spark.createDataFrame([(1, "the cat"), (2, "")], "doc_id long, text string"), F.lit(False), path).collect()}
+    lattice = lm.Lattice(own, lm.first_weights(own))
+    assert abs((got[1] - got[2]) * math.log(10) - lattice.log_probability(" the cat")) < 1e-6
+
+
 def test_no_training_documents_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     (r,) = lm.scores(df, F.lit(True)).collect()
