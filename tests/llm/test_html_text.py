@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from html import unescape
 from pathlib import Path
 
@@ -40,6 +41,16 @@ CASES = [
     ("end in a tag", f"<article><p>{LONG}</p><p>cut <a hre", [LONG.strip(), "cut"]),
     ("quotes", f"<article><p title='a > b' data-x=\"<p>\">{LONG}</p><p class=\"x>open quote</p></article>", [LONG.strip(), "open quote"]),
     ("comment", f"<article><!-- <p>no</p> --><p>{LONG}</p><!-- open {LONG}", [LONG.strip()]),
+    ("a label in a sentence", page(f"<article><p>Mind the <label>gap</label> here, as the signs in the station say to all of us.</p><p>{LONG}</p><div><label>Name</label><button>Send</button></div></article>"), ["Mind the gap here, as the signs in the station say to all of us.", LONG.strip()]),
+    ("sections with a subject", page(f"<article><p>{LONG}</p>" + "".join(f"<section id={x}><h2>The {x} of it</h2><p>{LONG}</p></section>" for x in ("legal", "related", "search", "notice")) + "</article>"), [LONG.strip(), *(y for x in ("legal", "related", "search", "notice") for y in (f"The {x} of it", LONG.strip()))]),
+    ("a related list in an article", page(f"<article><p>{LONG}</p><section id=related><p>Read on in the town</p><p>More of it</p></section></article>"), [LONG.strip()]),
+    ("a form longer than the article", page(f"<article><p>{LONG}</p></article><form><label>Your name</label><input name=a><p>{LONG * 4}</p><label>Mail</label><input name=b><button>Send</button></form>"), [LONG.strip()]),
+    ("the same without an article element", page(f"<div><h2>Head</h2><p>{LONG}</p></div><form><label>Your name</label><input name=a><p>{LONG * 4}</p><label>Mail</label><input name=b></form>"), ["Head", LONG.strip()]),
+    ("a page in a form", page(f"<form><input type=hidden><div><h2>Head</h2>" + f"<p>{LONG}</p>" * 6 + f"</div></form><div><p>{LONG}</p></div>"), ["Head", *[LONG.strip()] * 7]),
+    ("comments by their heading", page(f"<div><h1>Head</h1><p>{LONG}</p></div><div class=discussion><h3>Readers said</h3><p>{LONG}</p><p>{LONG}</p></div>"), ["Head", LONG.strip()]),
+    ("comments by their structure", page(f"<div><h1>Head</h1><p>{LONG}</p></div><ul class=voices>" + f"<li class=v><b class=author>Ann</b> <time>noon</time><p>{LONG}</p></li>" * 3 + "</ul>"), ["Head", LONG.strip()]),
+    ("a chapter of discussion", page(f"<article><p>{LONG}</p><h2>Discussion</h2><p>{LONG}</p></article>"), [LONG.strip(), "Discussion", LONG.strip()]),
+    ("a list of dates", page(f"<article><p>{LONG}</p><ul class=line>" + f"<li class=v><time>1900</time><p>{LONG}</p></li>" * 3 + "</ul></article>"), [LONG.strip(), *["1900", LONG.strip()] * 3]),
     ("empty", "", []),
     ("null", None, []),
     ("only boilerplate", page("<nav><a href=x>Home</a></nav><footer>bye</footer>"), []),
@@ -58,6 +69,17 @@ def test_long_and_deep_pages_are_read_whole():
     assert html_text.main_text("<a " + "x'\"" * 20_000) == ""
 
 
+@pytest.mark.parametrize("name,html", [
+    ("ends of nothing", "<i>" * 100_000 + "</b>" * 100_000 + "word"), ("nested marks", "<div class='ad'>" * 20_000 + f"<p>{LONG}</p>"), ("marks with text", f"<div class='ad'>x<p>{LONG}</p>" * 5_000),
+    ("ends across blocks", "<b>" + "<div>" * 20_000 + "</b>" * 20_000 + "word"), ("lines in inline elements", "<i>" * 20_000 + "<hr>" * 20_000 + "word"), ("forms", f"<form><h1>x</h1><p>{LONG}</p>" * 3_000),
+    ("comment headings", "<div>" * 5_000 + "<h3>Comments</h3>" * 5_000 + "word"),
+])
+def test_time_is_in_proportion(name, html):
+    began = time.process_time()
+    html_text.main_text(html)
+    assert time.process_time() - began < 4
+
+
 def test_report(spark):
     df = spark.createDataFrame([(i, None if i == 3 else f"u{i}", h, "x", 5) for i, (_, h, _) in enumerate(CASES)] * 2, "page_id long, url string, html string, text string, n_chars int")
     got = html_text.report(df).collect()
