@@ -41,8 +41,8 @@ COSINE = 0.93
 PROBES, MORE = 16, 8
 #: Vectors that a cell of a label has on average at most.
 NODE = 4096
-#: Vectors and codes that a block of a cell has, about.
-LEFT, RIGHT = 1024, 4096
+#: Vectors and codes that a block of a cell has, about, and codes of it that are looked at in a step.
+LEFT, RIGHT, STEP = 4096, 16_384, 2048
 #: Standard deviations of the estimate's error.
 BOUND = 5.0
 #: Rows of a table that is broadcast; a longer one is joined by a shuffle.
@@ -179,9 +179,15 @@ def _met(distinct: DataFrame, cosine: float) -> DataFrame:
         a, b = left.column("uid").to_numpy(), right.column("uid").to_numpy()
         out = np.empty(0, np.int64)
         if len(a) and len(b):
-            keep = kept(turned(directions(_matrix(left.column("v")))), _bytes(right.column("code")), right.column("factor").to_numpy(), cosine)
-            keep &= a[:, None] != b[None, :]
-            out = np.unique(np.concatenate([a[keep.any(axis=1)], b[keep.any(axis=0)]]))
+            r, code, factor = turned(directions(_matrix(left.column("v")))), _bytes(right.column("code")), right.column("factor").to_numpy()
+            some = np.zeros(len(a), bool)
+            parts = []
+            for lo in range(0, len(b), STEP):
+                own = slice(lo, lo + STEP)
+                keep = kept(r, code[own], factor[own], cosine) & (a[:, None] != b[None, own])
+                some |= keep.any(axis=1)
+                parts.append(b[own][keep.any(axis=0)])
+            out = np.unique(np.concatenate([a[some], *parts]))
         return pa.table({"uid": out, "cell": np.full(len(out), t.column("cell")[0].as_py() if len(t) else 0, np.int64)})
 
     return _blocked(deal, found, "uid long, cell long")
@@ -218,8 +224,7 @@ def _computed(distinct: DataFrame, met: DataFrame, cosine: float) -> DataFrame:
             home = right.column("home").to_numpy()
             x, y = directions(_matrix(left.column("v"))), directions(_matrix(right.column("v")))
             code, factor = codes(turned(y))
-            keep = kept(turned(x), code, factor, cosine)
-            keep &= a[:, None] != b[None, :]
+            r = turned(x)
             # Where both are at home, or each is in the other's home too, the pair counts for the lower uid's vector.
             visits = left.column("visits").combine_chunks()
             owner = np.repeat(np.arange(len(a)), np.diff(visits.offsets.to_numpy()))
@@ -229,17 +234,21 @@ def _computed(distinct: DataFrame, met: DataFrame, cosine: float) -> DataFrame:
             place = np.minimum(np.searchsorted(spots, values), len(spots) - 1)
             there = spots[place] == values
             both[owner[there], place[there]] = True
-            keep &= ~both[:, slot[:-1]] | (a[:, None] < b[None, :])
-            i, j = np.nonzero(keep)
             na, nb = left.column("n").to_numpy(), right.column("n").to_numpy()
-            pa_, pb = np.searchsorted(uid, a), np.searchsorted(uid, b)
-            for lo in range(0, len(i), PAIRS):
-                p, q = i[lo : lo + PAIRS], j[lo : lo + PAIRS]
-                near = np.einsum("ij,ij->i", x[p], y[q]) >= cosine
-                p, q = p[near], q[near]
-                np.add.at(count, pa_[p], nb[q])
-                np.add.at(count, pb[q], na[p])
-                _roots(label, pa_[p], pb[q])
+            at_a, at_b = np.searchsorted(uid, a), np.searchsorted(uid, b)
+            for first in range(0, len(b), STEP):
+                own = slice(first, first + STEP)
+                keep = kept(r, code[own], factor[own], cosine) & (a[:, None] != b[None, own])
+                keep &= ~both[:, slot[:-1][own]] | (a[:, None] < b[None, own])
+                i, j = np.nonzero(keep)
+                j += first
+                for lo in range(0, len(i), PAIRS):
+                    p, q = i[lo : lo + PAIRS], j[lo : lo + PAIRS]
+                    near = np.einsum("ij,ij->i", x[p], y[q]) >= cosine
+                    p, q = p[near], q[near]
+                    np.add.at(count, at_a[p], nb[q])
+                    np.add.at(count, at_b[q], na[p])
+                    _roots(label, at_a[p], at_b[q])
         linked = count > 0
         root = label[linked]
         return pa.table({"uid": uid[linked], "links": count[linked], "to": uid[root]})
