@@ -7,9 +7,11 @@ insult share them), and that a beginning is shared by two or by three of them, h
 
 over the kept terms of a document, so that a pair, such as an insult and the mention of a group, can weigh what
 its parts don't. Kept are the terms that the sample ties to either label by themselves (log-likelihood ratio over MIN_RATIO), and,
-since a pair may tell what neither part does, of the PAIR_TERMS most frequent ones those that it ties to a label
-together with another (interaction of the pair's log odds, squared and over its variance, above MIN_PAIR); others have
-weight zero. It is fitted by AdaGrad on the logistic loss with L2 penalties; the score is its
+since a pair may tell what neither part does, words of pairs that tell what a machine of the former terms leaves. All pairs of words are looked at but for those
+of words in (or missing from) fewer than SUPPORT documents of the sample, which can't be told from chance among so many pairs: a pair's
+measure is the sum over documents of what is left of the label times both words' differences from their means, squared, over the sum of these products'
+squares; it counts above MIN_PAIR and twice the logarithm of the number of pairs. Other terms have
+weight zero. The machine is fitted by AdaGrad on the logistic loss with L2 penalties; the score is its
 logistic. Scoring is one pass without a shuffle; the kept terms (MAX_TERMS at most of either kind) go to the tasks.
 
 Defined cases: a null or empty text has the score of a text without kept terms; very long texts are read whole; without labels, or
@@ -34,10 +36,11 @@ BITS = 22
 BEGINNINGS = (4, 5, 6, 7)
 #: A beginning shared by so many distinct words is a term of its own.
 SHARED = (2, 3)
-MIN_RATIO = 14.0
-MIN_PAIR = 48.0
-#: Terms that are looked at in pairs: this bounds the table of pairs, 2048 x 2048.
-PAIR_TERMS = 2_048
+MIN_RATIO = 12.0
+MIN_PAIR = 24.0
+SUPPORT = 24
+#: Words whose pairs with others are measured at once, and of these others.
+PAIRS_AT_ONCE = 512, 2048
 MAX_TERMS = 20_000
 FACTORS = 8
 EPOCHS = 20
@@ -49,16 +52,17 @@ _MASK = (1 << BITS) - 1
 _GAP = r"[^\p{L}\p{N}_]+"
 
 
-def _hash(term: str) -> int:
-    return zlib.crc32(term.encode()) & _MASK
+def _hash(word: str) -> int:
+    """Words have even ids, other terms odd ones."""
+    return zlib.crc32(word.encode()) << 1 & _MASK
 
 
 def _terms(word: str) -> list[int]:
-    return [_hash(word), *(_hash(f"{word[:n]}*") for n in BEGINNINGS if len(word) >= n)]
+    return [_hash(word), *(_hash(f"{word[:n]}*") | 1 for n in BEGINNINGS if len(word) >= n)]
 
 
 def _shared(term, times: int):
-    return term * 0x9E3779B1 + times * 0x85EBCA6B & _MASK
+    return term * 0x9E3779B1 + times * 0x85EBCA6B & _MASK | 1
 
 
 class Terms:
@@ -121,38 +125,50 @@ def associated(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return np.sort(terms[best[ratio[best] > MIN_RATIO]])
 
 
-def interacting(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Ids that tell the label in pairs: of the PAIR_TERMS ids nearest to half of the documents, those with a pair above MIN_PAIR, the most telling MAX_TERMS."""
-    n = len(y)
-    half = _documents_of(rows)
-    half = np.minimum(half, n - half)
-    terms = np.flatnonzero(half)
-    terms = np.sort(terms[np.argsort(-half[terms], kind="stable")[:PAIR_TERMS]])
+def interacting(rows: list[np.ndarray], left: np.ndarray) -> np.ndarray:
+    """Words whose pairs tell what is left of the labels of documents, the most telling MAX_TERMS."""
+    n = len(left)
+    of = _documents_of(rows)
+    terms = np.flatnonzero((np.minimum(of, n - of) >= SUPPORT) & (np.arange(len(of)) % 2 == 0))
     place = np.full(1 << BITS, -1, np.int32)
     place[terms] = np.arange(len(terms))
-    both = np.zeros((2, len(terms), len(terms)), np.float32)  # by label: rows that have two terms; the sample's counts are exact in it
-    for label in (0, 1):
-        own = np.flatnonzero(y == label)
-        for at in range(0, len(own), 500):
-            has = np.zeros((min(500, len(own) - at), len(terms)), np.float32)
-            for i, row in enumerate(own[at : at + 500].tolist()):
-                p = place[rows[row]]
-                has[i, p[p >= 0]] = 1
-            both[label] += has.T @ has
+    size = [len(r) for r in rows]
+    term = place[np.concatenate([np.empty(0, np.int64), *rows]).astype(np.int64)]
+    doc = np.repeat(np.arange(n), size)[term >= 0]
+    term = term[term >= 0]
+    order = np.argsort(term, kind="stable")
+    doc, term = doc[order], term[order]
+    upto = np.searchsorted(term, np.arange(len(terms) + 1))
+    share = of[terms] / n
+    weights = left, left * left
+    own = [np.bincount(term, weights=w[doc], minlength=len(terms)) for w in weights]  # sums over a word's documents
     best = np.zeros(len(terms))
-    for at in range(0, len(terms), 128):
-        odds, spread = 0.0, 0.0
-        for label, sign in ((1, 1), (0, -1)):
-            single = both[label].diagonal().astype(float)
-            pair, first = both[label][at : at + 128].astype(float), single[at : at + 128, None]
-            for cell, turn in ((pair, 1), (first - pair, -1), (single - pair, -1), ((y == label).sum() - first - single + pair, 1)):
-                odds = odds + sign * turn * np.log(cell + 0.5)
-                spread = spread + 1 / (cell + 0.5)
-        found = odds * odds / spread
-        found[np.arange(len(found)), at + np.arange(len(found))] = 0
-        best[at : at + 128] = found.max(axis=1)
+
+    def has(lo: int, hi: int) -> np.ndarray:
+        out = np.zeros((n, hi - lo), np.float32)
+        out[doc[upto[lo] : upto[hi]], term[upto[lo] : upto[hi]] - lo] = 1
+        return out
+
+    few, many = PAIRS_AT_ONCE
+    for lo in range(0, len(terms), many):
+        hi = min(lo + many, len(terms))
+        those = has(lo, hi)
+        q, t = share[lo:hi], 1 - 2 * share[lo:hi]
+        for at in range(0, hi, few):  # pairs of words before hi: each once, but for those of this block
+            end = min(at + few, hi)
+            these = has(at, end)
+            p, r = share[at:end, None], 1 - 2 * share[at:end, None]
+            both = [((these * w.astype(np.float32)[:, None]).T @ those).astype(float) for w in weights]
+            # A word's difference from its mean p is 1 - p or -p, and its square is (1 - 2 p) where the word is, and p * p.
+            total = both[0] - p * own[0][lo:hi] - q * own[0][at:end, None] + p * q * weights[0].sum()
+            square = r * t * both[1] + r * q * q * own[1][at:end, None] + p * p * t * own[1][lo:hi] + (p * q) ** 2 * weights[1].sum()
+            found = total * total / np.maximum(square, 1e-9)
+            found[np.arange(at, end)[:, None] == np.arange(lo, hi)] = 0
+            best[at:end] = np.maximum(best[at:end], found.max(axis=1))
+            best[lo:hi] = np.maximum(best[lo:hi], found.max(axis=0))
     order = np.argsort(-best, kind="stable")[:MAX_TERMS]
-    return np.sort(terms[order[best[order] > MIN_PAIR]])
+    least = MIN_PAIR + 2 * np.log(max(1, len(terms) * (len(terms) - 1) / 2))
+    return np.sort(terms[order[best[order] > least]])
 
 
 class Machine:
@@ -197,8 +213,21 @@ def fit(rows: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Machine:
     n1 = int(y.sum()) if len(y) else 0
     if not n1 or n1 == len(y):
         return Machine(np.empty(0, np.int64), 40.0 if n1 else -40.0)
-    m = Machine(np.union1d(associated(rows, y), interacting(rows, y)), float(np.log(n1 / (len(y) - n1))))
-    if not len(m.terms):
+    alone = associated(rows, y)
+    first = _fit(rows, y, alone, seed)
+    kept = np.zeros(1 << BITS, bool)
+    kept[alone] = True
+    places = [np.searchsorted(alone, r[kept[r]]) for r in rows]
+    margins = np.concatenate([first.margin(first._padded(places[i : i + 256])) for i in range(0, len(rows), 256)])
+    pairs = interacting(rows, y - 1 / (1 + np.exp(-np.clip(margins, -40, 40))))
+    return _fit(rows, y, np.union1d(alone, pairs), seed) if len(np.setdiff1d(pairs, alone)) else first
+
+
+def _fit(rows: list[np.ndarray], y: np.ndarray, terms: np.ndarray, seed: int) -> Machine:
+    """A machine of these terms."""
+    n1 = int(y.sum())
+    m = Machine(terms, float(np.log(n1 / (len(y) - n1))))
+    if not len(terms):
         return m
     kept = np.zeros(1 << BITS, bool)
     kept[m.terms] = True

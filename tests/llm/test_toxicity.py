@@ -7,6 +7,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from gleaner.llm import toxicity, training
@@ -31,12 +32,12 @@ def rows_of(texts):
 
 def plain_terms(text):
     words = {w for w in re.split(r"\W+", text.lower()) if w}
-    count = Counter(t for w in words for t in [w, *(w[:n] + "*" for n in (4, 5, 6, 7) if len(w) >= n)])
+    count = Counter((t, odd) for w in words for t, odd in [(w, 0), *((w[:n] + "*", 1) for n in (4, 5, 6, 7) if len(w) >= n)])
     mask = (1 << 22) - 1
     hashed = Counter()
-    for t, n in count.items():
-        hashed[zlib.crc32(t.encode()) & mask] += n
-    return sorted({*hashed, *((t * 0x9E3779B1 + k * 0x85EBCA6B) & mask for t, n in hashed.items() for k in (2, 3) if n >= k)})
+    for (t, odd), n in count.items():
+        hashed[zlib.crc32(t.encode()) * 2 & mask | odd] += n
+    return sorted({*hashed, *((t * 0x9E3779B1 + k * 0x85EBCA6B) & mask | 1 for t, n in hashed.items() for k in (2, 3) if n >= k)})
 
 
 def test_terms_of_whole_texts_against_a_plain_version():
@@ -60,28 +61,46 @@ def test_terms_that_tell_nothing_by_themselves():
     texts = [t for _, t, _ in corpus(rng, 1500)]
     y = np.array([("grobnik" in t) == ("martians" in t) for t in texts]).astype(np.int64)
     rows = rows_of(texts)
-    assert not len(toxicity.associated(rows, y)) and {toxicity._hash("grobnik"), toxicity._hash("martians")} <= {*toxicity.interacting(rows, y).tolist()}
+    assert not len(toxicity.associated(rows, y)) and {toxicity._hash("grobnik"), toxicity._hash("martians")} <= {*toxicity.interacting(rows, y - y.mean()).tolist()}
     both, insult, group, none = toxicity.fit(rows, y).scores(pa.array(["a grobnik for Martians", "a grobnik for the", "on the martians", "on the"]))
     assert both > 0.8 and insult < 0.2 and group < 0.2 and none > 0.7
 
 
-def test_pairs_are_measured_as_by_counting():
+@pytest.mark.parametrize("at_once", [(512, 2048), (2, 3), (1, 2)])
+def test_pairs_are_measured_as_by_counting(monkeypatch, at_once):
+    monkeypatch.setattr(toxicity, "PAIRS_AT_ONCE", at_once)
     rng = random.Random(9)
-    rows = [np.array(sorted({rng.randrange(6) for _ in range(3)})) for _ in range(600)]
-    y = np.array([int((0 in r) == (1 in r)) if rng.random() < 0.95 else 0 for r in rows])
+    rows = [np.array(sorted({2 * rng.randrange(8) for _ in range(4)} | {2 * rng.randrange(8) + 1})) for _ in range(400)]
+    y = np.array([int((0 in r) == (2 in r)) if rng.random() < 0.6 else rng.randrange(2) for r in rows])
+    left = y - y.mean()
 
     def measure(i, j):
-        odds = spread = 0.0
-        for label, sign in ((1, 1), (0, -1)):
-            for a in (True, False):
-                for b in (True, False):
-                    n = sum(1 for r, c in zip(rows, y, strict=True) if c == label and (i in r) == a and (j in r) == b) + 0.5
-                    odds += sign * (1 if a == b else -1) * math.log(n)
-                    spread += 1 / n
-        return odds * odds / spread
-
-    want = [i for i in range(6) if max(measure(i, j) for j in range(6) if j != i) > toxicity.MIN_PAIR]
-    assert toxicity.interacting(rows, y).tolist() == want and {0, 1} <= set(want)
+        p, q = (sum(t in r for r in rows) / len(rows) for t in (i, j))
+        each = [s * ((i in r) - p) * ((j in r) - q) for r, s in zip(rows, left, strict=True)]
+        return sum(each) ** 2 / sum(x * x for x in each)
+
+    least = toxicity.MIN_PAIR + 2 * math.log(28)
+    want = [i for i in range(0, 16, 2) if max(measure(i, j) for j in range(0, 16, 2) if j != i) > least]
+    assert toxicity.interacting(rows, left).tolist() == want and {0, 2} <= set(want)
+
+
+@pytest.mark.parametrize("fillers,filler,share", [(50, 0.4, 1.0), (2500, 0.4, 1.0), (2500, 0.15, 0.1)])
+def test_a_pair_among_many_frequent_words(fillers, filler, share):
+    """Only whether both or neither of two words is there tells the label, in all documents or in some; all other words tell nothing."""
+    rng = np.random.default_rng(fillers)
+    names = np.array([f"{a}{b}{c}" for a in "qwrtzpsd" for b in "aeiouy" for c in "fghjklmnbvcxqwrtzpsdfghjklmnbvcxqwrtzpsdfghjklmnbvcxqwrtzpsd"])[:fillers]
+    texts, y, told = [], [], []
+    for _ in range(2600):
+        active = rng.random() < share
+        a, b = (active and rng.random() < 0.5 for _ in "ab")
+        texts.append(" ".join([*names[rng.random(len(names)) < filler], *["aaa"] * a, *["bbb"] * b]))
+        y.append(int(a == b) if a or b else int(rng.random() < 0.5) if share < 1 else 1)
+        told.append(a or b or share == 1)
+    rows, y, told = rows_of(texts), np.array(y), np.array(told)
+    m = toxicity.fit(rows[:2000], y[:2000])
+    assert {toxicity._hash("aaa"), toxicity._hash("bbb")} <= {*m.terms.tolist()}
+    right = ((m.scores(pa.array(texts[2000:])) >= 0.5) == y[2000:])[told[2000:]]
+    assert right.mean() > 0.9
 
 
 def plain_fit(rows, y, terms, seed=7):
