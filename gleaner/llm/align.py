@@ -7,7 +7,7 @@ one of B, so these stretches are the pairs of tokens that overlap. Running sums
 and their differences at the documents' offsets give each document's counts.
 
 Neither tokenizer's tokens cross from a character that is no white space into a following space or line feed: A's pattern splits there and
-no piece of B holds a space's mark, or a line feed, after another character. So texts are cut there, in parts of PART characters that
+no piece of B holds a space's mark, or a line feed, after another character. The same holds before a comma and some other marks after a letter. So texts are cut there, in parts of PART characters that
 are aligned one after another, and a cut's ids, looked up by its text, come from a bounded cache or else the libraries.
 Other tokenizers' texts, if their files have another pattern or pieces, are encoded whole.
 
@@ -44,13 +44,16 @@ from gleaner.llm.token_file import tokenizer_path
 
 #: Cuts, and characters of them, that a worker remembers.
 CACHE, CACHE_CHARS = 400_000, 8_000_000
+#: Cuts that the libraries get at once.
+LEARNT = 4096
 #: Characters of a text that are aligned at once, and of a run of texts.
 PART = 1_000_000
 #: Pairs of ids that every task holds at most.
 FREQUENT = 1 << 19
 #: Pairs of documents that a task holds before it adds them up.
 HELD = 4_000_000
-_BORDER = re.compile(r"(?<=\S)(?=[ \n])")
+#: Marks before which a word may be cut off too, if none of B's pieces has them after a letter or digit.
+_MARKS = ",.;:!?)"
 
 
 def _byte_of() -> dict[str, int]:
@@ -76,6 +79,7 @@ class Aligner:
 
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
+        self.batch = getattr(self.a, "encode_batch_fast", self.a.encode_batch)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         byte = _byte_of()
         special = set(self.a.get_added_tokens_decoder())
@@ -100,6 +104,8 @@ class Aligner:
         vocabulary = pieces.Vocabulary(b_path)
         self.cut = plain and vocabulary.prefix and vocabulary.cutter.pattern == r" *[^ \n]+| +|\n"
         self.lead = len(self.b.encode("\n"))
+        marks = [m for m in _MARKS if not any(re.search(rf"[^\W_]{re.escape(m)}", t) for t in vocabulary.texts)]
+        self.border = re.compile(r"(?<=\S)(?=[ \n])" + (rf"|(?<=[^\W_])(?=[{re.escape(''.join(marks))}])" if marks else ""))
         self._forget()
 
     def _forget(self) -> None:
@@ -111,22 +117,27 @@ class Aligner:
 
     def _learn(self, new: list[str]) -> None:
         """Remembers cuts' ids."""
-        found = [e.ids for e in self.a.encode_batch(new, add_special_tokens=False)]
-        if self.cut:  # after a line feed nothing is put before a text
-            other = [x[self.lead :] for x in self.b.encode(["\n" + c for c in new], num_threads=1)]
-        else:
-            other = self.b.encode([c[1:] for c in new], num_threads=1)
-        right = np.empty(len(new), bool)
-        a_bytes, b_bytes = self.spelled
-        for i, (cut, a, b) in enumerate(zip(new, found, other, strict=True)):
-            text = cut.encode()
-            right[i] = text == b"".join([a_bytes[x] for x in a]) and text == b"".join([b_bytes[x] for x in b])
-            self.place[cut] = len(self.place)
-            self.chars += len(cut)
-        self.right = np.r_[self.right, right]
-        for k, own in enumerate((found, other)):
-            self.ids[k] = np.concatenate([self.ids[k], np.fromiter(chain.from_iterable(own), np.int32)])
-            self.upto[k] = np.concatenate([self.upto[k], self.upto[k][-1] + np.cumsum([len(x) for x in own])])
+        for lo in range(0, len(new), LEARNT):
+            cuts = new[lo : lo + LEARNT]
+            found = [e.ids for e in self.batch(cuts, add_special_tokens=False)]
+            if self.cut:  # after a line feed nothing is put before a text
+                other = [x[self.lead :] for x in self.b.encode(["\n" + c for c in cuts], num_threads=1)]
+            else:
+                other = self.b.encode([c[1:] for c in cuts], num_threads=1)
+            self.place.update(zip(cuts, range(len(self.place), len(self.place) + len(cuts)), strict=True))
+            self.chars += sum(map(len, cuts))
+            data = [c.encode() for c in cuts]
+            right = np.ones(len(cuts), bool)
+            for k, own in enumerate((found, other)):
+                ids = np.fromiter(chain.from_iterable(own), np.int32)
+                upto = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))
+                ends = np.r_[0, np.cumsum(self.size[k][ids])][upto]
+                spelled = self.spelled[k]
+                if not np.array_equal(ends, np.cumsum([len(x) for x in data])) or b"".join(map(spelled.__getitem__, ids.tolist())) != b"".join(data):
+                    right &= [x == b"".join([spelled[i] for i in y]) for x, y in zip(data, own, strict=True)]
+                self.ids[k] = np.concatenate([self.ids[k], ids])
+                self.upto[k] = np.concatenate([self.upto[k], self.upto[k][-1] + upto])
+            self.right = np.r_[self.right, right]
 
     def _gathered(self, k: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of tokenizer k of cuts, and how many each has."""
@@ -145,7 +156,7 @@ class Aligner:
             text, at = " " + text, 0
             while at < len(text):
                 end = len(text)
-                if self.cut and end - at > PART and (m := _BORDER.search(text, at + PART)):
+                if self.cut and end - at > PART and (m := self.border.search(text, at + PART)):
                     end = m.start()
                 rows.append(row)
                 parts.append(text[at:end])
@@ -166,7 +177,7 @@ class Aligner:
         for rows, parts in self._runs(texts):
             if len(self.place) > CACHE or self.chars > CACHE_CHARS:
                 self._forget()
-            cuts = [_BORDER.split(p) if self.cut else [p] for p in parts]
+            cuts = [self.border.split(p) if self.cut else [p] for p in parts]
             if new := list({c: None for own in cuts for c in own if c not in self.place}):
                 self._learn(new)
             at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(cuts)), np.int64)
