@@ -53,7 +53,8 @@ FREQUENT = 1 << 19
 #: Pairs of documents that a task holds before it adds them up.
 HELD = 4_000_000
 #: Marks before which a word may be cut off too, if none of B's pieces has them after a letter or digit.
-_MARKS = ",.;:!?)"
+_MARKS = ",.;:!?)]}%&#$*\"…»"
+_PLAIN = re.compile(r" ?\S+").fullmatch
 
 
 def _byte_of() -> dict[str, int]:
@@ -79,6 +80,8 @@ class Aligner:
 
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
+        if hasattr(self.a.model, "_resize_cache"):
+            self.a.model._resize_cache(0)  # it is never asked for a cut twice in a row
         self.batch = getattr(self.a, "encode_batch_fast", self.a.encode_batch)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         byte = _byte_of()
@@ -103,7 +106,8 @@ class Aligner:
         plain = pattern.get("type") == "ByteLevel" and pattern.get("use_regex", True) and not pattern.get("add_prefix_space") and not form.get("normalizer")
         vocabulary = pieces.Vocabulary(b_path)
         self.cut = plain and vocabulary.prefix and vocabulary.cutter.pattern == r" *[^ \n]+| +|\n"
-        self.lead = len(self.b.encode("\n"))
+        feed = self.b.encode("\n")
+        self.lead, self.feed, self.line = len(feed), feed[-1], self.a.encode("\n", add_special_tokens=False).ids
         marks = [m for m in _MARKS if not any(re.search(rf"[^\W_]{re.escape(m)}", t) for t in vocabulary.texts)]
         self.border = re.compile(r"(?<=\S)(?=[ \n])" + (rf"|(?<=[^\W_])(?=[{re.escape(''.join(marks))}])" if marks else ""))
         self._forget()
@@ -117,27 +121,48 @@ class Aligner:
 
     def _learn(self, new: list[str]) -> None:
         """Remembers cuts' ids."""
-        for lo in range(0, len(new), LEARNT):
-            cuts = new[lo : lo + LEARNT]
-            found = [e.ids for e in self.batch(cuts, add_special_tokens=False)]
-            if self.cut:  # after a line feed nothing is put before a text
-                other = [x[self.lead :] for x in self.b.encode(["\n" + c for c in cuts], num_threads=1)]
-            else:
-                other = self.b.encode([c[1:] for c in cuts], num_threads=1)
-            self.place.update(zip(cuts, range(len(self.place), len(self.place) + len(cuts)), strict=True))
-            self.chars += sum(map(len, cuts))
-            data = [c.encode() for c in cuts]
-            right = np.ones(len(cuts), bool)
-            for k, own in enumerate((found, other)):
-                ids = np.fromiter(chain.from_iterable(own), np.int32)
-                upto = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))
-                ends = np.r_[0, np.cumsum(self.size[k][ids])][upto]
-                spelled = self.spelled[k]
-                if not np.array_equal(ends, np.cumsum([len(x) for x in data])) or b"".join(map(spelled.__getitem__, ids.tolist())) != b"".join(data):
-                    right &= [x == b"".join([spelled[i] for i in y]) for x, y in zip(data, own, strict=True)]
-                self.ids[k] = np.concatenate([self.ids[k], ids])
-                self.upto[k] = np.concatenate([self.upto[k], self.upto[k][-1] + upto])
-            self.right = np.r_[self.right, right]
+        plain = [c for c in new if _PLAIN(c)] if self.cut and len(self.line) == 1 else []
+        other = [c for c in new if not _PLAIN(c)] if plain else new
+        for cuts, known in ((plain, self._lines), (other, self._each)):
+            for lo in range(0, len(cuts), LEARNT):
+                self._keep(cuts[lo : lo + LEARNT], known(cuts[lo : lo + LEARNT]))
+
+    def _lines(self, cuts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of cuts without inner or closing white space, and how many each has, by A and B: as lines of one text, whose line feeds are tokens of their own."""
+        text = "\n".join(cuts)
+        a = np.array(self.batch([text], add_special_tokens=False)[0].ids, np.int32)
+        b = np.array(self.b.encode("\n" + text)[self.lead :], np.int32)
+        out = []
+        for ids, line in ((a, self.line[0]), (b, self.feed)):
+            ends = np.flatnonzero(ids == line)
+            out.append((ids[ids != line], np.diff(np.r_[-1, ends, len(ids)]) - 1))
+        return out
+
+    def _each(self, cuts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The same of any cuts."""
+        found = [e.ids for e in self.batch(cuts, add_special_tokens=False)]
+        if self.cut:  # after a line feed nothing is put before a text
+            other = [x[self.lead :] for x in self.b.encode(["\n" + c for c in cuts], num_threads=1)]
+        else:
+            other = self.b.encode([c[1:] for c in cuts], num_threads=1)
+        return [(np.fromiter(chain.from_iterable(own), np.int32), np.fromiter(map(len, own), np.int64, len(own))) for own in (found, other)]
+
+    def _keep(self, cuts: list[str], found: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.place.update(zip(cuts, range(len(self.place), len(self.place) + len(cuts)), strict=True))
+        self.chars += sum(map(len, cuts))
+        data = [c.encode() for c in cuts]
+        bounds = np.cumsum(np.fromiter(map(len, data), np.int64, len(data)))
+        whole = b"".join(data)
+        right = np.ones(len(cuts), bool)
+        for k, (ids, many) in enumerate(found):
+            upto = np.cumsum(many)
+            spelled = list(map(self.spelled[k].__getitem__, ids.tolist()))
+            ends = np.r_[0, np.cumsum(self.size[k][ids])][upto]
+            if not np.array_equal(ends, bounds) or b"".join(spelled) != whole:
+                right &= [x == b"".join(spelled[y:z]) for x, y, z in zip(data, (upto - many).tolist(), upto.tolist(), strict=True)]
+            self.ids[k] = np.concatenate([self.ids[k], ids])
+            self.upto[k] = np.concatenate([self.upto[k], self.upto[k][-1] + upto])
+        self.right = np.r_[self.right, right]
 
     def _gathered(self, k: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of tokenizer k of cuts, and how many each has."""
