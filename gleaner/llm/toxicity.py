@@ -7,10 +7,10 @@ insult share them), and that a beginning is shared by two or by three of them, h
 
 over the kept terms of a document, so that a pair, such as an insult and the mention of a group, can weigh what
 its parts don't. Kept are the terms that the sample ties to either label by themselves (log-likelihood ratio over MIN_RATIO), and,
-since a pair may tell what neither part does, words of pairs that tell what a machine of the former terms leaves. All pairs of words are looked at but for those
-of words in (or missing from) fewer than SUPPORT documents of the sample, which can't be told from chance among so many pairs: a pair's
-measure is the sum over documents of what is left of the label times both words' differences from their means, squared, over the sum of these products'
-squares; it counts above MIN_PAIR and twice the logarithm of the number of pairs. Other terms have
+since a pair may tell what neither part does, words of pairs that the sample ties to a label together. A pair's
+measure is the sum over documents of the products of three differences from the mean, the label's and both words', squared, over the sum of these products'
+squares; it counts above MIN_PAIR and twice the logarithm of the number of pairs, which are all pairs of words that have as many documents (or are missing from as many): others
+can't reach it. Other terms have
 weight zero. The machine is fitted by AdaGrad on the logistic loss with L2 penalties; the score is its
 logistic. Scoring is one pass without a shuffle; the kept terms (MAX_TERMS at most of either kind) go to the tasks.
 
@@ -38,7 +38,6 @@ BEGINNINGS = (4, 5, 6, 7)
 SHARED = (2, 3)
 MIN_RATIO = 12.0
 MIN_PAIR = 24.0
-SUPPORT = 24
 #: Words whose pairs with others are measured at once, and of these others.
 PAIRS_AT_ONCE = 512, 2048
 MAX_TERMS = 20_000
@@ -126,10 +125,13 @@ def associated(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
 
 
 def interacting(rows: list[np.ndarray], left: np.ndarray) -> np.ndarray:
-    """Words whose pairs tell what is left of the labels of documents, the most telling MAX_TERMS."""
+    """Words whose pairs tell ``left``, the labels' differences from their mean; the most telling MAX_TERMS."""
     n = len(left)
     of = _documents_of(rows)
-    terms = np.flatnonzero((np.minimum(of, n - of) >= SUPPORT) & (np.arange(len(of)) % 2 == 0))
+    of = np.minimum(of, n - of)
+    terms = np.flatnonzero((of >= MIN_PAIR) & (np.arange(len(of)) % 2 == 0))
+    least = MIN_PAIR + 2 * np.log(max(1, len(terms) * (len(terms) - 1) / 2))
+    terms = terms[of[terms] >= least]
     place = np.full(1 << BITS, -1, np.int32)
     place[terms] = np.arange(len(terms))
     size = [len(r) for r in rows]
@@ -139,7 +141,7 @@ def interacting(rows: list[np.ndarray], left: np.ndarray) -> np.ndarray:
     order = np.argsort(term, kind="stable")
     doc, term = doc[order], term[order]
     upto = np.searchsorted(term, np.arange(len(terms) + 1))
-    share = of[terms] / n
+    share = np.diff(upto) / n
     weights = left, left * left
     own = [np.bincount(term, weights=w[doc], minlength=len(terms)) for w in weights]  # sums over a word's documents
     best = np.zeros(len(terms))
@@ -167,7 +169,6 @@ def interacting(rows: list[np.ndarray], left: np.ndarray) -> np.ndarray:
             best[at:end] = np.maximum(best[at:end], found.max(axis=1))
             best[lo:hi] = np.maximum(best[lo:hi], found.max(axis=0))
     order = np.argsort(-best, kind="stable")[:MAX_TERMS]
-    least = MIN_PAIR + 2 * np.log(max(1, len(terms) * (len(terms) - 1) / 2))
     return np.sort(terms[order[best[order] > least]])
 
 
@@ -213,21 +214,8 @@ def fit(rows: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Machine:
     n1 = int(y.sum()) if len(y) else 0
     if not n1 or n1 == len(y):
         return Machine(np.empty(0, np.int64), 40.0 if n1 else -40.0)
-    alone = associated(rows, y)
-    first = _fit(rows, y, alone, seed)
-    kept = np.zeros(1 << BITS, bool)
-    kept[alone] = True
-    places = [np.searchsorted(alone, r[kept[r]]) for r in rows]
-    margins = np.concatenate([first.margin(first._padded(places[i : i + 256])) for i in range(0, len(rows), 256)])
-    pairs = interacting(rows, y - 1 / (1 + np.exp(-np.clip(margins, -40, 40))))
-    return _fit(rows, y, np.union1d(alone, pairs), seed) if len(np.setdiff1d(pairs, alone)) else first
-
-
-def _fit(rows: list[np.ndarray], y: np.ndarray, terms: np.ndarray, seed: int) -> Machine:
-    """A machine of these terms."""
-    n1 = int(y.sum())
-    m = Machine(terms, float(np.log(n1 / (len(y) - n1))))
-    if not len(terms):
+    m = Machine(np.union1d(associated(rows, y), interacting(rows, y - y.mean())), float(np.log(n1 / (len(y) - n1))))
+    if not len(m.terms):
         return m
     kept = np.zeros(1 << BITS, bool)
     kept[m.terms] = True
