@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ MIN_POPULATION = 5000
 WEB_CITIES = ((3000, None), (1000, 400), (500, 150), (100, 60), (0, 40))
 PAID_CITIES = ((3000, None), (1000, 800), (500, 200), (100, 40), (0, 12))
 MAP_CITIES = ((3000, None), (1000, 800), (500, 200), (0, 40))
+#: Pages of a query.
+PAGES = ((500, 12), (100, 8), (0, 4))
 MASS_LIMIT = 500
 
 
@@ -33,7 +36,20 @@ def page_depth(plans: int, mass: bool, expand: bool = False) -> int:
 
 
 def pages_per_query(limit: int) -> int:
-    return 12 if limit >= 500 else 8 if limit >= 100 else 4
+    return budget(limit, PAGES)
+
+
+def budget_of(limit: Column, steps: tuple[tuple[int, int | None], ...]) -> Column:
+    """budget of a column of limits; null means all."""
+    return reduce(lambda rest, step: F.when(limit >= step[0], F.lit(step[1]).cast("int")).otherwise(rest), reversed(steps[:-1]), F.lit(steps[-1][1]).cast("int"))
+
+
+def osm_budget_of(limit: Column) -> Column:
+    return F.when(limit < MASS_LIMIT, F.greatest(F.lit(8), F.least(F.lit(40), F.ceil(limit / 3)))).cast("int")
+
+
+def per_domain_limit_of(limit: Column, domains: int = len(tables.SOURCE_DOMAINS)) -> Column:
+    return F.greatest(F.lit(1), F.ceil(limit / domains)).cast("int")
 
 
 def places_per_city(limit: int, plans: int, default: int = 25, most: int = 60) -> int:

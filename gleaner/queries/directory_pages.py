@@ -100,7 +100,7 @@ def _sql(keys: list[str]) -> str:
 def _add(name: str, keys: list[str]) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         lists, details = _pages(spark, sf_dir, keys)
-        return directories.entries(lists, details, details=1_000_000, per_source=None).select("scraper_key", "snippet", "name", "website", "source_url", "email")
+        return directories.entries(lists, details, details=None, per_source=None).select("scraper_key", "snippet", "name", "website", "source_url", "email")
 
     QUERIES[name], ORACLES[name] = run, _sql(keys)
 

@@ -1,4 +1,4 @@
-"""Queries of the planning operators, over small parameter tables and over nations as countries with customers as towns."""
+"""Queries of the planning operators: suppliers name categories and texts, nations places, customers towns."""
 
 from __future__ import annotations
 
@@ -27,25 +27,41 @@ def query(oracle: str | None = None):
 
 
 CATEGORIES = [(c,) for c in ("hotel", "Fitnessstudio", "kfz werkstatt", "IT Beratung", "immobilienmakler", "Goldschmied", "lager logistik", "Zahnarzt", " Café ", "")]
-LOCATIONS = [(x,) for x in ("Berlin", "Hamburg", "Muenchen", "Koeln")]
-_CAT = values_sql(CATEGORIES, "category")
+_NAMES = ", ".join(f"'{c}'" for (c,) in CATEGORIES)
+#: A category a supplier: one of the ten, from the tenth on with the supplier's number.
+_CAT = f"(SELECT [{_NAMES}][1 + s_suppkey % {len(CATEGORIES)}] || CASE WHEN s_suppkey < {len(CATEGORIES)} THEN '' ELSE ' ' || s_suppkey END AS category FROM supplier) t"
 _MATCH = "(CASE WHEN length(keyword) <= 2 THEN regexp_matches(lower({0}), '(^|[^a-z0-9äöüß])' || keyword || '($|[^a-z0-9äöüß])') ELSE contains(lower({0}), keyword) END)"
 _VARIANTS = values_sql(tables.variant_rows(), "rank, keyword, place, term")
 _TAGS = values_sql(tables.osm_rows(), "rank, keyword, place, tag_key, tag_value")
 
 
-def _categories(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CATEGORIES, "category string")
+def _numbered(spark: SparkSession, sf_dir: str, texts: list[tuple], *names: str) -> DataFrame:
+    """A row a supplier: s_suppkey, i (its number as text) and one of these texts."""
+    n = F.col("s_suppkey")
+    each = F.array(*(F.struct(*(F.lit(v).cast("string").alias(k) for k, v in zip(names, row, strict=True))) for row in texts))
+    own = _read(spark, sf_dir, "supplier").select("s_suppkey", n.cast("string").alias("i"), F.get(each, (n % len(texts)).cast("int")).alias("_t"))
+    return own.select("s_suppkey", "i", "_t.*")
 
 
-@query(f"SELECT category, location FROM {_CAT}, {values_sql(LOCATIONS, 'location').replace(' t(', ' u(')}")
+def _categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _numbered(spark, sf_dir, CATEGORIES, "category")
+    return own.select(F.when(F.col("s_suppkey") < len(CATEGORIES), F.col("category")).otherwise(F.concat_ws(" ", "category", "i")).alias("category"))
+
+
+def _one_of(texts: list[tuple], k: int = 0) -> str:
+    """SQL: a supplier's text."""
+    quoted = ", ".join("NULL" if t[k] is None else f"'{t[k]}'" for t in texts)
+    return f"[{quoted}][1 + s_suppkey % {len(texts)}]"
+
+
+@query(f"SELECT category, n_name AS location FROM {_CAT}, nation")
 def query_plan_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planning.cross_plan(_categories(spark), spark.createDataFrame(LOCATIONS, "location string"))
+    return planning.cross_plan(_categories(spark, sf_dir), _read(spark, sf_dir, "nation").select(F.col("n_name").alias("location")))
 
 
 @query(f"SELECT category, '' AS location FROM {_CAT}")
 def query_plan_no_location(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planning.cross_plan(_categories(spark), spark.createDataFrame([], "location string"))
+    return planning.cross_plan(_categories(spark, sf_dir), spark.createDataFrame([], "location string"))
 
 
 @query(
@@ -54,7 +70,7 @@ best AS (SELECT category, rank FROM (SELECT category, rank, row_number() OVER (P
 SELECT category, place, term FROM best JOIN v USING (rank) UNION ALL SELECT category, 0, category FROM c WHERE category NOT IN (SELECT category FROM best)"""
 )
 def category_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planning.category_variants(_categories(spark))
+    return planning.category_variants(_categories(spark, sf_dir))
 
 
 @query(
@@ -65,17 +81,17 @@ SELECT category, row_number() OVER (PARTITION BY category ORDER BY pos) - 1 AS p
 UNION ALL SELECT category, 0, '["name"~"' || trim(category) || '",i]' FROM c WHERE category NOT IN (SELECT category FROM m)"""
 )
 def osm_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planning.osm_selectors(_categories(spark).filter("trim(category) <> ''")).withColumn("place", F.col("place").cast("long"))
+    return planning.osm_selectors(_categories(spark, sf_dir).filter("trim(category) <> ''")).withColumn("place", F.col("place").cast("long"))
 
 
 @query(
-    f"""WITH c AS (SELECT DISTINCT category FROM {_CAT} WHERE category IN ('hotel', 'IT Beratung', 'Zahnarzt')),
+    f"""WITH c AS (SELECT DISTINCT category FROM {_CAT} WHERE regexp_matches(category, '^(hotel|IT Beratung|Zahnarzt)')),
 m AS (SELECT category, 'nwr["' || tag_key || '"="' || tag_value || '"](area.searchArea);' AS line, min(rank * 100 + t.place) AS pos FROM c JOIN {_TAGS} ON {_MATCH.format('category')} GROUP BY 1, 2)
 SELECT category, '[out:json][timeout:35];' || chr(10) || 'area["name"~"^Bad Aibling\\.$",i]["boundary"="administrative"]->.searchArea;' || chr(10) || '(' || chr(10)
   || string_agg(line, chr(10) ORDER BY pos) || chr(10) || ');' || chr(10) || 'out tags center 500;' AS query FROM m GROUP BY 1"""
 )
 def overpass_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = _categories(spark).filter(F.col("category").isin("hotel", "IT Beratung", "Zahnarzt"))
+    some = _categories(spark, sf_dir).filter(F.col("category").rlike("^(hotel|IT Beratung|Zahnarzt)"))
     return planning.overpass_queries(some, " Bad Aibling. ", 50)
 
 
@@ -149,7 +165,7 @@ def paid_search_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT category, domain_rank, category || ' site:' || domain AS query, 3 AS rows FROM {_CAT}, {values_sql(list(enumerate(tables.SOURCE_DOMAINS)), 'domain_rank, domain').replace(' t(', ' u(')}")
 def site_searches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planning.site_searches(_categories(spark), 50)
+    return planning.site_searches(_categories(spark, sf_dir), 50)
 
 
 @query(
@@ -172,26 +188,27 @@ COUNTRY_LISTS = [("at;de",), ("",), ("DE,at, de",), ("fr",), (" At ",), (None,),
 
 
 @query(
-    f"""SELECT raw, coalesce(nullif(list_aggregate(list_filter(list_transform(string_split(replace(coalesce(raw, ''), ';', ','), ','), lambda c: upper(trim(c))), lambda c, i: c IN ('DE', 'AT')
-  AND list_position(list_transform(string_split(replace(raw, ';', ','), ','), lambda d: upper(trim(d))), c) = i), 'string_agg', ','), ''), 'DE') AS countries FROM {values_sql(COUNTRY_LISTS, 'raw')}"""
+    f"""SELECT s_suppkey, raw, coalesce(nullif(list_aggregate(list_filter(list_transform(string_split(replace(coalesce(raw, ''), ';', ','), ','), lambda c: upper(trim(c))), lambda c, i: c IN ('DE', 'AT')
+  AND list_position(list_transform(string_split(replace(raw, ';', ','), ','), lambda d: upper(trim(d))), c) = i), 'string_agg', ','), ''), 'DE') AS countries FROM (SELECT s_suppkey, {_one_of(COUNTRY_LISTS)} || ';' || s_suppkey AS raw FROM supplier)"""
 )
 def parse_countries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = spark.createDataFrame(COUNTRY_LISTS, "raw string")
-    return own.select("raw", F.array_join(text.parse_countries(F.col("raw")), ",").alias("countries"))
-
-
-LIMITS = [(n,) for n in (0, 20, 50, 100, 499, 500, 1000, 2999, 3000, 150000)]
+    own = _numbered(spark, sf_dir, COUNTRY_LISTS, "raw").withColumn("raw", F.concat("raw", F.lit(";"), "i"))
+    return own.select("s_suppkey", "raw", F.array_join(text.parse_countries(F.col("raw")), ",").alias("countries"))
 
 
 @query(
     f"""SELECT n, CASE WHEN n >= 3000 THEN NULL WHEN n >= 1000 THEN 400 WHEN n >= 500 THEN 150 WHEN n >= 100 THEN 60 ELSE 40 END AS web, CASE WHEN n >= 3000 THEN NULL WHEN n >= 1000 THEN 800
   WHEN n >= 500 THEN 200 WHEN n >= 100 THEN 40 ELSE 12 END AS paid, CASE WHEN n >= 3000 THEN NULL WHEN n >= 1000 THEN 800 WHEN n >= 500 THEN 200 ELSE 40 END AS maps,
   CASE WHEN n >= 500 THEN NULL ELSE greatest(8, least(40, CAST(ceil(n / 3) AS INT))) END AS osm, CASE WHEN n >= 500 THEN 12 WHEN n >= 100 THEN 8 ELSE 4 END AS pages,
-  greatest(1, CAST(ceil(n / 17) AS INT)) AS per_domain FROM {values_sql(LIMITS, 'n')}"""
+  greatest(1, CAST(ceil(n / 17) AS INT)) AS per_domain FROM (SELECT CASE WHEN c_custkey % 50 = 0 THEN 150000 ELSE c_custkey * 37 % 4000 END AS n FROM customer)"""
 )
 def city_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(n, planning.budget(n, planning.WEB_CITIES), planning.budget(n, planning.PAID_CITIES), planning.budget(n, planning.MAP_CITIES), planning.osm_budget(n), planning.pages_per_query(n), planning.per_domain_limit(n)) for (n,) in LIMITS]
-    return spark.createDataFrame(rows, "n int, web int, paid int, maps int, osm int, pages int, per_domain int")
+    n = F.col("n")
+    limits = _read(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 50 == 0, 150_000).otherwise(F.col("c_custkey") * 37 % 4000).cast("int").alias("n"))
+    return limits.select(
+        "n", planning.budget_of(n, planning.WEB_CITIES).alias("web"), planning.budget_of(n, planning.PAID_CITIES).alias("paid"), planning.budget_of(n, planning.MAP_CITIES).alias("maps"),
+        planning.osm_budget_of(n).alias("osm"), planning.budget_of(n, planning.PAGES).alias("pages"), planning.per_domain_limit_of(n).alias("per_domain"),
+    )
 
 
 @query(
@@ -208,13 +225,14 @@ SLUGS = [(x,) for x in ("Bad Aibling", "  köln   süd ", "Groß-Gerau", "frankf
 
 
 @query(
-    f"""WITH w AS (SELECT raw, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS v FROM {values_sql(SLUGS, 'raw')}),
+    f"""WITH w AS (SELECT raw, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS v FROM (SELECT {_one_of(SLUGS)} || ' ort' || s_suppkey AS raw FROM supplier)),
 p AS (SELECT raw, v, list_transform(string_split(v, ' '), lambda x: list_aggregate(list_transform(string_split(x, '-'), lambda y: upper(y[1]) || y[2:]), 'string_agg', '-')) AS parts FROM w)
 SELECT raw, array_to_string(parts, ' ') AS title, array_to_string(parts, '-') AS slug, replace(replace(replace(replace(lower(array_to_string(parts, '-')), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss') AS folded FROM p"""
 )
 def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.col("raw")
-    return spark.createDataFrame(SLUGS, "raw string").select("raw", text.title_case(text.collapse(raw)).alias("title"), text.hyphen_slug(raw).alias("slug"), text.folded_slug(raw, "berlin").alias("folded"))
+    own = _numbered(spark, sf_dir, SLUGS, "raw").withColumn("raw", F.concat("raw", F.lit(" ort"), "i"))
+    return own.select("raw", text.title_case(text.collapse(raw)).alias("title"), text.hyphen_slug(raw).alias("slug"), text.folded_slug(raw, "berlin").alias("folded"))
 
 
 @query(
@@ -234,12 +252,13 @@ _ENC = "replace(url_encode({0}), '%20', '+')"
 
 
 @query(
-    f"""WITH a AS (SELECT category, location, country, trim(trim(category) || ' ' || trim(location)) AS asked FROM {values_sql(ASKED, 'category, location, country')})
+    f"""WITH a AS (SELECT category, location, country, trim(trim(category) || ' ' || trim(location)) AS asked FROM (SELECT {_one_of(ASKED)} || CASE WHEN s_suppkey < 8 THEN '' ELSE ' ' || s_suppkey END AS category, {_one_of(ASKED, 1)} AS location, {_one_of(ASKED, 2)} AS country FROM supplier))
 SELECT category, 'https://www.google.com/search?q=' || {_ENC.format('asked')} || '&num=10&start=20&hl=' || lower(country) || '&gl=' || lower(country) AS web,
   'https://www.google.' || lower(country) || '/maps/search/' || {_ENC.format("coalesce(nullif(asked, ''), 'unternehmen')")} || '?hl=de' AS maps FROM a"""
 )
 def search_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = spark.createDataFrame(ASKED, "category string, location string, country string")
-    category, location, country = (F.col(c) for c in own.columns)
+    own = _numbered(spark, sf_dir, ASKED, "category", "location", "country")
+    own = own.withColumn("category", F.when(F.col("s_suppkey") < 8, F.col("category")).otherwise(F.concat_ws(" ", "category", "i")))
+    category, location, country = (F.col(c) for c in ("category", "location", "country"))
     asked = F.trim(F.concat_ws(" ", F.trim(category), F.trim(location)))
     return own.select("category", planning.web_search_url(asked, F.lit(20), F.lower(country)).alias("web"), planning.map_search_url(category, location, country).alias("maps"))
