@@ -74,6 +74,12 @@ def landed(df: DataFrame, name: str, **options: str) -> DataFrame:
     return out
 
 
+def repeatable(df: DataFrame) -> DataFrame:
+    """df, kept in the shared folder if a shuffle makes it: then a recomputed task may find its rows in another order, in which a scan's always come."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return checkpointed(df) if "Exchange" in plan else df
+
+
 def dropped(df: DataFrame) -> None:
     """Removes a landed table that nothing reads any more."""
     remove(df.sparkSession, df._landed)

@@ -8,7 +8,7 @@ each hit is then extended to its whole window by comparing the words around it.
 
 Per document the benchmark's windows, not pairs of documents, are joined, so a passage that many
 documents hold costs one row per occurrence. The texts are read once for windows of all lengths. A benchmark of more than
-BROADCAST_WINDOWS windows is joined by a shuffle: of keys alone at first, which names the documents that hold any of them, and
+BROADCAST_WINDOWS windows, or BROADCAST_BYTES, is joined by a shuffle: of keys alone at first, which names the documents that hold any of them, and
 of words for these documents only.
 
 Defined cases: a null or empty text has no words and no hits; very long texts are read whole; an item without words is ignored; an item of
@@ -28,8 +28,9 @@ from gleaner.llm.common import checkpointed
 
 SPAN = 10
 K = 5
-#: Windows of the benchmark that may be broadcast: some 400 bytes each, 40 MB at most. Beyond, the join shuffles.
+#: Windows of the benchmark that may be broadcast, and bytes of them with their items' ids, of which a window may have many. Beyond either, the join shuffles.
 BROADCAST_WINDOWS = 100_000
+BROADCAST_BYTES = 64_000_000
 #: Documents with a benchmark's key whose names may be broadcast, 16 bytes each.
 BROADCAST_DOCS = 1_000_000
 
@@ -132,10 +133,11 @@ def _around(keys: DataFrame) -> DataFrame:
 def _found(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Per distinct row of docs (doc_id, row_key: a hash of its text): copies, n_words, n_hit, item_ids, spans."""
     windows = checkpointed(benchmark_windows(items.select("item_id", "text")))
-    shape = windows.groupBy("len").count().collect()  # SPAN rows at most
+    size = F.octet_length(F.array_join("window", " ")) + F.size("window") * 24 + F.size("items") * 24 + 64  # about what a row takes in memory
+    shape = windows.groupBy("len").agg(F.count("*").alias("many"), F.sum(size).alias("bytes")).collect()  # SPAN rows at most
     lengths = sorted(x["len"] for x in shape)
     named = _named(docs.select("doc_id", "text"))
-    if sum(x["count"] for x in shape) <= BROADCAST_WINDOWS:
+    if sum(x["many"] for x in shape) <= BROADCAST_WINDOWS and sum(x["bytes"] for x in shape) <= BROADCAST_BYTES:
         return _met(named, F.broadcast(windows), lengths)
     wanted = windows.select("len", "key").distinct()
     holding = checkpointed(_keys(named, lengths).select("doc_id", "row_key", "len", "key").join(wanted, ["len", "key"], "left_semi").select("doc_id", "row_key").distinct())

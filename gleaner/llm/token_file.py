@@ -6,7 +6,7 @@ run-length encoding, version 2), a row index every INDEX_ROWS rows and a Bloom f
 reader skips files by their footers, and stripes and row groups by their statistics and filters. Each row
 holds its own offset in its part, so that any stripe can be read alone; the parts' totals, read from one
 integer column, give each part's start. Nothing is ordered by one task: Spark samples the ranges'
-bounds, rows of one doc_id may go to several parts, and a part is sorted where it lands and written as a stream, so its size
+bounds (of an input that a shuffle makes, once it is kept, so that a lost task finds each row in its place again), rows of one doc_id may go to several parts, and a part is sorted where it lands and written as a stream, so its size
 is no task's memory.
 
 The library's pre-tokeniser never lets a token cross from a character into a single space or line feed
@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import folder, pieces_of
+from gleaner.llm.common import folder, pieces_of, repeatable
 
 END_ID = 2
 INDEX_ROWS = 1000
@@ -296,7 +296,7 @@ def write_tokens(
     docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID, part_rows: int = PART_ROWS, stripe_bytes: int = STRIPE_BYTES
 ) -> None:
     """Writes docs (doc_id, text) as ORC files under path, in ascending order of doc_id from part to part."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("place"))
+    docs = repeatable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).withColumn("place", F.monotonically_increasing_id())
     n_parts = min(MAX_PARTS, -(-docs.count() // part_rows)) or 1
     placed = docs.repartitionByRange(n_parts, "doc_id", "place").sortWithinPartitions("doc_id", "place").select(F.spark_partition_id().alias("part"), "doc_id", "text")
     (

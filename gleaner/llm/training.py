@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import pieces_of
+from gleaner.llm.common import dropped, landed, pieces_of
 
 #: Labelled documents that a classifier is fitted on at most, those with the least hash of doc_id: this bounds
 #: the driver's work and memory; scoring covers all documents.
@@ -67,9 +67,14 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, use: Column, featu
             found = pa.array([ids[a:z].tobytes() for a, z in zip(upto, upto[1:], strict=False)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), found], names=["doc_id", "y", "ids"])
 
-    found = texts.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, ids binary")
-    upto = F.sum(F.octet_length("ids")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "ids"))  # over SAMPLE_ROWS documents
-    got = found.select("*", upto.alias("upto")).filter(F.col("upto") <= 4 * SAMPLE_IDS).drop("upto").toArrow()
+    found = texts.select("doc_id", "text", "y").mapInArrow(run, "doc_id long, y int, ids binary").withColumn("row", F.monotonically_increasing_id())
+    held = landed(found, "sample")
+    # Which rows fit is told from their sizes alone: the ids of rows that don't are never brought together.
+    sizes = held.select("row", "doc_id", F.octet_length("ids").alias("size"), F.xxhash64("ids").alias("mark"))
+    upto = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "mark", "row"))  # over SAMPLE_ROWS documents
+    fits = sizes.select("row", upto.alias("upto")).filter(F.col("upto") <= 4 * SAMPLE_IDS).select("row")
+    got = held.join(F.broadcast(fits), "row", "left_semi").select("doc_id", "y", "ids").toArrow()
+    dropped(held)
     order = pc.sort_indices(got, [("doc_id", "ascending")]).to_numpy()
     y = got.column("y").to_numpy().astype(np.int64)[order]
     ids = [np.frombuffer(x.as_buffer(), "<u4") for x in got.column("ids")]  # in place: the sample is held once

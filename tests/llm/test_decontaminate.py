@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from gleaner.llm import decontaminate
 
@@ -47,10 +48,23 @@ def tables(rng):
     return docs, items
 
 
-@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_windows_of_many_items_aren_t_broadcast(spark, monkeypatch):
+    """A hundred windows, each of 2,000 items: few rows, many bytes."""
+    text = " ".join(f"w{i}" for i in range(109))
+    items = spark.range(2000).select(F.col("id").alias("item_id"), F.lit(text).alias("text"))
+    docs = spark.createDataFrame([(1, text), (2, "other")], "doc_id long, text string")
+    sent = []
+    monkeypatch.setattr(F, "broadcast", lambda df, own=F.broadcast: sent.append(df.columns) or own(df))
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 4_000_000)
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.decontaminate(docs, items).collect()}
+    assert got == {1: (109, 2000), 2: (0, 0)} and not any("items" in c for c in sent)
+
+
+@pytest.mark.parametrize("broadcast,size", [(100_000, 64_000_000), (0, 64_000_000), (100_000, 0)])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_report_against_brute_force(spark, monkeypatch, broadcast, seed):
+def test_report_against_brute_force(spark, monkeypatch, broadcast, size, seed):
     monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", broadcast)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", size)
     docs, items = tables(random.Random(seed))
     df = spark.createDataFrame([(d, t, 0, 0) for d, t in docs], "doc_id long, text string, key int, n_words int")
     bench = spark.createDataFrame([(i, t, "w") for i, t in items], "item_id long, text string, words string")

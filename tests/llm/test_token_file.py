@@ -111,3 +111,13 @@ def test_rows_of_one_id_go_to_several_parts(spark, tmp_path):
     rows = sorted(got.collect(), key=lambda r: r.start)
     assert [r.doc_id for r in rows] == [None] * 3900 + [*range(100)]
     assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:], strict=False))
+
+
+def test_input_of_a_shuffle_is_kept_first(spark):
+    from gleaner.llm.common import repeatable
+
+    scan = spark.range(100)
+    assert repeatable(scan) is scan
+    dealt = scan.repartition(3)
+    kept = repeatable(dealt)
+    assert kept is not dealt and "Exchange" not in kept._jdf.queryExecution().executedPlan().toString() and kept.count() == 100

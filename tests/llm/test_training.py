@@ -17,3 +17,17 @@ def test_ids_of_the_sample_are_bounded(spark, monkeypatch):
     labels = docs.select("doc_id", F.lit(1).alias("toxic"))
     ids, _ = training.labelled(docs, labels, "toxic", F.lit(True), lambda t: (np.arange(len(t) + 1) * 2, np.ones(2 * len(t), np.int64)))
     assert len(ids) == 3
+
+
+def test_ids_of_rows_that_don_t_fit_stay_where_they_are(spark, monkeypatch):
+    """What one task sorts has sizes, no ids."""
+    monkeypatch.setattr(training, "SAMPLE_IDS", 30)
+    kind, seen = type(spark.range(1)), []
+    own = kind.toArrow
+    monkeypatch.setattr(kind, "toArrow", lambda df: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or own(df))
+    docs = spark.range(20).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"))
+    ids, _ = training.labelled(docs, docs.select("doc_id", F.lit(1).alias("toxic")), "toxic", F.lit(True), lambda t: (np.arange(len(t) + 1) * 10, np.ones(10 * len(t), np.int64)))
+    assert len(ids) == 3
+    (plan,) = seen
+    sorted_rows = plan[plan.index("Window") :].split("\n")[1]  # what the window's only task gets
+    assert sorted_rows.lstrip("  :+-").startswith("Project") and "octet_length(ids" in sorted_rows and ", ids#" not in sorted_rows
