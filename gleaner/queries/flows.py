@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from gleaner.lineage import new_folder
 from gleaner.operators import live
 from gleaner.operators.stats import per_minute
-from gleaner.sources import nested, providers, search
+from gleaner.sinks import write_csv, write_json_array
+from gleaner.sources import directories, nested, providers, search
 from gleaner.state import RunState, run_plans
 from gleaner.streaming import accepting, running, stall
 
@@ -182,6 +183,45 @@ def resumed_plan_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.read("search_results", "location string, title string")
 
 
+@query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+def json_array_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers as one JSON array, joined of the tasks' parts, read back."""
+    path = new_folder(spark, "array")
+    own = _read(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    write_json_array(own.repartition(8), path, "s_suppkey")
+    return spark.read.schema(own.schema).option("multiLine", True).json(path)
+
+
+@query(
+    """SELECT c_mktsegment AS category, c_name AS company_name, 'info@' || c_custkey || '.example' AS email, 'https://' || c_custkey || '.example' AS website, 'list "' || c_nationkey || '", a' AS source_url,
+  '' AS page_title, 'business_public' AS consent_status, 'one; two' AS notes FROM customer"""
+)
+def csv_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers as leads in CSV files, read back."""
+    i = F.col("c_custkey").cast("string")
+    own = _read(spark, sf_dir, "customer").select(
+        F.col("c_mktsegment").alias("category"), F.col("c_name").alias("company_name"), F.concat(F.lit("info@"), i, F.lit(".example")).alias("email"), F.concat(F.lit("https://"), i, F.lit(".example")).alias("website"),
+        F.concat(F.lit('list "'), "c_nationkey", F.lit('", a')).alias("source_url"), F.lit("").alias("page_title"), F.lit("business_public").alias("consent_status"),
+        F.array(F.lit("one"), F.lit("two")).alias("notes"), F.current_timestamp().alias("discovered_at"),
+    )
+    path = new_folder(spark, "csv")
+    write_csv(own, path)
+    return spark.read.option("header", True).option("escape", '"').option("nullValue", "\0").option("emptyValue", "").csv(path).drop("discovered_at").na.fill("")
+
+
+@query(
+    """SELECT 'yelp' AS scraper_key, s_suppkey // 50 AS page, s_suppkey % 50 AS place, 'Wirt ' || s_suppkey AS name, 'https://www.yelp.de/biz/wirt-' || s_suppkey AS detail_url FROM supplier"""
+)
+def listing_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listing pages of fifty suppliers, whose rows a table function gives one by one."""
+    own = _read(spark, sf_dir, "supplier").select("s_suppkey", F.floor(F.col("s_suppkey") / 50).alias("page"))
+    link = F.struct("s_suppkey", F.concat(F.lit('<a href="/biz/wirt-'), "s_suppkey", F.lit('?osq=x">x</a>')).alias("t"))
+    pages = own.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(link)), lambda x: x["t"]), "").alias("html"))
+    pages = pages.select(F.lit("yelp").alias("scraper_key"), "page", F.concat(F.lit("list/"), "page").alias("url"), "html")
+    rows = directories.listed_rows(pages)
+    return rows.select("scraper_key", F.shiftright("ordinal", 32).alias("page"), F.col("ordinal").bitwiseAND(F.lit((1 << 32) - 1)).alias("place"), "name", "detail_url")
+
+
 @query("SELECT DISTINCT 'user' || user_id || '@' || event_type || '.example' AS email FROM events")
 def deduplicated_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of leads, one an address."""

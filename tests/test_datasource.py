@@ -22,6 +22,47 @@ def test_search_source(spark):
         spark.read.format("gleaner_search").load().collect()
 
 
+def logged(category, location, limit):
+    """Leaves a file for each location asked."""
+    from pathlib import Path
+
+    Path(category, location).write_text("asked")
+    yield {"url": f"https://{location}.example"}
+
+
+def test_filters_leave_out_locations(spark, tmp_path):
+    spark.dataSource.register(SearchSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        for k, (condition, want) in enumerate(
+            [("ordinal = 1000000", {"B"}), ("ordinal >= 1000000", {"B", "C"}), ("ordinal < 1000000", {"A"}), ("ordinal in (0, 2000000)", {"A", "B", "C"}), ("ordinal > 5000000", set()), ("title = ''", {"A", "B", "C"})]
+        ):
+            folder = tmp_path / str(k)
+            folder.mkdir()
+            read = spark.read.format("gleaner_search").option("search", "tests.test_datasource:logged").option("category", str(folder)).option("locations", "A;B;C").option("pushdown", "true").load()
+            rows = {r.url for r in read.filter(condition).collect()}
+            assert {p.name for p in folder.iterdir()} == want
+            assert rows == ({"https://A.example", "https://C.example"} if "in (" in condition else {f"https://{x}.example" for x in want})
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_a_stream_goes_on_with_new_locations(spark, tmp_path):
+    spark.dataSource.register(SearchSource)
+    for folder in ("asked", "again"):
+        (tmp_path / folder).mkdir()
+
+    def run(locations, folder):
+        read = spark.readStream.format("gleaner_search").option("search", "tests.test_datasource:logged").option("category", str(tmp_path / folder)).option("locations", locations)
+        q = read.load().writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+
+    run("A;B", "asked")
+    run("A;B;C;D", "again")
+    assert {p.name for p in (tmp_path / "asked").iterdir()} == {"A", "B"} and {p.name for p in (tmp_path / "again").iterdir()} == {"C", "D"}
+    assert sorted(r.url for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [f"https://{x}.example" for x in "ABCD"]
+
+
 def test_ledger_stream(spark, tmp_path):
     from gleaner.streaming import accepting
 

@@ -296,3 +296,38 @@ def test_a_stopped_plan_loop_ends_with_the_same_tables(spark, tmp_path, monkeypa
     assert calls[0] == ["p0", "p1"]
     fresh = RunState(spark, f"{tmp_path}/few")
     assert run_plans(fresh, plans, ["plan"], answer, at_once=1, enough=lambda n: n >= 3) == 2
+
+
+@pytest.mark.parametrize("rows,parts", [(0, 1), (1, 3), (25, 4)])
+def test_one_json_array_of_many_parts(spark, tmp_path, rows, parts):
+    from gleaner import sinks
+
+    data = [(i, f'quote " and é\n{i}' if i % 3 else None, [1, i]) for i in range(rows)]
+    df = spark.createDataFrame(data, "n long, t string, a array<long>").repartition(parts)
+    path = tmp_path / "leads.json"
+    sinks.write_json_array(df, str(path), "n")
+    assert json.loads(path.read_text()) == [{"n": n, "t": t, "a": a} for n, t, a in data]
+    sinks.write_json_array(df, str(path))  # replaces it
+    assert sorted(x["n"] for x in json.loads(path.read_text())) == list(range(rows))
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["leads.json"]
+
+
+def test_listing_rows_one_by_one(spark):
+    from gleaner.sources import directories
+
+    link = '<a href="/biz/wirt-{0}?osq=x">x</a>'
+    pages = [("yelp", "u1", "".join(link.format(i) for i in range(30_000)), 1), ("yelp", "u2", link.format("last"), 2), ("nowhere", "u3", "x", 1), ("wko", "u4", None, 1)]
+    df = spark.createDataFrame(pages, "scraper_key string, url string, html string, page int")
+    got = sorted((r.scraper_key, r.ordinal, r.detail_url, r.name) for r in directories.listed_rows(df).collect())
+    want = sorted((r.scraper_key, r.ordinal, r.detail_url, r.name) for r in directories.listings(df).collect())
+    assert got == want and len(got) == 30_001
+
+
+def test_ends_of_nothing_take_no_time():
+    import time
+
+    from gleaner.sources.directories import Document
+
+    began = time.process_time()
+    Document("<i>" * 30_000 + "</b>" * 30_000)
+    assert time.process_time() - began < 3
