@@ -115,6 +115,15 @@ def parse_page_of(pages: pd.Series, bases: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse_page(p or "", b or "") for p, b in zip(pages, bases, strict=True)], columns=["title", "links"])
 
 
+READ = T.StructType([*PAGE.fields, T.StructField("emails", T.ArrayType(T.StringType()))])
+
+
+@F.pandas_udf(READ)
+def read_page_of(pages: pd.Series, bases: pd.Series) -> pd.DataFrame:
+    """What a crawl wants of a page: title, contact links, addresses."""
+    return pd.DataFrame([(*parse_page(p or "", b or ""), page_emails(p or "")) for p, b in zip(pages, bases, strict=True)], columns=READ.names)
+
+
 @F.pandas_udf(T.StringType())
 def unescaped(values: pd.Series) -> pd.Series:
     return values.map(lambda v: html.unescape(v) if v and "&" in v else v)

@@ -1,7 +1,13 @@
-"""A crawl over landed page snapshots: per site a bounded frontier, run inside one grouped function."""
+"""A crawl over landed page snapshots.
+
+Each page that may be read is parsed once, where it lies, to what a crawl wants of it (title, contact links, addresses): html isn't shuffled.
+Rounds of joins, as many as pages may be visited, then find the pages that a site's frontier can come to: its results' pages and
+guesses, and the contact links of pages found so. These few meet their results in a grouped function that visits them in order.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
 from urllib.parse import urlsplit
 
 import pandas as pd
@@ -9,6 +15,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from gleaner.functions import html, urls
+from gleaner.lineage import settled
 from gleaner.sources.snapshots import permitted
 from gleaner.tables import CONTACT_PATHS, LANGUAGE_PREFIXES, ROLE_PREFIXES
 
@@ -41,7 +48,7 @@ def _guesses(url: str) -> list[str]:
     return [f"{base}{p}{path}" for p in prefixes for path in CONTACT_PATHS]
 
 
-def _visit(start: dict, snapshots: dict[str, tuple[str, str]], max_pages: int, include_personal: bool):
+def _visit(start: dict, snapshots: dict[str, tuple], max_pages: int, include_personal: bool):
     """(website, email, title) of a site's pages: contact links go before guesses; missing pages use up attempts, not pages."""
     queue = list(dict.fromkeys([start["site_url"], *_guesses(start["site_url"])]))
     attempts_left = max_pages + len(queue) - 1 + 2
@@ -57,13 +64,12 @@ def _visit(start: dict, snapshots: dict[str, tuple[str, str]], max_pages: int, i
         if url not in snapshots:
             continue
         fetched += 1
-        final_url, page = snapshots[url]
-        found, links = html.parse_page(page, final_url)
+        found, links, emails = snapshots[url]
         title = found or title
-        for email in html.page_emails(page):
+        for email in emails:
             if email not in mails and (include_personal or _status(email) == "business_public"):
                 mails.add(email)
-                yield final_url, email, title
+                yield url, email, title
         fresh = [x for x in links if x not in visited and x not in queue]
         queue[:0] = fresh
 
@@ -78,17 +84,47 @@ def _of_directory(start: dict, category: str, include_personal: bool) -> list[tu
     return [(category, source, (start["url"] or "").strip(), email, title, "", title, _status(email), [note], start["ordinal"])]
 
 
-def _reachable(starts: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """(site, page_url, html) of the snapshots that a site's frontier can come to: its results' pages, guesses, and any page's contact links.
+#: Rows of keys that are broadcast; longer tables are joined by a shuffle.
+SMALL = 100_000
 
-    A site of very many pages links to few contact pages, so this is what bounds a site's group.
-    """
+
+def _sent(keys: DataFrame) -> DataFrame:
+    """keys, kept, and broadcast if they are few."""
+    keys = settled(keys)
+    return F.broadcast(keys) if keys.count() <= SMALL else keys
+
+
+def _read_once(snapshots: DataFrame) -> DataFrame:
+    """(site, page_url, title, links, emails) of snapshots (site, page_url, html); of several snapshots of a page the least text is read."""
+    key = ["site", "page_url"]
+    several = settled(snapshots.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key))  # without html
+    one = snapshots
+    if not several.isEmpty():
+        several = _sent(several)
+        least = snapshots.join(several, key, "left_semi").groupBy(key).agg(F.min("html").alias("html"))
+        one = snapshots.join(several, key, "left_anti").unionByName(least)
+    return settled(one.select(*key, html.read_page_of("html", "page_url").alias("p")).select(*key, "p.*"))
+
+
+def _reachable(starts: DataFrame, read: DataFrame, max_pages: int) -> DataFrame:
+    """The pages that sites' frontiers can come to: the results' pages and guesses, and contact links of pages that were reached before."""
+    key = ["site", "page_url"]
     own = starts.filter("site_url <> ''")
     first = own.select("site", urls.strip_fragment(F.col("site_url")).alias("page_url"))
     guessed = own.select("site", F.explode(urls.guessed_contact_urls(F.col("site_url"))).alias("page_url"))
-    linked = snapshots.select("site", F.explode(html.parse_page_of("html", "page_url").getField("links")).alias("page_url"))
-    wanted = first.unionByName(guessed).unionByName(linked).distinct()
-    return snapshots.join(wanted, ["site", "page_url"], "left_semi")
+    fresh = _sent(first.unionByName(guessed).distinct())
+    seen, parts = fresh, []
+    for left in range(max_pages - 1, -1, -1):
+        found = settled(read.join(fresh, key, "left_semi"))
+        parts.append(found)
+        if not left:
+            break
+        fresh = settled(found.select("site", F.explode("links").alias("page_url")).distinct().join(seen, key, "left_anti"))
+        if fresh.isEmpty():
+            break
+        seen = seen.unionByName(fresh)
+        fresh = _sent(fresh)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def crawl(results: DataFrame, pages: DataFrame, robots: DataFrame, category: str, max_pages: int = 5, include_personal: bool = False) -> DataFrame:
@@ -104,10 +140,11 @@ def crawl(results: DataFrame, pages: DataFrame, robots: DataFrame, category: str
     sites = starts.select("site").distinct()
     own = pages.withColumn("site", urls.host(F.col("url"))).join(sites, "site", "left_semi")
     snapshots = permitted(own, robots).select("site", urls.strip_fragment(F.col("url")).alias("page_url"), F.coalesce("html", F.lit("")).alias("html"))
-    snapshots = _reachable(starts, snapshots).groupBy("site", "page_url").agg(F.min("html").alias("html"))
+    starts = settled(starts)
+    snapshots = _reachable(starts, _read_once(snapshots), max_pages) if max_pages > 0 else _read_once(snapshots).limit(0)
 
     def run(key: tuple, own: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        seen = {u: (u, h) for u, h in zip(found["page_url"], found["html"], strict=True)}
+        seen = {u: (t, [*k], [*e]) for u, t, k, e in zip(found["page_url"], found["title"], found["links"], found["emails"], strict=True)}
         rows: list[tuple] = []
         for start in own.sort_values("ordinal").to_dict("records"):
             leads = []

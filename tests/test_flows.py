@@ -331,3 +331,20 @@ def test_ends_of_nothing_take_no_time():
     began = time.process_time()
     Document("<i>" * 30_000 + "</b>" * 30_000)
     assert time.process_time() - began < 3
+
+
+def test_a_large_host_ships_what_is_reached(spark, monkeypatch):
+    """Only reached pages meet their result, whatever the host holds; a page three links away is still found."""
+    from gleaner.operators import crawl
+
+    chain = [("https://big.example/", '<a href="/kontakt/a">k</a>'), ("https://big.example/kontakt/a", '<a href="/kontakt/b">k</a>'), ("https://big.example/kontakt/b", "info@big.example")]
+    other = [(f"https://big.example/p{i}", f'<a href="/kontakt/x{i}">k</a> info@p{i}.example') for i in range(3000)]
+    pages = spark.createDataFrame([*chain, chain[2], *other], "url string, html string")
+    results = spark.createDataFrame([("https://big.example/", "Big", "", "", "", 0), ("", "None", "Adresse", "info@dir.example", "src", 1)], "url string, title string, snippet string, directory_email string, directory_source_url string, ordinal int")
+    sizes = []
+    own = crawl._reachable
+    monkeypatch.setattr(crawl, "_reachable", lambda *a: sizes.append((out := own(*a)).count()) or out)
+    robots = spark.createDataFrame([], "host string, text string")
+    got = crawl.crawl(results, pages, robots, "c").collect()
+    assert sizes == [3] and sorted((r.email, r.website, r.ordinal) for r in got) == [("info@big.example", "https://big.example/kontakt/b", 0), ("info@dir.example", "", 1)]
+    assert [r.email for r in crawl.crawl(results, pages, robots, "c", max_pages=2).collect()] == ["info@dir.example"]
