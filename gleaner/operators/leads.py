@@ -9,7 +9,7 @@ from gleaner.functions import text, urls
 from gleaner.schema import CSV_FIELDS
 
 #: Places of addresses in one document; an ordinal is the document's id times this, plus the place.
-PLACES = 100_000
+PLACES = 1 << 24
 
 
 def leads_of_texts(docs: DataFrame, strict: bool = False) -> DataFrame:
