@@ -6,7 +6,9 @@ pair at the threshold is beyond it once in some ten million times. Bits of so wi
 are shingles: the shingles of all texts have one order, and two sets this similar share one of the first
 n - ceil(4n/5) + 1 of each, so a text lies under these shingles' nodes alone. Any order gives the same pairs; here shingles
 that are frequent in a bounded sample come last, so that common phrases bring few texts together. Nodes with the same texts are
-one node; a node of more than NODE_ROWS texts is searched as pairs of blocks. Below, texts are sorted
+one node. A node of more than NODE_ROWS texts is searched in blocks, each in itself, and then a text of each group that the blocks have;
+texts that aren't joined to the node's largest group by that are searched with all its blocks. So copies of one text, however many, cost a row each, and
+only a node of many different texts costs pairs of blocks. Below, texts are sorted
 by Gray rank and parents with shared bits are left as soon as the differences exceed RADIUS (``simhash.search``), which gives a
 forest and not pairs.
 
@@ -230,20 +232,48 @@ def _compared(rows: DataFrame) -> DataFrame:
     return placed.mapInArrow(_alike, _PAIR)
 
 
+def _searched(dealt: DataFrame, facts: DataFrame) -> DataFrame:
+    """dealt (sig, i, j, node) -> edges of a forest of each group of them."""
+    own = dealt.join(facts, "node").select("sig", "i", "j", "node", "n", *_PRINT)
+    return own.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j").mapInArrow(_candidates, _PAIR)
+
+
 def _candidate_links(prints: DataFrame, facts: DataFrame) -> DataFrame:
     """Edges (a, b) of nodes: a forest of each node of the index."""
     keys = prints.select("node", "keys").dropDuplicates(["node"]).select(F.explode("keys").alias("key"), "node")
     size = keys.groupBy("key").agg(F.count("*").alias("many"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
     size = size.filter("many > 1").select("key", "many", F.xxhash64("many", "x", "y").alias("sig"))  # equal for shingles of the same texts
-    met = keys.join(size, "key").select("sig", "many", "node").distinct()
-    blocks = F.ceil(F.col("many") / NODE_ROWS)
-    block = F.pmod(F.xxhash64("node", "sig"), blocks)
-    # A block's own pairs are looked at wherever it meets another.
-    other = F.when(blocks == 1, F.array(block)).otherwise(F.filter(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda x: x != block))
-    dealt = met.select("sig", "node", block.alias("own"), F.explode(other).alias("other"))
-    dealt = dealt.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node").join(facts, "node")
-    dealt = dealt.select("sig", "i", "j", "node", "n", *_PRINT).repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
-    return dealt.mapInArrow(_candidates, _PAIR).distinct()
+    met = keys.join(size, "key").select("sig", F.ceil(F.col("many") / NODE_ROWS).alias("blocks"), "node").distinct()
+    block = F.pmod(F.xxhash64("node", "sig"), "blocks")
+    large = checkpointed(size.filter(F.col("many") > NODE_ROWS).select("sig").distinct())
+    if large.isEmpty():
+        return _searched(met.select("sig", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "node"), facts).distinct()
+    met = checkpointed(met.withColumn("block", block))
+    first = checkpointed(_searched(met.select("sig", F.col("block").alias("i"), F.col("block").alias("j"), "node"), facts).distinct())
+    # Blocks of one family of copies meet through a text of each group that a block has.
+    hot = met.join(large, "sig", "left_semi")
+
+    def rooted(edges: DataFrame) -> DataFrame:
+        root = components(edges).select(F.col("a").alias("node"), F.col("b").alias("root"))
+        return checkpointed(hot.join(root, "node", "left").withColumn("root", F.coalesce("root", "node")))
+
+    heads = rooted(first).groupBy("sig", "root").agg(F.min("node").alias("node"))
+    heads = heads.join(heads.groupBy("sig").agg(F.ceil(F.count("*") / NODE_ROWS).alias("blocks")), "sig")
+    heads = heads.select("sig", block.alias("i"), block.alias("j"), "node")
+    first = checkpointed(first.unionByName(_searched(heads, facts)).distinct())
+    # Whoever isn't of the largest group by now is compared with all blocks; two of the largest group are joined already.
+    own = rooted(first)
+    main = own.groupBy("sig", "root").count().groupBy("sig").agg(F.max(F.struct("count", "root")).alias("main")).select("sig", F.col("main.root").alias("main"))
+    own = own.join(main, "sig")
+    askers = own.filter("root <> main").groupBy("sig").agg(F.ceil(F.count("*") / NODE_ROWS).alias("askers"))
+    own = own.join(askers, "sig")
+    at = F.pmod(F.xxhash64("node", "sig", F.lit(1)), "askers")
+    up_to = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    as_other = F.transform(up_to("askers"), lambda x: F.struct(x.alias("i"), F.col("block").alias("j")))
+    as_asker = F.transform(up_to("blocks"), lambda x: F.struct(at.alias("i"), x.alias("j")))
+    places = F.array_distinct(F.concat(as_other, F.when(F.col("root") != F.col("main"), as_asker).otherwise(F.array().cast("array<struct<i:bigint,j:bigint>>"))))
+    second = own.select("sig", F.explode(places).alias("at"), "node").select("sig", "at.*", "node")
+    return first.unionByName(_searched(second, facts)).distinct()
 
 
 def _sets(docs: DataFrame, prints: DataFrame, clusters: DataFrame) -> DataFrame:
