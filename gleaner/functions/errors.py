@@ -24,3 +24,14 @@ def is_retryable_search_error(message: Column) -> Column:
 
 def is_transient_directory_error(message: Column) -> Column:
     return F.lower(message).rlike("|".join(DIRECTORY_HINTS))
+
+
+#: What to do about a certificate that can't be checked.
+CERTIFICATE_HELP = "The certificate can't be checked: update the machine's certificates."
+
+
+def formatted(status: Column, reason: Column, message: Column) -> Column:
+    """A fetch log's failure as one text: an answer's state and reason, else the reason (with what helps, for a certificate's), else the message."""
+    certificate = F.lower(reason).rlike("ssl|certificate")
+    told = F.when(certificate, F.concat(reason, F.lit(". "), F.lit(CERTIFICATE_HELP))).otherwise(reason)
+    return F.coalesce(F.when(status.isNotNull(), F.concat(F.lit("HTTP Error "), status.cast("string"), F.lit(": "), F.coalesce(reason, F.lit("")))), told, message, F.lit(""))

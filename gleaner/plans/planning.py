@@ -71,6 +71,24 @@ def per_domain_limit(limit: int, domains: int = len(tables.SOURCE_DOMAINS)) -> i
     return max(1, -(-limit // domains))
 
 
+def page_depth_of(plans: Column, mass: Column) -> Column:
+    return F.when(~mass | (plans <= 30), 90).when(plans <= 150, 40).otherwise(10)
+
+
+def places_per_city_of(limit: Column, plans: Column, default: int = 25, most: int = 60) -> Column:
+    return F.when(plans <= 0, default).otherwise(F.greatest(F.lit(10), F.least(F.lit(most), F.floor(limit / plans) + 5))).cast("int")
+
+
+def per_location_limit_of(limit: Column, locations: Column, floor: int = 100) -> Column:
+    return F.least(limit, F.greatest(F.lit(floor), F.ceil(limit / F.greatest(F.lit(1), locations)))).cast("int")
+
+
+def per_source_limit_of(limit: Column, locations: Column, sources: Column, cap: int | None = 120, floor: int = 10) -> Column:
+    each = F.greatest(F.lit(1), F.ceil(limit / F.greatest(F.lit(1), locations)))
+    share = F.greatest(F.lit(floor), F.ceil(each / F.greatest(F.lit(1), sources)))
+    return (share if cap is None else F.least(share, F.lit(cap))).cast("int")
+
+
 @dataclass(frozen=True)
 class Caps:
     """Caps of a directory run: rows per source, detail pages, listing pages."""

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner import sinks
-from gleaner.functions import text, urls
+from gleaner.functions import errors, text, urls
 from gleaner.lineage import new_folder
 from gleaner.operators import accept, crawl
+from gleaner.plans import planning
 from gleaner.queries import core
 from gleaner.queries.core import _read
 from gleaner.queries.fixtures import _each, _over
+from gleaner.schema import label
 from gleaner.sources import providers, search, snapshots
 from gleaner.state import RunState, baseline
 from gleaner.streaming import accepting, running
@@ -164,3 +166,45 @@ def csv_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         accepting.write_stream(leads, f"{path}/rows", f"{path}/log").awaitTermination()
     return spark.read.option("header", True).csv(f"{path}/rows").select("category", "email")
+
+
+@query(
+    """SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'https://s' || s_suppkey || '.example' WHEN 1 THEN 'info@s' || s_suppkey || '.example' WHEN 2 THEN s_name WHEN 3 THEN 'list' || s_nationkey ELSE 'Branchenverzeichnis' END AS label FROM supplier"""
+)
+def result_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What results are called, of which each fifth has an address, a directory address, a title, a listing, or nothing."""
+    way = F.col("s_suppkey") % 5
+    i = _i("s_suppkey")
+    own = _read(spark, sf_dir, "supplier").select(
+        "s_suppkey", F.when(way == 0, F.concat(F.lit("https://s"), i, F.lit(".example"))).otherwise(" ").alias("url"), F.when(way <= 1, F.concat(F.lit("info@s"), i, F.lit(".example"))).otherwise("").alias("directory_email"),
+        F.when(way <= 2, F.col("s_name")).alias("title"), F.when(way <= 3, F.concat(F.lit("list"), _i("s_nationkey"))).otherwise("").alias("directory_source_url"),
+    )
+    return own.select("s_suppkey", label().alias("label"))
+
+
+@query(
+    f"""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'HTTP Error ' || (500 + user_id % 5) || ': ' || event_type WHEN 1 THEN 'SSL: ' || event_type || '. {errors.CERTIFICATE_HELP.replace("'", "''")}'
+  WHEN 2 THEN 'reset by ' || event_type ELSE props END AS message FROM events"""
+)
+def formatted_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures of a fetch log: answers, certificates, other reasons, bare messages."""
+    way = F.col("event_id") % 4
+    reason = F.when(way == 0, F.col("event_type")).when(way == 1, F.concat(F.lit("SSL: "), "event_type")).when(way == 2, F.concat(F.lit("reset by "), "event_type"))
+    status = F.when(way == 0, 500 + F.col("user_id") % 5)
+    return _read(spark, sf_dir, "events").select("event_id", errors.formatted(status, reason, F.col("props")).alias("message"))
+
+
+@query(
+    """SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 OR c_custkey % 300 <= 30 THEN 90 WHEN c_custkey % 300 <= 150 THEN 40 ELSE 10 END AS depth,
+  CASE WHEN c_custkey % 300 = 0 THEN 25 ELSE greatest(10, least(60, c_custkey * 7 // (c_custkey % 300) + 5)) END AS places,
+  least(c_custkey * 7, greatest(100, CAST(ceil(c_custkey * 7 / greatest(1, c_custkey % 300)) AS INT))) AS per_location,
+  least(120, greatest(10, CAST(ceil(greatest(1, ceil(c_custkey * 7 / greatest(1, c_custkey % 300))) / greatest(1, c_custkey % 9)) AS INT))) AS per_source FROM customer"""
+)
+def limit_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How limits are shared out: depths by plans, places by city, rows by location and by source."""
+    n, limit = F.col("c_custkey") % 300, F.col("c_custkey") * 7
+    own = _read(spark, sf_dir, "customer")
+    return own.select(
+        "c_custkey", planning.page_depth_of(n, F.col("c_custkey") % 2 == 1).alias("depth"), planning.places_per_city_of(limit, n).alias("places"),
+        planning.per_location_limit_of(limit, n).alias("per_location"), planning.per_source_limit_of(limit, n, F.col("c_custkey") % 9).alias("per_source"),
+    )

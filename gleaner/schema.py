@@ -26,3 +26,9 @@ def as_results(df: DataFrame) -> DataFrame:
     own = [text(f).alias(f) if f in df.columns else F.lit("").alias(f) for f in RESULT_FIELDS]
     order = [F.col(c) if c in df.columns else F.lit(0).cast(t).alias(c) for c, t in (("source_rank", "int"), ("ordinal", "long"))]
     return df.select(*own, *order)
+
+
+def label() -> Column:
+    """What a search result is called where people read of it: its address, its directory address, its title, or where it was listed."""
+    own = F.coalesce(*(F.when(F.trim(text(c)) != "", F.col(c)) for c in ("url", "directory_email")))
+    return F.coalesce(own, *(F.nullif(text(c), F.lit("")) for c in ("title", "directory_source_url")), F.lit("Branchenverzeichnis"))
