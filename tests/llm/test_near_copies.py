@@ -71,25 +71,3 @@ def test_null_and_repeated_ids(spark):
     rows = [(1, a), (None, a), (None, a.replace("w", "W") + " more"), (1, b), (2, b), (None, c), (None, c), (None, c + " more"), (5, d), (5, d)]
     got = [tuple(r) for r in near_copies.representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
     assert len(got) == 4 and {(1, a), (1, b), (5, d)} < set(got) and {(i, t[: len(c)]) for i, t in got if i is None} == {(None, c)}
-
-
-def test_a_family_of_copies_costs_a_row_each(spark, monkeypatch):
-    """Copies of one text with a word changed, over many blocks: rows dealt grow with them, not with their pairs."""
-    from pyspark.sql import functions as F
-
-    rng = random.Random(6)
-    base = ["w" + str(rng.randrange(10**6)) for _ in range(200)]
-    rows = []
-    for i in range(600):
-        words = list(base)
-        words[rng.randrange(200)] = f"x{i}"
-        rows.append((i, " ".join(words)))
-    dealt = []
-    own = near_copies._searched
-    monkeypatch.setattr(near_copies, "NODE_ROWS", 20)
-    monkeypatch.setattr(near_copies, "_searched", lambda d, f: dealt.append(d.count()) or own(d, f))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert [r.doc_id for r in near_copies.representatives(docs).collect()] == [0]
-    prints = near_copies._prints(docs)
-    under = prints.select(F.explode("keys").alias("key"), "node").count()
-    assert sum(dealt) < 2.5 * under  # all pairs of 30 blocks would be ten times as many and more
