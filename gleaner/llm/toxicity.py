@@ -9,8 +9,9 @@ over the kept terms of a document, so that a pair, such as an insult and the men
 its parts don't. Kept are the terms that the sample ties to either label by themselves (log-likelihood ratio over MIN_RATIO), and,
 since a pair may tell what neither part does, words of pairs that the sample ties to a label together. A pair's
 measure is the sum over documents of the products of three differences from the mean, the label's and both words', squared, over the sum of these products'
-squares; it counts above MIN_PAIR and twice the logarithm of the number of pairs, which are all pairs of words that have as many documents (or are missing from as many): others
-can't reach it. Other terms have
+squares, with means of documents of about as many terms (LENGTHS groups), as long documents hold more words of any kind; it counts above MIN_PAIR and twice the logarithm of the number of pairs, which are all pairs of words that have as many documents (or are missing from as many): others
+can't reach it. Of these count the pairs that tell more than their words do one by one (the interaction of their log odds, squared and over its variance, above MIN_ODDS): words
+that only go together, as those of a language, don't. Other terms have
 weight zero. The machine is fitted by AdaGrad on the logistic loss with L2 penalties; the score is its
 logistic. Scoring is one pass without a shuffle; the kept terms (MAX_TERMS at most of either kind) go to the tasks.
 
@@ -38,6 +39,8 @@ BEGINNINGS = (4, 5, 6, 7)
 SHARED = (2, 3)
 MIN_RATIO = 12.0
 MIN_PAIR = 24.0
+MIN_ODDS = 16.0
+LENGTHS = 8
 #: Words whose pairs with others are measured at once, and of these others.
 PAIRS_AT_ONCE = 512, 2048
 MAX_TERMS = 20_000
@@ -124,9 +127,9 @@ def associated(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return np.sort(terms[best[ratio[best] > MIN_RATIO]])
 
 
-def interacting(rows: list[np.ndarray], left: np.ndarray) -> np.ndarray:
-    """Words whose pairs tell ``left``, the labels' differences from their mean; the most telling MAX_TERMS."""
-    n = len(left)
+def interacting(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Words whose pairs tell the labels; the most telling MAX_TERMS."""
+    n = len(y)
     of = _documents_of(rows)
     of = np.minimum(of, n - of)
     terms = np.flatnonzero((of >= MIN_PAIR) & (np.arange(len(of)) % 2 == 0))
@@ -134,37 +137,57 @@ def interacting(rows: list[np.ndarray], left: np.ndarray) -> np.ndarray:
     terms = terms[of[terms] >= least]
     place = np.full(1 << BITS, -1, np.int32)
     place[terms] = np.arange(len(terms))
-    size = [len(r) for r in rows]
+    size = np.array([len(r) for r in rows], dtype=np.int64)
     term = place[np.concatenate([np.empty(0, np.int64), *rows]).astype(np.int64)]
     doc = np.repeat(np.arange(n), size)[term >= 0]
     term = term[term >= 0]
-    order = np.argsort(term, kind="stable")
-    doc, term = doc[order], term[order]
-    upto = np.searchsorted(term, np.arange(len(terms) + 1))
-    share = np.diff(upto) / n
-    weights = left, left * left
-    own = [np.bincount(term, weights=w[doc], minlength=len(terms)) for w in weights]  # sums over a word's documents
+    groups = []  # of documents of about one length: how many, where each word's begin, and these, and the labels
+    for docs in np.array_split(np.argsort(size, kind="stable"), max(1, min(LENGTHS, n // 500))):
+        if not len(docs):
+            continue
+        at = np.full(n, -1)
+        at[docs] = np.arange(len(docs))
+        own = np.flatnonzero(at[doc] >= 0)
+        own = own[np.argsort(term[own], kind="stable")]
+        groups.append((len(docs), np.searchsorted(term[own], np.arange(len(terms) + 1)), at[doc[own]], y[docs].astype(float)))
     best = np.zeros(len(terms))
-
-    def has(lo: int, hi: int) -> np.ndarray:
-        out = np.zeros((n, hi - lo), np.float32)
-        out[doc[upto[lo] : upto[hi]], term[upto[lo] : upto[hi]] - lo] = 1
-        return out
-
     few, many = PAIRS_AT_ONCE
     for lo in range(0, len(terms), many):
         hi = min(lo + many, len(terms))
-        those = has(lo, hi)
-        q, t = share[lo:hi], 1 - 2 * share[lo:hi]
         for at in range(0, hi, few):  # pairs of words before hi: each once, but for those of this block
             end = min(at + few, hi)
-            these = has(at, end)
-            p, r = share[at:end, None], 1 - 2 * share[at:end, None]
-            both = [((these * w.astype(np.float32)[:, None]).T @ those).astype(float) for w in weights]
-            # A word's difference from its mean p is 1 - p or -p, and its square is (1 - 2 p) where the word is, and p * p.
-            total = both[0] - p * own[0][lo:hi] - q * own[0][at:end, None] + p * q * weights[0].sum()
-            square = r * t * both[1] + r * q * q * own[1][at:end, None] + p * p * t * own[1][lo:hi] + (p * q) ** 2 * weights[1].sum()
+            shape = end - at, hi - lo
+            total, square = np.zeros(shape), np.zeros(shape)
+            cells = [[np.zeros(shape), np.zeros((end - at, 1)), np.zeros(hi - lo), 0.0] for _ in (0, 1)]  # by label: documents with both, the one, the other, any
+            for count, upto, held, label in groups:
+
+                def has(a: int, z: int) -> np.ndarray:
+                    out = np.zeros((count, z - a), np.float32)  # noqa: B023
+                    out[held[upto[a] : upto[z]], np.repeat(np.arange(z - a), np.diff(upto[a : z + 1]))] = 1  # noqa: B023
+                    return out
+
+                these, those = has(at, end), has(lo, hi)
+                p, q = these.mean(axis=0, dtype=float)[:, None], those.mean(axis=0, dtype=float)
+                sums = []
+                for k, w in enumerate((1 - label, label)):
+                    w32 = w.astype(np.float32)
+                    sums.append([((these * w32[:, None]).T @ those).astype(float), (w32 @ these).astype(float)[:, None], (w32 @ those).astype(float), float(w.sum())])
+                    for sum_, own in zip(range(4), sums[-1], strict=True):
+                        cells[k][sum_] = cells[k][sum_] + own
+                rest = label.mean()  # a document's difference from it is 1 - rest or -rest
+                for out, (w0, w1) in ((total, (-rest, 1 - rest)), (square, (rest**2, (1 - rest) ** 2))):
+                    both, a, b, s = (w0 * x + w1 * y1 for x, y1 in zip(*sums, strict=True))
+                    # A word's difference from its mean p is 1 - p or -p, and its square is (1 - 2 p) where the word is, and p * p.
+                    r, t, u, v = (1, 1, -p, -q) if out is total else (1 - 2 * p, 1 - 2 * q, p * p, q * q)
+                    out += r * t * both + r * v * a + u * t * b + u * v * s
             found = total * total / np.maximum(square, 1e-9)
+            odds, spread = np.zeros(shape), np.zeros(shape)
+            for k, sign in ((1, 1), (0, -1)):
+                both, a, b, s = cells[k]
+                for cell, turn in ((both, 1), (a - both, -1), (b - both, -1), (s - a - b + both, 1)):
+                    odds += sign * turn * np.log(cell + 0.5)
+                    spread += 1 / (cell + 0.5)
+            found[odds * odds < MIN_ODDS * spread] = 0
             found[np.arange(at, end)[:, None] == np.arange(lo, hi)] = 0
             best[at:end] = np.maximum(best[at:end], found.max(axis=1))
             best[lo:hi] = np.maximum(best[lo:hi], found.max(axis=0))
@@ -214,7 +237,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Machine:
     n1 = int(y.sum()) if len(y) else 0
     if not n1 or n1 == len(y):
         return Machine(np.empty(0, np.int64), 40.0 if n1 else -40.0)
-    m = Machine(np.union1d(associated(rows, y), interacting(rows, y - y.mean())), float(np.log(n1 / (len(y) - n1))))
+    m = Machine(np.union1d(associated(rows, y), interacting(rows, y)), float(np.log(n1 / (len(y) - n1))))
     if not len(m.terms):
         return m
     kept = np.zeros(1 << BITS, bool)

@@ -61,7 +61,7 @@ def test_terms_that_tell_nothing_by_themselves():
     texts = [t for _, t, _ in corpus(rng, 1500)]
     y = np.array([("grobnik" in t) == ("martians" in t) for t in texts]).astype(np.int64)
     rows = rows_of(texts)
-    assert not len(toxicity.associated(rows, y)) and {toxicity._hash("grobnik"), toxicity._hash("martians")} <= {*toxicity.interacting(rows, y - y.mean()).tolist()}
+    assert not len(toxicity.associated(rows, y)) and {toxicity._hash("grobnik"), toxicity._hash("martians")} <= {*toxicity.interacting(rows, y).tolist()}
     both, insult, group, none = toxicity.fit(rows, y).scores(pa.array(["a grobnik for Martians", "a grobnik for the", "on the martians", "on the"]))
     assert both > 0.8 and insult < 0.2 and group < 0.2 and none > 0.7
 
@@ -77,11 +77,18 @@ def test_pairs_are_measured_as_by_counting(monkeypatch, at_once):
     def measure(i, j):
         p, q = (sum(t in r for r in rows) / len(rows) for t in (i, j))
         each = [s * ((i in r) - p) * ((j in r) - q) for r, s in zip(rows, left, strict=True)]
-        return sum(each) ** 2 / sum(x * x for x in each)
+        odds = spread = 0.0
+        for label, sign in ((1, 1), (0, -1)):
+            for a in (True, False):
+                for b in (True, False):
+                    n = sum(1 for r, c in zip(rows, y, strict=True) if c == label and (i in r) == a and (j in r) == b) + 0.5
+                    odds += sign * (1 if a == b else -1) * math.log(n)
+                    spread += 1 / n
+        return sum(each) ** 2 / sum(x * x for x in each) if odds * odds >= toxicity.MIN_ODDS * spread else 0
 
     least = toxicity.MIN_PAIR + 2 * math.log(28)
     want = [i for i in range(0, 16, 2) if max(measure(i, j) for j in range(0, 16, 2) if j != i) > least]
-    assert toxicity.interacting(rows, left).tolist() == want and {0, 2} <= set(want)
+    assert toxicity.interacting(rows, y).tolist() == want and {0, 2} <= set(want)
 
 
 @pytest.mark.parametrize("fillers,filler,share", [(50, 0.4, 1.0), (2500, 0.4, 1.0), (2500, 0.15, 0.1)])
