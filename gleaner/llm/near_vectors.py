@@ -43,6 +43,8 @@ PROBES, MORE = 16, 8
 NODE = 4096
 #: Vectors and codes that a block of a cell has, about, and codes of it that are looked at in a step.
 LEFT, RIGHT, STEP = 4096, 16_384, 2048
+#: Vectors whose cells are found at once.
+DEALT = 512
 #: Standard deviations of the estimate's error.
 BOUND = 5.0
 #: Rows of a table that is broadcast; a longer one is joined by a shuffle.
@@ -96,6 +98,8 @@ def kept(r: np.ndarray, code: np.ndarray, factor: np.ndarray, cosine: float = CO
 def cells(unit: np.ndarray, levels: int, first: np.ndarray) -> np.ndarray:
     """Of each direction (first: turned by rotation 0), its cells from the home on: those whose entries have the greatest sum."""
     n, w = first.shape
+    if n > DEALT:
+        return np.concatenate([cells(unit[lo : lo + DEALT], levels, first[lo : lo + DEALT]) for lo in range(0, n, DEALT)])
     key, total = np.zeros((n, 1), np.int64), np.zeros((n, 1))
     for k in range(levels):
         probes = min(PROBES * MORE**k, (2 * w) ** (k + 1))
@@ -151,7 +155,7 @@ def _met(distinct: DataFrame, cosine: float) -> DataFrame:
 
     def deal(full: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in (batch.slice(lo, 2 * DEALT) for batch in batches for lo in range(0, len(batch), 2 * DEALT)):
                 levels = b.column("levels").to_numpy()
                 for rows, x in by_length(b.column("v")):
                     for level in np.unique(levels[rows]).tolist():

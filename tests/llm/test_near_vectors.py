@@ -67,6 +67,7 @@ def test_blocks_and_further_rotations(spark, monkeypatch):
     monkeypatch.setattr(nv, "RIGHT", 11)
     monkeypatch.setattr(nv, "SMALL", 0)
     monkeypatch.setattr(nv, "STEP", 4)
+    monkeypatch.setattr(nv, "DEALT", 9)
     monkeypatch.setattr(nv, "PAIRS", 13)
     rng = np.random.default_rng(5)
     rows = [(i, v, 0) for i, v in enumerate([*clustered(rng, 2, 60, 64, 0.45), *clustered(rng, 30, 2, 64, 0.2)])]
