@@ -57,7 +57,7 @@ def term_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"SELECT DISTINCT '@mail' || (c_custkey % 40) || '.example.com' AS entry FROM customer WHERE {_HELD}")
-def opt_out_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+def suppression_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _lines(spark, sf_dir, F.concat(F.lit("@Mail"), (F.col("c_custkey") % 40).cast("string"), F.lit(".EXAMPLE.com")))
     return accept.lines(spark.read.text(path))
 
