@@ -36,6 +36,19 @@ def test_url_rules(spark):
     assert column(spark, ["https://a.de/EN/x", "https://a.de/xy", "nothing"], lambda c: F.size(urls.guessed_contact_urls(c))) == [18, 9, 0]
 
 
+def test_addresses_are_as_the_sql_finds_them(spark):
+    """Letters beyond ASCII end words, no-break spaces aren't spaces, and cases fold, as in the SQL's engine."""
+    import duckdb
+
+    texts = ["ihr at haen.\nEnödf", "ópf.@thened.therator", "éa.b@c.de_x", "a@b.cd-e@f.gh", "a@b.cd.e@f.gh", "x\u00a0@ b.de", "\u017fa@b.de\u017f", "max@\u212a.com1", "a\u000b@b.de", "._a@b.de9", "m_%@x.co.é"]
+    sql = f"SELECT regexp_extract_all(?, '{text.EMAIL_PATTERN}', 0, 'i')"
+    want = [duckdb.execute(sql, [t]).fetchone()[0] for t in texts]
+    assert want[:2] == [["ihr at haen.\nEn"], ["pf.@thened.therator"]]
+    assert column(spark, texts, lambda c: F.regexp_extract_all(c, F.lit(text.RE2_EMAIL), F.lit(0))) == want
+    assert [html.page_emails(t) for t in texts] == [sorted({html.clean_email(m) for m in w}) for w in want]
+    assert column(spark, texts[:2], text.emails) == [["ihr@haen.en"], ["pf.@thened.therator"]]
+
+
 def test_text_rules(spark):
     mails = column(spark, ["Max [at] x (dot) de, <B@y.com>. logo@2x.png b@Y.com", "", "a @ b.de"], text.emails)
     assert mails == [["b@y.com", "max@x.de"], [], ["a@b.de"]]
