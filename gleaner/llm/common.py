@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -96,3 +97,11 @@ def pieces_of(batches: Iterator[pa.RecordBatch], text: int | str, most: int = 2_
             end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, side="right")))
             yield b.slice(at, end - at)
             at = end
+
+
+def trimmed() -> None:
+    """Hands the memory of freed arrays back to the system: the C library keeps small ones', and the driver's process lives on."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass

@@ -26,6 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.common import trimmed
 from gleaner.llm.training import distinct, fold, grouped, labelled, scored, words_of
 
 BITS = 18
@@ -192,7 +193,9 @@ def fit(rows: list[np.ndarray], y: np.ndarray, seed: int = 11) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, use: Column) -> Model:
     """A model fitted to the bounded sample of labelled documents where ``use`` holds."""
-    return fit(*labelled(docs, labels, "quality", use, Grams()))
+    found = fit(*labelled(docs, labels, "quality", use, Grams()))
+    trimmed()
+    return found
 
 
 def with_scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

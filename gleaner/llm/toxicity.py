@@ -31,6 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.common import trimmed
 from gleaner.llm.training import distinct, fold, grouped, labelled, scored, words_of
 
 BITS = 22
@@ -274,7 +275,9 @@ def fit(rows: list[np.ndarray], y: np.ndarray, seed: int = 7) -> Machine:
 
 def train(docs: DataFrame, labels: DataFrame, use: Column) -> Machine:
     """A machine fitted to the bounded sample of labelled documents where ``use`` holds."""
-    return fit(*labelled(docs, labels, "toxic", use, Terms()))
+    found = fit(*labelled(docs, labels, "toxic", use, Terms()))
+    trimmed()
+    return found
 
 
 def with_scores(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:

@@ -1,7 +1,10 @@
+import re
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from gleaner.llm import training
+from gleaner.llm import quality, toxicity, training
 
 
 def test_labels_of_other_documents_use_up_no_sample(spark):
@@ -31,3 +34,25 @@ def test_ids_of_rows_that_don_t_fit_stay_where_they_are(spark, monkeypatch):
     (plan,) = seen
     sorted_rows = plan[plan.index("Window") :].split("\n")[1]  # what the window's only task gets
     assert sorted_rows.lstrip("  :+-").startswith("Project") and "octet_length(ids" in sorted_rows and ", ids#" not in sorted_rows
+
+
+@pytest.mark.parametrize("operator", [toxicity, quality])
+def test_training_hands_its_memory_back(operator, monkeypatch):
+    """The driver's process goes on with what a model takes, not with what finding it took."""
+
+    def used() -> int:
+        with open("/proc/self/smaps_rollup") as f:
+            return int(re.search(r"Pss_Anon:\s+(\d+)", f.read())[1]) >> 10
+
+    last = []
+
+    def fit(*_):
+        small = [np.ones(2_000) for _ in range(10_000)]  # 160 MB
+        last.append(small[-1])  # what lies above them stays
+        return "model"
+
+    monkeypatch.setattr(operator, "labelled", lambda *_: ([], []))
+    monkeypatch.setattr(operator, "fit", fit)
+    before = used()
+    assert operator.train(None, None, None) == "model"
+    assert used() < before + 60
